@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyweave.functions import urls
+from storyweave.functions.binding import let
 
 MIN_TEXT_CHARS = 20
 
@@ -94,8 +95,9 @@ def strip_markup(markup: Column) -> Column:
 
 
 def html_to_text(markup: Column) -> Column:
-    plain = collapse_whitespace(unescape_html(strip_markup(markup)))
-    return F.coalesce(none_if_blank(plain), collapse_whitespace(markup))
+    return F.coalesce(
+        none_if_blank(collapse_whitespace(unescape_html(strip_markup(markup)))), collapse_whitespace(markup)
+    )
 
 
 def choose_text(summary: Column, url: Column, page_text: Column) -> Column:
@@ -133,13 +135,16 @@ def keyword_hits(text: Column, phrases: list[str] | None = None, acronym: str =
 
 def meta_image(markup: Column, page_url: Column) -> Column:
     """Share image a page declares, skipping hosts known not to last."""
-    candidates = []
-    for name in ("og:image", "twitter:image", "twitter:image:src"):
+    def candidate(name: str) -> Column:
         tag = F.regexp_extract(markup, rf"(?is)(<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{name}[\"'][^>]*>)", 1)
         content = strip(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))
-        absolute = urls.resolve_url(page_url, F.replace(content, F.lit("&amp;"), F.lit("&")))
-        candidates.append(F.when((content != "") & ~urls.is_denied_host(absolute), absolute))
-    return F.coalesce(*candidates)
+        absolute = let(
+            F.replace(content, F.lit("&amp;"), F.lit("&")),
+            lambda c: F.when(c != "", urls.resolve_url(page_url, c)),
+        )
+        return let(absolute, lambda a: F.when(~urls.is_denied_host(a), a))
+
+    return F.coalesce(*[candidate(n) for n in ("og:image", "twitter:image", "twitter:image:src")])
 
 
 def classify_fetch(status: Column, exception: Column, image: Column) -> Column:
@@ -168,7 +173,7 @@ def parse_loose_date(text: Column) -> Column:
     fits no known spelling is NULL. A leading weekday carries nothing."""
     bare = F.regexp_replace(strip(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
     bare = F.regexp_replace(bare, r"^([A-Z][a-z]{2})\. ", "$1 ")
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in DATE_PATTERNS])
+    return let(bare, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in DATE_PATTERNS]))
 
 
 _THINK_TAGS = "think|thinking|reasoning|reflection"
@@ -185,9 +190,10 @@ def strip_fences(text: Column) -> Column:
 
 def parse_model_object(text: Column, schema: str) -> Column:
     """Model answer as a struct, or NULL when it is not one JSON object."""
-    cleaned = strip_fences(text)
-    valid = F.try_parse_json(cleaned).isNotNull() & cleaned.startswith("{")
-    return F.when(valid, F.from_json(cleaned, schema))
+    return let(
+        strip_fences(text),
+        lambda t: F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), F.from_json(t, schema)),
+    )
 
 
 def payload_hash(payload: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyweave.functions.binding import let
+
 # Query parameters that only track the reader.
 TRACKING_PREFIX = "utm_"
 TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref_src"]
@@ -60,15 +62,18 @@ def canonical_query(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """One spelling per article: https, bare lower-case host, no trailing
     slash, no tracking parameters, the rest sorted, no fragment."""
-    u = F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), r"[\t\r\n]", "")
-    host = F.regexp_replace(netloc(u), r"^www\.", "")
-    path = F.regexp_replace(url_path(u), "/+$", "")
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    query = canonical_query(u)
-    return F.concat(
-        F.lit("https://"), host, rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
+    cleaned = F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), r"[\t\r\n]", "")
+
+    def build(u: Column) -> Column:
+        host = F.regexp_replace(netloc(u), r"^www\.", "")
+        rooted = let(
+            F.regexp_replace(url_path(u), "/+$", ""),
+            lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)),
+        )
+        tail = let(canonical_query(u), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+        return F.concat(F.lit("https://"), host, rooted, tail)
+
+    return let(cleaned, build)
 
 
 def url_hash(url: Column) -> Column:
@@ -90,24 +95,27 @@ def hostname_of(url: Column) -> Column:
 
 
 def is_denied_host(url: Column, denied: list[str] | None = None) -> Column:
-    host = netloc(url)
-    result = F.lit(False)
-    for name in denied if denied is not None else UNRELIABLE_IMAGE_HOSTS:
-        result = result | (host == name) | host.endswith("." + name)
-    return F.coalesce(result, F.lit(False))
+    def check(host: Column) -> Column:
+        result = F.lit(False)
+        for name in denied if denied is not None else UNRELIABLE_IMAGE_HOSTS:
+            result = result | (host == name) | host.endswith("." + name)
+        return result
+
+    return F.coalesce(let(netloc(url), check), F.lit(False))
 
 
 def resolve_url(base: Column, link: Column) -> Column:
     """Absolute form of a link found on the page ``base``."""
     scheme = F.coalesce(F.nullif(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit("")), F.lit("https"))
     origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _NETLOC, 1))
-    folder = F.regexp_replace(url_path(base), "[^/]*$", "")
-    return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    folder = let(F.regexp_replace(url_path(base), "[^/]*$", ""), lambda f: F.when(f == "", F.lit("/")).otherwise(f))
+    return let(
+        link,
+        lambda x: F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x)
+        .when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
+        .when(x.startswith("/"), F.concat(origin, x))
+        .when(x.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), x))
+        .otherwise(F.concat(origin, folder, x)),
     )
 
 

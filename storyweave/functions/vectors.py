@@ -53,7 +53,10 @@ def hours_between(a: Column, b: Column) -> Column:
 
 
 def time_proximity(a: Column, b: Column, window_hours: float) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 - hours_between(a, b) / F.lit(float(window_hours)))
+    """1 for the same instant, 0 at the window edge and beyond, NULL when a
+    side is undated (greatest alone would skip the NULL and give 0)."""
+    left = 1.0 - hours_between(a, b) / F.lit(float(window_hours))
+    return F.when(left.isNotNull(), F.greatest(F.lit(0.0), left))
 
 
 def pair_score(

@@ -44,6 +44,7 @@ def _meet(items: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) ->
     pairs = pairs.withColumn("pair", F.concat_ws(">", "left_tile", "right_tile"))
     left = items.join(pairs.select(F.col("left_tile").alias("tile"), "pair"), "tile")
     right = items.join(pairs.select(F.col("right_tile").alias("tile"), "pair"), "tile")
+    right = right.toDF(*right.columns)  # fresh column ids: both sides stem from one table
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(kernel, schema)
 
 

@@ -62,7 +62,9 @@ def centroids_from_sums(sums: DataFrame) -> DataFrame:
 
 
 def reader_centroids(signals: DataFrame, story_vectors: DataFrame) -> DataFrame:
-    return centroids_from_sums(signal_sums(current_signals(signals), story_vectors))
+    # a signal is only recorded for a story that has a vector
+    recorded = signals.join(story_vectors.select("story_id"), "story_id", "left_semi")
+    return centroids_from_sums(signal_sums(current_signals(recorded), story_vectors))
 
 
 def source_filter(source_ids: Column, selected: Column) -> Column:

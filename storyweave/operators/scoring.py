@@ -43,7 +43,8 @@ def novelty(stories: DataFrame, days: int = 90) -> DataFrame:
     """1 - peak similarity to earlier stories; may exceed 1 when every earlier
     story points away, only the combined score is clamped."""
     return stories.select("story_id").join(prior_peaks(stories, days), "story_id", "left").select(
-        "story_id", F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.col("peak")), F.lit(1.0)).alias("novelty")
+        "story_id",
+        F.when(F.col("peak").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("peak"))).alias("novelty")
     )
 
 

@@ -1,0 +1,234 @@
+"""The jobs a user runs, each one a chain of operators.
+
+A stage is the table a row is in: items that fail or are rejected leave with
+a reason instead of changing a status column.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from datetime import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from storyweave.functions import labels, text, urls, vectors
+from storyweave.operators import gate, health, pairs, scoring, stories as story_ops
+from storyweave.operators.dedup import first_by_content, first_by_url, new_items
+from storyweave.operators.ordering import ordinal
+from storyweave.operators.rank import top_stories
+from storyweave.session import cut_lineage
+from storyweave.sources.registry import read_landed
+
+
+def _now(as_of: datetime):
+    return F.lit(as_of).cast("timestamp")
+
+
+# -- collect ---------------------------------------------------------------
+
+@dataclass
+class Collected:
+    items: DataFrame
+    sources: DataFrame
+    counters: DataFrame
+
+
+def due_sources(
+    sources: DataFrame, as_of: datetime, *, default_days: int = 2, backfill_days: int | None = None,
+    ignore_cadence: bool = False, only_source_ids: list[str] | None = None,
+) -> DataFrame:
+    """Sources to poll with the start of their window. The last three
+    arguments serve a repair: widen the reach, run off schedule, for some."""
+    now = _now(as_of)
+    chosen = F.col("enabled") if ignore_cadence else labels.is_due(
+        F.col("enabled"), F.col("last_run_at"), F.col("cadence_minutes"), now
+    )
+    if only_source_ids is not None:
+        chosen = chosen & F.col("source_id").isin(only_source_ids)
+    since, capped = labels.effective_since(
+        F.col("last_run_at"), F.col("max_backfill_days"), now, default_days, backfill_days
+    )
+    days = F.lit(backfill_days) if backfill_days is not None else F.coalesce("max_backfill_days", F.lit(default_days))
+    return sources.where(chosen).select(
+        "source_id", "last_run_at", since.alias("since"), capped.alias("capped"), days.cast("int").alias("cap_days")
+    )
+
+
+def collect(
+    landed: DataFrame, sources: DataFrame, known: DataFrame, as_of: datetime, plugins: list[str],
+    options: dict[str, dict] | None = None, **schedule,
+) -> Collected:
+    """landed (plugin, source_id, payload, error?) -> new items. A source
+    whose landing failed keeps its last_run_at and gains a failure; the rest
+    advance together with their items."""
+    due = due_sources(sources, as_of, **schedule)
+    polled = landed.join(due.select("source_id", "since"), "source_id")
+    if "error" not in landed.columns:
+        polled = polled.withColumn("error", F.lit(None).cast("string"))
+    broken = polled.where(F.col("error").isNotNull()).groupBy("source_id").agg(F.max("error").alias("_error"))
+    usable = polled.join(broken, "source_id", "left_anti")
+    raw = cut_lineage(read_landed(usable, plugins, options))
+    firsts = first_by_url(raw.withColumn("_arrival", F.struct("source_id", "entry_no", "url")), "_arrival")
+    fresh = new_items(firsts, known)
+    start = F.coalesce(known.agg(F.max("item_id").alias("m")).select("m").scalar(), F.lit(0))
+    items = (
+        ordinal(fresh, F.col("_arrival").asc(), out="_n")
+        .withColumn("item_id", F.col("_n") + start)
+        .withColumn("fetched_at", _now(as_of))
+        .drop("_n", "_arrival", "entry_no", "duplicates")
+    )
+    items = cut_lineage(items)
+    seen = raw.groupBy("source_id").agg(F.count("*").alias("rows"))
+    kept = items.groupBy("source_id").agg(F.count("*").alias("new_items"))
+    counters = (
+        due.select("source_id").join(seen, "source_id", "left").join(kept, "source_id", "left")
+        .join(broken, "source_id", "left")
+        .select(
+            "source_id", F.coalesce("new_items", F.lit(0)).alias("new_items"),
+            (F.coalesce("rows", F.lit(0)) - F.coalesce("new_items", F.lit(0))).alias("skipped_duplicates"),
+            F.col("_error").alias("error"),
+        )
+    )
+    warnings = health.coverage_warning(
+        raw.join(sources.where(F.col("plugin") == "rss").select("source_id"), "source_id", "left_semi"), due
+    )
+    polled_ids = usable.select("source_id").distinct().withColumn("_ok", F.lit(True))
+    after = (
+        sources.drop("coverage_warning").join(polled_ids, "source_id", "left").join(broken, "source_id", "left")
+        .join(warnings.select("source_id", F.col("coverage_warning").alias("_warning")), "source_id", "left")
+    )
+    ok = F.coalesce(F.col("_ok"), F.lit(False))
+    failed = F.col("_error").isNotNull()
+    after = (
+        after.withColumn("last_run_at", F.when(ok, _now(as_of)).otherwise(F.col("last_run_at")))
+        .withColumn("consecutive_failures", F.when(ok, 0).when(failed, F.col("consecutive_failures") + 1)
+                    .otherwise(F.col("consecutive_failures")))
+        .withColumn("last_error", F.when(failed, F.col("_error")).when(~ok, F.col("last_error")))
+        .withColumn("coverage_warning", F.when(ok, F.col("_warning")))
+        .drop("_ok", "_error", "_warning")
+    )
+    return Collected(items, after, counters)
+
+
+# -- normalize ---------------------------------------------------------------
+
+@dataclass
+class Split:
+    kept: DataFrame
+    failed: DataFrame
+
+
+def normalize(items: DataFrame, pages: DataFrame, known: DataFrame | None = None) -> Split:
+    """items with text, content_hash and a usable image; ``pages`` (url,
+    html) are the fetched articles, ``known`` the content already stored."""
+    articles = pages.groupBy(urls.url_hash(F.col("url")).alias("url_hash")).agg(
+        F.min_by("html", "url").alias("_html")
+    )
+    keyed = items if "url_hash" in items.columns else items.withColumn("url_hash", urls.url_hash(F.col("url")))
+    body = text.choose_text(F.col("summary"), F.col("url"), text.html_to_text(F.col("_html")))
+    read = cut_lineage(
+        keyed.join(articles, "url_hash", "left").withColumn("text", body).drop("_html")
+        .withColumn("image_url", F.when(~urls.is_denied_host(F.col("image_url")), F.col("image_url")))
+    )
+    long_enough = F.char_length("text") >= text.MIN_TEXT_CHARS
+    kept, repeated = first_by_content(read.where(long_enough), "text", known)
+    empty = read.where(~F.coalesce(long_enough, F.lit(False))).select(
+        "item_id", F.concat(F.lit("no text extracted for "), F.col("url")).alias("error")
+    )
+    return Split(kept, repeated.select("item_id", "error").unionByName(empty))
+
+
+def image_backfill(items: DataFrame, fetch_log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with images filled in, outcomes). ``fetch_log`` (url, status,
+    html, exception, fetched_at) is matched by canonical URL."""
+    wanted = items.where(urls.needs_image_fetch(F.col("image_url"), F.col("image_checked_at"), F.col("url")))
+    log = fetch_log.withColumn("url_hash", urls.url_hash(F.col("url"))).groupBy("url_hash").agg(
+        F.max_by(F.struct("url", "status", "html", "exception"), "fetched_at").alias("f"),
+        F.max("fetched_at").alias("_at"),
+    )
+    outcomes = cut_lineage(
+        wanted.select("item_id", "source_id", urls.url_hash(F.col("url")).alias("url_hash")).join(log, "url_hash")
+        .withColumn("found", text.meta_image(F.col("f.html"), F.col("f.url")))
+        .select(
+            "item_id", "source_id", F.col("_at"),
+            text.classify_fetch(F.col("f.status"), F.col("f.exception"), F.col("found")).alias("outcome"),
+            F.col("found").alias("image_found"),
+        )
+    )
+    done = outcomes.where(~F.col("outcome").startswith("network_error")).select(
+        "item_id", F.col("_at"), F.when(F.col("outcome") == "ok", F.col("image_found")).alias("_image")
+    )
+    filled = (
+        items.join(done, "item_id", "left")
+        .withColumn("image_url", F.coalesce("_image", "image_url"))
+        .withColumn("image_checked_at", F.coalesce("_at", "image_checked_at"))
+        .drop("_at", "_image")
+    )
+    return filled, outcomes.select("item_id", "source_id", "outcome", F.col("image_found").alias("image_url"))
+
+
+# -- cluster and score --------------------------------------------------------
+
+def with_signals(items: DataFrame) -> DataFrame:
+    return items.withColumn(
+        "entities", text.extract_entities(F.concat(F.col("title"), F.lit(" "), F.coalesce("text", F.lit(""))))
+    ).withColumn("link_keys", urls.link_keys(F.col("outbound_links")))
+
+
+@dataclass
+class Clustered:
+    members: DataFrame
+    stories: DataFrame
+    matches: DataFrame
+    failed: DataFrame
+
+
+def cluster(
+    new: DataFrame, as_of: datetime, known: DataFrame | None = None, *, replay: bool = False, **settings
+) -> Clustered:
+    """Group new items with each other and with ``known`` members (same
+    columns plus story_id). ``replay`` lets every item look back from its own
+    date instead of from ``as_of``."""
+    finite = F.coalesce(vectors.finite_vector(F.col("embedding")), F.lit(False))
+    failed = new.where(~finite).select(
+        "item_id",
+        F.concat(F.lit("cluster: embedding for item "), F.col("item_id").cast("string"),
+                 F.lit(" contains non-finite values (nan/inf)")).alias("error"),
+    )
+    columns = ["item_id", "source_id", "title", "text", "published_at", "model_id", "embedding", "outbound_links"]
+    everything = new.where(finite).select(*columns, F.lit(None).cast("long").alias("story_id"))
+    if known is not None:
+        everything = everything.unionByName(known.select(*columns, "story_id"))
+    signalled = cut_lineage(with_signals(everything).drop("text").withColumn("is_new", F.col("story_id").isNull()))
+    matches = cut_lineage(pairs.best_matches(signalled, as_of=None if replay else as_of, **settings))
+    assigned = story_ops.assign_stories(signalled.select("item_id", "story_id"), matches)
+    members = cut_lineage(
+        signalled.drop("story_id", "entities", "link_keys").join(assigned, "item_id")
+    )
+    return Clustered(members, story_ops.story_rollup(members, as_of), matches, failed)
+
+
+def score(
+    clustered: Clustered, sources: DataFrame, *, only_affected: bool = False, weights: dict[str, float] | None = None
+) -> DataFrame:
+    stories = cut_lineage(clustered.stories)
+    affected = clustered.members.where("is_new").select("story_id") if only_affected else None
+    data = scoring.ScoringInput(stories, clustered.members, sources)
+    return scoring.score_stories(data, weights, affected)
+
+
+def relevance(items: DataFrame, topic_vectors: DataFrame | None, **settings) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected). ``topic_vectors`` holds one vector per reference
+    sentence of the topic, from the same encoder as the items."""
+    centroid = None if topic_vectors is None else vectors.unit_mean_centroid(topic_vectors, "embedding")
+    return gate.relevance_gate(items, centroid, **settings)
+
+
+def stats(stages: DataFrame, rejected: DataFrame, stories: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "stage_counts": health.stage_counts(stages),
+        "rejected_by_source": health.rejected_by_source(rejected),
+        "story_count": stories.agg(F.count("*").alias("stories")),
+        "top_stories": top_stories(stories),
+    }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.functions import text
+from storyweave.session import cut_lineage
 
 Encode = Callable[[list[str]], np.ndarray]
 _TOKEN = re.compile(r"\w+")
@@ -69,11 +70,12 @@ def embed_items(
     bodies = items.select("item_id", text.embed_text(F.col("title"), F.col("text")).alias("_body"))
     encoded = bodies.mapInPandas(run, "item_id long, embedding array<float>, error string")
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    judged = encoded.withColumn(
+    # both outputs read this table; the model must not run twice
+    judged = cut_lineage(encoded.withColumn(
         "error", F.coalesce("error", F.when(~finite, F.concat(
             F.lit("embedding for item "), F.col("item_id").cast("string"), F.lit(" contains non-finite values")
         )))
-    )
+    ))
     embedded = items.drop("embedding", "model_id").join(judged.where(F.col("error").isNull()).drop("error"), "item_id").withColumn(
         "model_id", F.lit(model_id)
     )

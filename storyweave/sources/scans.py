@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import labels, text, urls
 
-RAW_COLUMNS = ["source_id", "url", "title", "summary", "published_at", "outbound_links", "image_url"]
+RAW_COLUMNS = ["source_id", "entry_no", "url", "title", "summary", "published_at", "outbound_links", "image_url"]
 
 _LINK = "struct<_VALUE:string,_href:string,_rel:string>"
 _MEDIA = "array<struct<_url:string,_medium:string,_type:string>>"
@@ -67,17 +67,17 @@ def scan_rss(landed: DataFrame) -> DataFrame:
     """RSS documents, one per row."""
     entries = (
         landed.select("source_id", _optional_since(landed).alias("since"), F.from_xml("payload", RSS_SCHEMA).alias("doc"))
-        .select("source_id", "since", F.explode("doc.channel.item").alias("e"))
+        .select("source_id", "since", F.posexplode("doc.channel.item").alias("entry_no", "e"))
     )
     return rss_items(entries)
 
 
 def rss_items(entries: DataFrame) -> DataFrame:
-    """entries (source_id, since, e) with one RSS item per row."""
+    """entries (source_id, entry_no, since, e) with one RSS item per row."""
     e = F.col("e")
     return _finish(
         entries.where(F.coalesce(e["link"], F.lit("")) != "").select(
-            "source_id", "since", urls.canonical_url(e["link"]).alias("url"),
+            "source_id", "entry_no", "since", urls.canonical_url(e["link"]).alias("url"),
             text.strip(F.coalesce(e["title"], F.lit(""))).alias("title"),
             _blank_to_null(e["description"]).alias("summary"),
             text.parse_loose_date(F.coalesce(e["pubDate"], e["updated"])).alias("published_at"),
@@ -96,7 +96,7 @@ def _atom_entries(landed: DataFrame) -> DataFrame:
     extra = [c for c in ("repo",) if c in landed.columns]
     return (
         landed.select("source_id", *extra, _optional_since(landed).alias("since"), F.from_xml("payload", ATOM_SCHEMA).alias("doc"))
-        .select("source_id", *extra, "since", F.explode("doc.entry").alias("e"))
+        .select("source_id", *extra, "since", F.posexplode("doc.entry").alias("entry_no", "e"))
     )
 
 
@@ -106,7 +106,7 @@ def scan_release_feed(landed: DataFrame) -> DataFrame:
     link = _entry_link(e)
     return _finish(
         _atom_entries(landed).where(F.coalesce(link, F.lit("")) != "").select(
-            "source_id", "since", urls.canonical_url(link).alias("url"),
+            "source_id", "entry_no", "since", urls.canonical_url(link).alias("url"),
             F.concat("repo", F.lit(": "), text.strip(F.coalesce(e["title"], F.lit("")))).alias("title"),
             _blank_to_null(F.coalesce(e["summary"], e["content"])).alias("summary"),
             text.parse_loose_date(F.coalesce(e["updated"], e["published"])).alias("published_at"),
@@ -122,7 +122,7 @@ def scan_paper_feed(landed: DataFrame) -> DataFrame:
     paper = F.regexp_extract(e["id"], r"arxiv\.org/abs/([\d.]+?)(?:v\d+)?$", 1)
     return _finish(
         _atom_entries(landed).where(F.coalesce(paper, F.lit("")) != "").select(
-            "source_id", "since", F.concat(F.lit(urls.PAPER_ABSTRACT_PREFIX), paper).alias("url"),
+            "source_id", "entry_no", "since", F.concat(F.lit(urls.PAPER_ABSTRACT_PREFIX), paper).alias("url"),
             text.collapse_whitespace(F.coalesce(e["title"], F.lit(""))).alias("title"),
             _blank_to_null(text.collapse_whitespace(F.coalesce(e["summary"], F.lit("")))).alias("summary"),
             text.parse_loose_date(F.coalesce(e["published"], e["updated"])).alias("published_at"),
@@ -135,7 +135,7 @@ def scan_scored_json(landed: DataFrame, min_score: int = 100) -> DataFrame:
     """JSON lists of scored posts."""
     posts = (
         landed.select("source_id", _optional_since(landed).alias("since"), F.from_json("payload", POSTS_SCHEMA).alias("posts"))
-        .select("source_id", "since", F.explode("posts").alias("p"))
+        .select("source_id", "since", F.posexplode("posts").alias("entry_no", "p"))
     )
     p = F.col("p")
     wanted = (
@@ -144,7 +144,7 @@ def scan_scored_json(landed: DataFrame, min_score: int = 100) -> DataFrame:
     )
     return _finish(
         posts.where(wanted).select(
-            "source_id", "since", urls.canonical_url(p["url"]).alias("url"),
+            "source_id", "entry_no", "since", urls.canonical_url(p["url"]).alias("url"),
             text.strip(F.coalesce(p["title"], F.lit(""))).alias("title"), F.lit(None).cast("string").alias("summary"),
             F.timestamp_seconds(p["time"]).alias("published_at"), F.lit(None).cast("string").alias("image_url"),
         )
@@ -163,7 +163,7 @@ def scan_html_listing(
 
     cards = pages.select(
         "source_id", _optional_since(pages).alias("since"), F.col("url").alias("page_url"),
-        F.explode(F.regexp_extract_all("html", F.lit(f"(?is){card}"), F.lit(0))).alias("card"),
+        F.posexplode(F.regexp_extract_all("html", F.lit(f"(?is){card}"), F.lit(0))).alias("entry_no", "card"),
     )
     href = F.replace(F.regexp_extract("card", f"(?is){link}", 1), F.lit("&amp;"), F.lit("&"))
     whole = F.col("card")
@@ -172,7 +172,7 @@ def scan_html_listing(
     summary_text = inside(flag + summary if summary else None, F.lit(None).cast("string"))
     return _finish(
         cards.where(href != "").select(
-            "source_id", "since", urls.canonical_url(urls.resolve_url(F.col("page_url"), href)).alias("url"),
+            "source_id", "entry_no", "since", urls.canonical_url(urls.resolve_url(F.col("page_url"), href)).alias("url"),
             text.html_to_text(inside(flag + title if title else None, whole)).alias("title"),
             _blank_to_null(text.html_to_text(summary_text)).alias("summary"),
             text.parse_loose_date(text.html_to_text(date_text)).alias("published_at"),
