@@ -273,12 +273,44 @@ def _similar_kernel(floor: float) -> Callable:
     return kernel
 
 
+def _all_tile_pairs(tiled: DataFrame) -> DataFrame:
+    stats = tiled.groupBy("tile", "dims").agg(F.count("*").alias("n"))
+    return stats.alias("a").join(
+        stats.alias("b"), (F.col("a.dims") == F.col("b.dims")) & (F.col("a.tile") <= F.col("b.tile"))
+    ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
+
+
 def similar_pairs(df: DataFrame, row_id: str, vector: str, floor: float, tile_rows: int = 1024) -> DataFrame:
     """Pairs (i < j, score) of a labelled set whose cosine reaches ``floor``."""
     slim = df.select(F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), F.size(vector).alias("dims"))
     tiled = cut_lineage(with_tiles(slim, ["dims"], "row_id", tile_rows))
-    stats = tiled.groupBy("tile", "dims").agg(F.count("*").alias("n"))
-    pairs = stats.alias("a").join(
-        stats.alias("b"), (F.col("a.dims") == F.col("b.dims")) & (F.col("a.tile") <= F.col("b.tile"))
-    ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
-    return _meet(tiled.drop("dims"), pairs, _similar_kernel(floor), "i long, j long, score double")
+    return _meet(tiled.drop("dims"), _all_tile_pairs(tiled), _similar_kernel(floor), "i long, j long, score double")
+
+
+def _extremes_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    if left.empty or right.empty:
+        return pd.DataFrame({"lowest_same": [], "highest_different": []})
+    cos = np.round(_cosines(_matrix(left.vec), _matrix(right.vec)), SCORE_DIGITS)
+    same = left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :]
+    pair = left.row_id.to_numpy()[:, None] != right.row_id.to_numpy()[None, :]
+    return pd.DataFrame({
+        "lowest_same": [np.min(cos, where=same & pair, initial=np.inf)],
+        "highest_different": [np.max(cos, where=~same, initial=-np.inf)],
+    })
+
+
+def cosine_extremes(df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int = 1024) -> DataFrame:
+    """One row: lowest cosine inside a label and highest between labels. Each
+    tile pair answers with two numbers, no pair becomes a row."""
+    slim = df.select(
+        F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), F.col(label).alias("label"), F.size(vector).alias("dims")
+    )
+    tiled = cut_lineage(with_tiles(slim, ["dims"], "row_id", tile_rows))
+    found = _meet(
+        tiled.drop("dims"), _all_tile_pairs(tiled), _extremes_kernel, "lowest_same double, highest_different double"
+    )
+    infinite = F.lit(float("inf"))
+    return found.agg(F.min("lowest_same").alias("s"), F.max("highest_different").alias("d")).select(
+        F.when(F.col("s") < infinite, F.col("s")).alias("lowest_same"),
+        F.when(F.col("d") > -infinite, F.col("d")).alias("highest_different"),
+    )

@@ -277,50 +277,62 @@ def connected_components(spark, sf):
     return story_ops.connected_components(edges)
 
 
-def _label_pairs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """A labelled corpus: texts as rows, copies of one text as one label."""
-    labelled = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "label", "embedding")
-    return cut_lineage(pairs.similar_pairs(labelled, "row_id", "embedding", 0.20)), labelled
+def labelled_vectors(spark, sf) -> DataFrame:
+    """Every vector and a distorted copy of it under one label."""
+    v = F.col("embedding").cast("array<double>")
+    twin = F.zip_with(v, F.reverse(v), lambda x, y: x + 0.5 * y)
+    base = fx.table(spark, sf, "embeddings")
+    return base.select((F.col("vec_id") * 2).alias("row_id"), F.col("vec_id").alias("label"), v.alias("embedding")).unionByName(
+        base.select((F.col("vec_id") * 2 + 1).alias("row_id"), F.col("vec_id").alias("label"), twin.alias("embedding")))
+
+
+_TWINS = {
+    "base": "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings",
+    "twins": """SELECT vec_id * 2 AS row_id, vec_id AS label, e FROM base UNION ALL SELECT vec_id * 2 + 1, vec_id,
+        list_transform(range(1, len(e) + 1), lambda k: e[k] + 0.5::DOUBLE * e[len(e) + 1 - k]) FROM base""",
+    "tied": f"""SELECT a.label = b.label AS same_label, round({sql_cos('a.e', 'b.e')}, 9) AS score
+        FROM twins a JOIN twins b ON a.row_id < b.row_id""",
+    "ends": "SELECT min(score) FILTER (same_label) AS low, max(score) FILTER (NOT same_label) AS high FROM tied",
+}
+_SWEEP = "SELECT t / 100.0::DOUBLE AS threshold, high < t / 100.0::DOUBLE AND low >= t / 100.0::DOUBLE AS passes FROM range(20, 95) r(t), ends"
 
 
-@query("threshold_sweep", with_tables(extra={**_VECS, **_EDGES,
-    "worst": "SELECT max(score) AS m FROM edges WHERE NOT same_label"}, body="""
-    SELECT t / 100.0::DOUBLE AS threshold, coalesce((SELECT m FROM worst), -1) < t / 100.0::DOUBLE
-        AND (SELECT count(*) FROM vecs) = (SELECT count(DISTINCT label) FROM vecs) AS passes FROM range(20, 95) r(t)"""))
-def threshold_sweep(spark, sf):
-    found, labelled = _label_pairs(spark, sf)
+def _sweep_points(spark, sf) -> DataFrame:
+    labelled = labelled_vectors(spark, sf)
+    found = cut_lineage(pairs.similar_pairs(labelled, "row_id", "embedding", 0.20))
     return calibrate.threshold_sweep(found, labelled.select("row_id", "label"))
 
 
-@query("calibrate_threshold", """
-    SELECT 0.0::DOUBLE AS low, 0.0::DOUBLE AS high, 0.0::DOUBLE AS width FROM embeddings HAVING count(*) > count(DISTINCT label)""")
+@query("threshold_sweep", with_tables(extra=_TWINS, body=_SWEEP))
+def threshold_sweep(spark, sf):
+    return _sweep_points(spark, sf)
+
+
+@query("calibrate_threshold", with_tables(extra=_TWINS, body=f"""
+    SELECT coalesce(min(threshold), 0) AS low, coalesce(max(threshold), 0) AS high, round(coalesce(max(threshold) - min(threshold), 0), 2) AS width
+    FROM ({_SWEEP}) WHERE passes"""))
 def calibrate_threshold(spark, sf):
-    found, labelled = _label_pairs(spark, sf)
-    return calibrate.safe_band(calibrate.threshold_sweep(found, labelled.select("row_id", "label")))
+    return calibrate.safe_band(_sweep_points(spark, sf))
 
 
-@query("separation_margin", with_tables(extra={**_VECS, **_EDGES}, body="""
-    SELECT 'cosine' AS signal, round(min(score) FILTER (same_label), 6) AS lowest_same, round(max(score) FILTER (NOT same_label), 6) AS highest_different,
-           round(min(score) FILTER (same_label) - max(score) FILTER (NOT same_label), 6) AS margin FROM edges"""))
+@query("separation_margin", with_tables(extra=_TWINS, body="""
+    SELECT round(low, 6) AS lowest_same, round(high, 6) AS highest_different, round(low - high, 6) AS margin FROM ends"""))
 def separation_margin(spark, sf):
-    labelled = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "label", "embedding")
-    found = pairs.similar_pairs(labelled, "row_id", "embedding", -1.0)
-    side = labelled.select("row_id", "label")
-    tagged = found.join(side.toDF("i", "li"), "i").join(side.toDF("j", "lj"), "j").select(
-        (F.col("li") == F.col("lj")).alias("same_label"), F.col("score").alias("cosine"))
-    return calibrate.separation_margin(tagged, ["cosine"]).select(
-        "signal", *[F.round(c, 6).alias(c) for c in ("lowest_same", "highest_different", "margin")])
+    ends = pairs.cosine_extremes(labelled_vectors(spark, sf), "row_id", "embedding", "label")
+    return ends.select(
+        F.round("lowest_same", 6).alias("lowest_same"), F.round("highest_different", 6).alias("highest_different"),
+        F.round(F.col("lowest_same") - F.col("highest_different"), 6).alias("margin"))
 
 
 # -- health ------------------------------------------------------------------------
 
 @query("failure_streaks", with_tables("collect_log", body="""
     SELECT source_id, count(*) FILTER (NOT ok AND (last_ok IS NULL OR run_id > last_ok)) AS consecutive_failures,
-           epoch(max(run_ts) FILTER (ok))::BIGINT AS last_run_at, arg_max(coalesce(error, ''), run_id) AS last_error
+           epoch_us(max(run_ts) FILTER (ok)) AS last_run_at, arg_max(coalesce(error, ''), run_id) AS last_error
     FROM (SELECT *, max(run_id) FILTER (ok) OVER (PARTITION BY source_id) AS last_ok FROM collect_log) GROUP BY source_id"""))
 def failure_streaks(spark, sf):
     return health.failure_streaks(fx.collect_log(spark, sf)).select(
-        "source_id", "consecutive_failures", F.unix_seconds("last_run_at").alias("last_run_at"), F.coalesce("last_error", F.lit("")).alias("last_error"))
+        "source_id", "consecutive_failures", F.unix_micros("last_run_at").alias("last_run_at"), F.coalesce("last_error", F.lit("")).alias("last_error"))
 
 
 @query("collect_counters", with_tables("collect_log", body="""
