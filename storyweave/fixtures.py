@@ -94,6 +94,10 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reader_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_of(table(spark, sf_dir, "events"))
+
+
+def signals_of(events: DataFrame) -> DataFrame:
     signal = (
         F.when(F.col("event_type") == "view", F.lit("open"))
         .when(F.col("event_type") == "purchase", F.lit("save"))
@@ -101,8 +105,7 @@ def reader_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ts = instant("ts")
     return (
-        table(spark, sf_dir, "events")
-        .select(
+        events.select(
             F.col("user_id").alias("reader_id"), F.col("event_id").alias("seq"),
             (F.col("event_id") % 200).alias("story_id"), signal.alias("signal"), ts.alias("ts"),
             F.when(ts < F.timestamp_seconds(F.lit(1705276800)), F.lit("m1")).otherwise(F.lit("m2")).alias("model_id"),
@@ -112,8 +115,12 @@ def reader_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     ok = F.col("event_type") != "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("run_id"),
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"),
         instant("ts").alias("run_ts"), ok.alias("ok"),
@@ -124,6 +131,10 @@ def collect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     event = F.col("event_id")
     status = (
         F.when((F.col("event_type") == "error") & (event % 50 == 0), 402)
@@ -131,7 +142,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("event_type") == "signup") & (event % 7 == 0), 503)
         .otherwise(200)
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         event.alias("attempt_id"),
         F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("provider"),
         instant("ts").alias("ts"), status.cast("int").alias("status"),
@@ -157,3 +168,103 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind < 2, F.concat(tag, F.col("html"))).alias("html"),
         F.when(kind == 5, F.lit("ConnectTimeout")).alias("exception"),
     )
+
+
+# -- landed payloads --------------------------------------------------------------
+
+def shared_link(doc):
+    """The link of a document: three neighbours share an article and each
+    spells its address in another way."""
+    n = doc - doc % 3
+    return (
+        F.when(doc % 3 == 0, F.format_string("http://WWW.News%d.example.com/a/%d/?utm_source=x&b=2&a=1", n % 7, n))
+        .when(doc % 3 == 1, F.format_string("https://news%d.example.com/a/%d?a=1&b=2#frag", n % 7, n))
+        .otherwise(F.format_string("HTTP://news%d.example.com/a/%d?b=2&a=1&fbclid=zz", n % 7, n))
+    )
+
+
+def _escape(text):
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _tag(name: str, value):
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")), F.lit(""))
+
+
+def _published(doc):
+    return F.when(doc % 17 != 0, F.timestamp_seconds(F.lit(1704067200) + (doc * 2220) % 2592000))
+
+
+def _payloads(rows: DataFrame, entry, head: str, tail: str) -> DataFrame:
+    """A landed document per source and hundred ids, entries in id order."""
+    return (
+        rows.withColumn("entry", entry)
+        .groupBy(F.col("source").alias("source_id"), F.floor(F.col("doc_id") / 100).alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))).alias("e"))
+        .select("source_id", "block", F.concat(
+            F.lit(head), F.array_join(F.transform("e", lambda x: x["entry"]), ""), F.lit(tail)).alias("payload"))
+    )
+
+
+def rss_payloads(documents: DataFrame) -> DataFrame:
+    doc = F.col("doc_id")
+    image = (
+        F.when(doc % 5 == 0, F.lit('<media:content url="https://i.example.org/m.png" medium="image"/>'))
+        .when(doc % 5 == 1, F.lit('<media:content url="https://i.example.org/v.mp4" medium="video"/><media:thumbnail url="https://i.example.org/t.png"/>'))
+        .when(doc % 5 == 2, F.lit('<enclosure url="https://i.example.org/a.mp3" type="audio/mpeg"/>'))
+        .when(doc % 5 == 3, F.lit('<enclosure url="https://i.example.org/e.png" type="image/png"/>'))
+        .otherwise(F.lit(""))
+    )
+    entry = F.concat(
+        F.lit("<item>"), _tag("title", _escape(F.concat(F.lit("  "), F.substring_index("text", "\n", 1), F.lit(" ")))),
+        F.when(doc % 13 != 0, _tag("link", _escape(shared_link(doc)))).otherwise(F.lit("")),
+        _tag("description", _escape(F.col("text"))),
+        _tag("pubDate", F.date_format(_published(doc), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), image, F.lit("</item>"),
+    )
+    head = '<rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/"><channel>'
+    return _payloads(documents, entry, head, "</channel></rss>")
+
+
+def atom_payloads(documents: DataFrame) -> DataFrame:
+    """Atom entries that serve both as releases and as papers."""
+    doc = F.col("doc_id")
+    stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    paper = F.when(doc % 19 == 0, F.format_string("http://arxiv.org/list/%d", doc)).otherwise(
+        F.format_string("http://arxiv.org/abs/2401.%05dv%d", doc - doc % 2, doc % 2 + 1))
+    entry = F.concat(
+        F.lit("<entry>"), _tag("id", paper), _tag("title", _escape(F.concat(F.lit("A\n  "), F.substring_index("text", "\n", 1)))),
+        F.when(doc % 13 != 0, F.concat(
+            F.lit('<link rel="self" href="https://self.example.org/"/><link rel="alternate" href="'), _escape(shared_link(doc)), F.lit('"/>')
+        )).otherwise(F.lit("")),
+        _tag("published", F.date_format(_published(doc), stamp)),
+        _tag("updated", F.date_format(F.timestamp_seconds(F.unix_seconds(_published(doc)) + 3600), stamp)),
+        _tag("summary", _escape(F.col("text"))), F.lit("</entry>"),
+    )
+    return _payloads(documents, entry, '<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>").withColumn(
+        "repo", F.concat(F.lit("org/"), "source_id"))
+
+
+def post_payloads(documents: DataFrame) -> DataFrame:
+    doc = F.col("doc_id")
+    entry = F.concat(F.lit(","), F.to_json(F.struct(
+        doc.alias("id"), F.concat(F.lit(" "), F.substring_index("text", "\n", 1)).alias("title"),
+        F.when(doc % 11 != 0, shared_link(doc)).alias("url"), (doc % 250).alias("score"),
+        F.unix_seconds(_published(doc)).alias("time"), F.when(doc % 10 == 9, F.lit("job")).otherwise(F.lit("story")).alias("type"),
+    )))
+    rows = _payloads(documents, entry, "", "")
+    return rows.withColumn("payload", F.concat(F.lit("["), F.substr("payload", F.lit(2)), F.lit("]")))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landing table for all sources: each source speaks one format, and
+    a few sources failed to land."""
+    documents = table(spark, sf_dir, "documents")
+    k = F.substring("source_id", 4, 10).cast("int")
+    parts = [
+        rss_payloads(documents).where(k % 3 == 0).withColumn("plugin", F.lit("rss")),
+        atom_payloads(documents).where(k % 3 == 1).withColumn("plugin", F.lit("github_releases")),
+        post_payloads(documents).where(k % 3 == 2).withColumn("plugin", F.lit("hackernews")),
+    ]
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return out.withColumn("error", F.when(k % 6 == 4, F.concat(F.lit("HTTPError: "), "source_id")))

@@ -74,8 +74,15 @@ def source_filter(source_ids: Column, selected: Column) -> Column:
 
 def reader_feed_rows(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """Cards each reader may see: ``requests`` (reader_id, bundle_id,
-    selected) meet the cards of the bundle they hold."""
-    return requests.join(cards, "bundle_id").where(source_filter(F.col("source_ids"), F.col("selected"))).drop("selected")
+    selected) meet the cards of the bundle they hold. Most readers hold the
+    same bundle, so readers are spread by a salt and each salt gets its own
+    copy of the cards."""
+    salts = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = requests.withColumn("_salt", F.pmod(F.xxhash64("reader_id"), F.lit(salts)))
+    copies = cards.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, ["bundle_id", "_salt"]).where(
+        source_filter(F.col("source_ids"), F.col("selected"))
+    ).drop("selected", "_salt")
 
 
 def visible(rows: DataFrame, read: DataFrame, dismissed: DataFrame, keep_read: bool = False) -> DataFrame:

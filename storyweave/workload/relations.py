@@ -18,11 +18,14 @@ from storyweave.workload.registry import (
 _HASH = "sha256(lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))))"
 
 
-@query("first_by_url", with_tables("items", body=f"""
-    SELECT min(item_id) AS item_id, sha256(u) AS url_hash, count(*) - 1 AS duplicates
-    FROM (SELECT item_id, {sql_canonical_url('url')} AS u FROM items) GROUP BY u"""))
+_SHARED = "'https://news' || ((doc_id - doc_id % 3) % 7) || '.example.com/a/' || (doc_id - doc_id % 3) || '?a=1&b=2'"
+
+
+@query("first_by_url", f"""
+    SELECT min(doc_id) AS item_id, sha256(u) AS url_hash, count(*) - 1 AS duplicates FROM (SELECT doc_id, {_SHARED} AS u FROM documents) GROUP BY u""")
 def _first_by_url(spark: SparkSession, sf: str) -> DataFrame:
-    return first_by_url(fx.items(spark, sf).select("item_id", "url"), "item_id").select("item_id", "url_hash", "duplicates")
+    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), fx.shared_link(F.col("doc_id")).alias("url"))
+    return first_by_url(rows, "item_id").select("item_id", "url_hash", "duplicates")
 
 
 @query("new_items", with_tables("items", body=f"""
