@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyweave.functions import text
+from storyweave.functions import text, vectors
 from storyweave.session import cut_lineage
 
 Encode = Callable[[list[str]], np.ndarray]
@@ -69,7 +69,8 @@ def embed_items(
 
     bodies = items.select("item_id", text.embed_text(F.col("title"), F.col("text")).alias("_body"))
     encoded = bodies.mapInPandas(run, "item_id long, embedding array<float>, error string")
-    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # Arrow turns a NaN inside a list into NULL, which counts as not finite too
+    finite = vectors.finite_vector(F.col("embedding"))
     # both outputs read this table; the model must not run twice
     judged = cut_lineage(encoded.withColumn(
         "error", F.coalesce("error", F.when(~finite, F.concat(
