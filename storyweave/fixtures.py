@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyweave.functions import text, urls
-from storyweave.session import tune
+from storyweave.session import spread, tune
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -22,8 +22,13 @@ def as_of():
     return F.timestamp_seconds(F.lit(1706659200))
 
 
+# tables with long texts, where one task per file would leave cores idle
+_TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _TEXT_TABLES else rows
 
 
 def instant(column: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,12 +100,24 @@ def html_to_text(markup: Column) -> Column:
     )
 
 
+def with_plain_text(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """html_to_text over a column, in steps: the stripped text is one column
+    that the later steps share, and only texts with character references
+    beyond the five of XML cross into Python."""
+    bare = df.withColumn("_bare", strip_markup(F.col(column)))
+    decoded = bare.withColumn("_plain", none_if_blank(collapse_whitespace(unescape_html(F.col("_bare")))))
+    return decoded.withColumn(out or column, F.coalesce("_plain", collapse_whitespace(F.col(column)))).drop("_bare", "_plain")
+
+
+def usable_summary(summary: Column) -> Column:
+    return F.char_length(strip(F.coalesce(summary, F.lit("")))) >= MIN_TEXT_CHARS
+
+
 def choose_text(summary: Column, url: Column, page_text: Column) -> Column:
     """Publisher summary when long enough, nothing for paper abstracts, else
     the fetched page."""
-    usable = F.char_length(strip(F.coalesce(summary, F.lit("")))) >= MIN_TEXT_CHARS
     return (
-        F.when(usable, html_to_text(summary))
+        F.when(usable_summary(summary), html_to_text(summary))
         .when(urls.is_paper_abstract(url), F.lit(""))
         .otherwise(collapse_whitespace(F.coalesce(page_text, F.lit(""))))
     )

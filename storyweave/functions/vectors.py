@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from storyweave.functions.binding import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -13,6 +19,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+@F.arrow_udf(T.DoubleType())
+def _batch_dot(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = np.full(len(a), np.nan)
+    both = np.asarray(pc.and_(pc.is_valid(a), pc.is_valid(b)).to_numpy(zero_copy_only=False), dtype=bool)
+    sizes = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b)]
+    both &= sizes[0] == sizes[1]
+    for dims in np.unique(sizes[0][both]):
+        rows = np.flatnonzero(both & (sizes[0] == dims))
+        m = [np.asarray(x.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
+             for x in (a, b)]
+        out[rows] = np.einsum("ij,ij->i", *m)
+    return pa.array(out, mask=~both)
+
+
+def batch_dot(a: Column, b: Column) -> Column:
+    """dot for hot paths: whole Arrow batches in one numpy product. NULL when
+    a side is missing or the lengths differ."""
+    return _batch_dot(a.cast("array<double>"), b.cast("array<double>"))
+
+
 def is_finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
@@ -25,20 +51,27 @@ def cosine(a: Column, b: Column) -> Column:
     """Double-precision cosine in [-1, 1]. A zero or non-finite vector is
     dissimilar to everything: NaN must be caught before any comparison, as
     Spark orders NaN above every number."""
-    denominator = F.sqrt(dot(a, a) * dot(b, b))
-    value = F.try_divide(dot(a, b), denominator)
-    return F.when(is_finite(value), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).otherwise(F.lit(0.0))
+    return let(
+        F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))),
+        lambda v: F.when(is_finite(v), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))).otherwise(F.lit(0.0)),
+    )
 
 
 def cosine_to_unit(vector: Column, unit: Column) -> Column:
     """Cosine against a vector already of length one."""
-    value = F.try_divide(dot(vector, unit), F.sqrt(dot(vector, vector)))
-    return F.when(finite_vector(vector) & is_finite(value), value).otherwise(F.lit(0.0))
+    # any NaN or infinity in the vector makes its norm non-finite
+    return let(
+        F.struct(dot(vector, unit).alias("d"), dot(vector, vector).alias("n")),
+        lambda s: F.when(is_finite(s["n"]) & (s["n"] > 0), s["d"] / F.sqrt(F.nullif(s["n"], F.lit(0.0)))).otherwise(F.lit(0.0)),
+    )
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(vector)
+    return let(
+        F.sqrt(dot(vector, vector)),
+        lambda norm: F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(
+            vector.cast("array<double>")),
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -107,6 +140,19 @@ def unit_mean_centroid(df: DataFrame, vector: str, out: str = "centroid") -> Dat
 
 
 def reader_fit(vector: Column, positive: Column, negative: Column) -> Column:
-    return F.coalesce(F.when(vector.isNotNull() & positive.isNotNull(), cosine(vector, positive)), F.lit(0.0)) - F.coalesce(
-        F.when(vector.isNotNull() & negative.isNotNull(), cosine(vector, negative)), F.lit(0.0)
+    """cos(vector, positive) - cos(vector, negative); whatever is missing
+    contributes nothing."""
+    def part(centroid: Column) -> Column:
+        return F.coalesce(F.when(vector.isNotNull() & centroid.isNotNull(), cosine(vector, centroid)), F.lit(0.0))
+
+    return part(positive) - part(negative)
+
+
+def taste_direction(positive: Column, negative: Column) -> Column:
+    """positive - negative of two unit centroids. The fit of a unit vector is
+    its dot product with this direction, one product instead of two cosines."""
+    return (
+        F.when(negative.isNull(), positive)
+        .when(positive.isNull(), F.transform(negative, lambda x: -x))
+        .otherwise(F.zip_with(positive, negative, lambda x, y: x - y))
     )

@@ -36,19 +36,26 @@ def reject_reason() -> Column:
     )
 
 
-def relevance_gate(
+def gate_verdicts(
     items: DataFrame, centroid: DataFrame | None, *, enabled: bool = True, min_hits: int = 1, **settings
-) -> tuple[DataFrame, DataFrame]:
-    """Split into (kept, rejected). Both signals must fail for a reject; a
-    disabled gate or a missing topic vector keeps everything."""
+) -> DataFrame:
+    """items + reject_reason, NULL for those kept; every text is read once.
+    Both signals must fail for a reject; a disabled gate or a missing topic
+    vector keeps everything."""
     if not enabled or centroid is None:
-        none = items.limit(0).withColumn("reject_reason", F.lit(None).cast("string"))
-        return items, none
-    judged = judge_relevance(items, centroid, **settings)
-    extra = ["topic_cosine", "keyword_hits", "topic_threshold"]
-    kept = judged.where(is_on_topic(min_hits)).drop(*extra)
-    rejected = judged.where(~is_on_topic(min_hits)).withColumn("reject_reason", reject_reason()).drop(*extra)
-    return kept, rejected
+        return items.withColumn("reject_reason", F.lit(None).cast("string"))
+    return (
+        judge_relevance(items, centroid, **settings)
+        .withColumn("reject_reason", F.when(~is_on_topic(min_hits), reject_reason()))
+        .drop("topic_cosine", "keyword_hits", "topic_threshold")
+    )
+
+
+def relevance_gate(items: DataFrame, centroid: DataFrame | None, **settings) -> tuple[DataFrame, DataFrame]:
+    """The verdicts as two tables, (kept, rejected)."""
+    verdicts = gate_verdicts(items, centroid, **settings)
+    kept = verdicts.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return kept, verdicts.where(F.col("reject_reason").isNotNull())
 
 
 def sweep_findings(

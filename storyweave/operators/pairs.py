@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.functions import vectors
-from storyweave.session import cut_lineage
+from storyweave.session import cut_lineage, shuffle_partitions
 
 HOUR_US = 3_600_000_000
 SCORE_DIGITS = 9
@@ -45,6 +45,10 @@ def _meet(items: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) ->
     left = items.join(pairs.select(F.col("left_tile").alias("tile"), "pair"), "tile")
     right = items.join(pairs.select(F.col("right_tile").alias("tile"), "pair"), "tile")
     right = right.toDF(*right.columns)  # fresh column ids: both sides stem from one table
+    # a pair costs far more than its bytes suggest: a fixed number of partitions
+    # keeps the runtime from merging them into a few tasks
+    parts = shuffle_partitions(items.sparkSession)
+    left, right = left.repartition(parts, "pair"), right.repartition(parts, "pair")
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(kernel, schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import labels, vectors
 from storyweave.operators.catalogue import TERRITORIES
+from storyweave.session import shuffle_partitions
 
 # Weight of each signal, and the feed blend.
 SIGNAL_WEIGHTS = {"open": 1.0, "save": 2.5, "dismiss": 1.0}
@@ -77,9 +78,12 @@ def reader_feed_rows(requests: DataFrame, cards: DataFrame) -> DataFrame:
     selected) meet the cards of the bundle they hold. Most readers hold the
     same bundle, so readers are spread by a salt and each salt gets its own
     copy of the cards."""
-    salts = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = requests.withColumn("_salt", F.pmod(F.xxhash64("reader_id"), F.lit(salts)))
+    salts = shuffle_partitions(cards.sparkSession)
+    # few bytes of either side become many rows of feed: a fixed number of
+    # partitions keeps the runtime from doing all of it in one task
+    spread = requests.withColumn("_salt", F.pmod(F.xxhash64("reader_id"), F.lit(salts))).repartition(salts, "_salt")
     copies = cards.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    copies = copies.repartition(salts, "_salt")
     return spread.join(copies, ["bundle_id", "_salt"]).where(
         source_filter(F.col("source_ids"), F.col("selected"))
     ).drop("selected", "_salt")
@@ -92,14 +96,28 @@ def visible(rows: DataFrame, read: DataFrame, dismissed: DataFrame, keep_read: b
     return out
 
 
-def with_fit(rows: DataFrame, centroids: DataFrame, story_vectors: DataFrame) -> DataFrame:
-    """Add fit; a missing vector or centroid is neutral."""
-    return (
-        rows.join(story_vectors.select("story_id", "vector"), "story_id", "left")
-        .join(centroids, "reader_id", "left")
-        .withColumn("fit", vectors.reader_fit(F.col("vector"), F.col("positive_centroid"), F.col("negative_centroid")))
-        .drop("vector", "positive_centroid", "negative_centroid")
+def story_units(story_vectors: DataFrame) -> DataFrame:
+    finite = vectors.finite_vector(F.col("vector"))
+    return story_vectors.select("story_id", F.when(finite, vectors.unit(F.col("vector"))).alias("_unit"))
+
+
+def reader_tastes(centroids: DataFrame) -> DataFrame:
+    return centroids.select(
+        "reader_id", vectors.taste_direction(F.col("positive_centroid"), F.col("negative_centroid")).alias("_taste")
+    )
+
+
+def fitted_feed_rows(requests: DataFrame, cards: DataFrame, centroids: DataFrame, story_vectors: DataFrame) -> DataFrame:
+    """Feed rows with fit, cos(story, positive) - cos(story, negative); a
+    missing vector or centroid is neutral. Lengths are settled once per story
+    and once per reader, the vectors ride along on the two small sides of the
+    join, and every row costs one dot product before they are dropped."""
+    rows = reader_feed_rows(
+        requests.join(reader_tastes(centroids), "reader_id", "left"),
+        cards.join(story_units(story_vectors), "story_id", "left"),
     )
+    fit = F.coalesce(vectors.batch_dot(F.col("_unit"), F.col("_taste")), F.lit(0.0))
+    return rows.withColumn("fit", fit).drop("_unit", "_taste")
 
 
 def min_max(value: str, group: str = "reader_id") -> Column:
@@ -179,9 +197,11 @@ def reader_feed(
 ) -> DataFrame:
     """The whole client query: source filter first, then visibility, then the
     order. ``shown`` keeps the first places only, as on screen."""
-    rows = visible(reader_feed_rows(requests, cards), read, dismissed, keep_read=mode == "unread")
-    if mode == "importance" and personalise:
-        ranked = rerank(with_fit(rows, centroids, story_vectors), fit_digits)
+    personal = mode == "importance" and personalise
+    rows = fitted_feed_rows(requests, cards, centroids, story_vectors) if personal else reader_feed_rows(requests, cards)
+    rows = visible(rows, read, dismissed, keep_read=mode == "unread")
+    if personal:
+        ranked = rerank(rows, fit_digits)
     elif mode == "unread":
         ranked = sort_cards(with_read_flag(rows, read), mode)
     else:

@@ -126,9 +126,16 @@ def normalize(items: DataFrame, pages: DataFrame, known: DataFrame | None = None
         F.min_by("html", "url").alias("_html")
     )
     keyed = items if "url_hash" in items.columns else items.withColumn("url_hash", urls.url_hash(F.col("url")))
-    body = text.choose_text(F.col("summary"), F.col("url"), text.html_to_text(F.col("_html")))
+    usable = text.usable_summary(F.col("summary"))
+    joined = (
+        keyed.join(articles, "url_hash", "left")
+        .withColumn("_own", F.when(usable, F.col("summary")))
+        .withColumn("_page", F.when(~usable & ~urls.is_paper_abstract(F.col("url")), F.col("_html")))
+    )
     read = cut_lineage(
-        keyed.join(articles, "url_hash", "left").withColumn("text", body).drop("_html")
+        text.with_plain_text(text.with_plain_text(joined, "_own"), "_page")
+        .withColumn("text", F.coalesce("_own", "_page", F.lit("")))
+        .drop("_html", "_own", "_page")
         .withColumn("image_url", F.when(~urls.is_denied_host(F.col("image_url")), F.col("image_url")))
     )
     long_enough = F.char_length("text") >= text.MIN_TEXT_CHARS
@@ -218,10 +225,16 @@ def score(
     return scoring.score_stories(data, weights, affected)
 
 
-def relevance(items: DataFrame, topic_vectors: DataFrame | None, **settings) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected). ``topic_vectors`` holds one vector per reference
+def relevance_verdicts(items: DataFrame, topic_vectors: DataFrame | None, **settings) -> DataFrame:
+    """items + reject_reason. ``topic_vectors`` holds one vector per reference
     sentence of the topic, from the same encoder as the items."""
     centroid = None if topic_vectors is None else vectors.unit_mean_centroid(topic_vectors, "embedding")
+    return gate.gate_verdicts(items, centroid, **settings)
+
+
+def relevance(items: DataFrame, topic_vectors: DataFrame | None, **settings) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected)."""
+    centroid = None if topic_vectors is None else vectors.unit_mean_centroid(topic_vectors, "embedding")
     return gate.relevance_gate(items, centroid, **settings)
 
 

@@ -50,3 +50,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     replay the whole history of an iterative job."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Split a table that arrives in fewer pieces than there are cores, such
+    as one small file. Tables with enough pieces pass through unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -306,12 +306,12 @@ def enrich_requests(spark, sf):
         "story_id", F.char_length("prompt").cast("long").alias("prompt_chars"))
 
 
-def _answers(spark, sf) -> DataFrame:
+def _answers(base: DataFrame) -> DataFrame:
     s = F.col("story_id")
     good = F.to_json(F.struct(
         F.when(s % 8 == 2, F.lit("  ")).otherwise(F.concat(F.lit("Canonical "), s.cast("string"))).alias("headline"),
         F.lit(" Two sentences. ").alias("summary"), F.when(s % 3 == 0, F.lit("policy")).alias("category")))
-    return stories(spark, sf).where("status = 'new' and score is not null").select(
+    return base.where("status = 'new' and score is not null").select(
         "story_id", F.when(s % 12 == 6, F.lit("no idea")).when(s % 12 == 10, F.concat(F.lit("<think>hm</think>```json\n"), good, F.lit("\n```"))).otherwise(good).alias("text"),
         F.lit("p").alias("provider"), F.lit("m").alias("model"))
 
@@ -323,7 +323,8 @@ def _answers(spark, sf) -> DataFrame:
            CASE WHEN hit THEN 'p:m' END AS summary_provider, CASE WHEN hit THEN 'enriched' ELSE status END AS status
     FROM (SELECT *, status = 'new' AND score IS NOT NULL AND story_id % 12 <> 6 AS hit FROM stories)"""))
 def enrich_apply(spark, sf):
-    return enrich.apply_tier1(stories(spark, sf), _answers(spark, sf)).select("story_id", "title", "summary", "category", "summary_provider", "status")
+    base = stories(spark, sf)
+    return enrich.apply_tier1(base, _answers(base)).select("story_id", "title", "summary", "category", "summary_provider", "status")
 
 
 @query("analysis_apply", sql("""
@@ -433,8 +434,9 @@ def reader_feed(spark, sf):
 def reader_fit(spark, sf):
     read, dismissed = _reader_sets(spark, sf)
     vecs = story_vectors(spark, sf)
-    rows = reader.visible(reader.reader_feed_rows(_requests(spark, sf), _cards_simple(spark, sf)), read, dismissed)
-    return reader.with_fit(rows, reader.reader_centroids(fx.reader_signals(spark, sf), vecs), vecs).select(
+    centroids = reader.reader_centroids(fx.reader_signals(spark, sf), vecs)
+    rows = reader.fitted_feed_rows(_requests(spark, sf), _cards_simple(spark, sf), centroids, vecs)
+    return reader.visible(rows, read, dismissed).select(
         "reader_id", "story_id", F.round("fit", 6).alias("fit"))
 
 
@@ -471,10 +473,11 @@ def recent_first(spark, sf):
 
 def _saved_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     saved = reader.id_list(fx.reader_signals(spark, sf), "save")
-    cards = _cards_simple(spark, sf).select("story_id", F.struct("score", "feed_pos").alias("card"))
+    feed = _cards_simple(spark, sf)
+    cards = feed.select("story_id", F.struct("score", "feed_pos").alias("card"))
     older = stories(spark, sf).select("story_id", F.col("score"))
     snapshots = saved.where(F.col("position") % 2 == 0).join(older, "story_id").join(
-        _cards_simple(spark, sf).select("story_id", "feed_pos"), "story_id", "left").select(
+        feed.select("story_id", "feed_pos"), "story_id", "left").select(
         "reader_id", "story_id", F.struct("score", F.when(F.col("position") % 4 == 0, F.col("feed_pos")).otherwise(F.lit(0).cast("long")).alias("feed_pos")).alias("card"))
     return saved, cards, snapshots
 

@@ -57,8 +57,7 @@ _GATE = {"cosine_threshold": 0.12, "cosine_thresholds": {"m2": 0.05}, "cosine_di
 @query("relevance_gate", with_tables("items", "topic", extra=_JUDGED, body=f"""
     SELECT item_id, CASE WHEN cos >= threshold OR hits >= 1 THEN NULL ELSE {_REASON} END AS reject_reason FROM judged"""))
 def relevance_gate(spark, sf):
-    kept, rejected = pipeline.relevance(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE)
-    return kept.select("item_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(rejected.select("item_id", "reject_reason"))
+    return pipeline.relevance_verdicts(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE).select("item_id", "reject_reason")
 
 
 # -- matching and grouping ------------------------------------------------
@@ -411,14 +410,15 @@ def stage_counts(spark, sf):
 def run_summary(spark, sf):
     items = fx.items(spark, sf)
     kept, failed = first_by_content(items.select("item_id", "text"))
-    on, off = pipeline.relevance(items, fx.table(spark, sf, "embeddings"), **_GATE)
+    verdicts = pipeline.relevance_verdicts(items, fx.table(spark, sf, "embeddings"), **_GATE).select(
+        F.lit("relevance").alias("stage"), F.when(F.col("reject_reason").isNull(), F.lit("processed")).otherwise(F.lit("rejected")).alias("outcome"))
 
     def tag(df, stage, outcome):
         return df.select(F.lit(stage).alias("stage"), F.lit(outcome).alias("outcome"))
 
     return health.run_summary(
         tag(kept, "normalize", "processed").unionByName(tag(failed, "normalize", "failed"))
-        .unionByName(tag(on, "relevance", "processed")).unionByName(tag(off, "relevance", "rejected")))
+        .unionByName(verdicts))
 
 
 @query("rejected_by_source", with_tables("items", "topic", extra=_JUDGED, body="""

@@ -43,7 +43,7 @@ SQL_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(rege
 
 @query("html_to_text", f"SELECT page_id, {SQL_PLAIN} AS body FROM pages")
 def html_to_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+    return text.with_plain_text(fx.table(spark, sf, "pages").select("page_id", "html"), "html", "body").select("page_id", "body")
 
 
 @query("choose_text", f"""
