@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.functions import text, urls
+from storyweave.session import cut_lineage
 
 
 def first_by_url(rows: DataFrame, arrival: str, url: str = "url") -> DataFrame:
@@ -26,19 +27,22 @@ def new_items(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def first_by_content(items: DataFrame, body: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split into (kept, failed): the lowest id per content advances, every
-    other copy fails with the id it repeats. ``known`` holds (item_id,
-    content_hash) rows that already advanced."""
+    """(kept, failed): the lowest id per content advances, every other copy
+    fails with the id it repeats (item_id, content_hash, error). ``known``
+    holds (item_id, content_hash) rows that already advanced.
+
+    Copies are found on ids and hashes alone: the texts themselves are never
+    moved to the key of their content, which may be shared by most rows."""
     hashed = items.withColumn("content_hash", text.content_hash(F.col(body)))
-    firsts = hashed.groupBy("content_hash").agg(F.min("item_id").alias("first_id"))
+    ids = cut_lineage(hashed.select("item_id", "content_hash"))
+    firsts = ids.groupBy("content_hash").agg(F.min("item_id").alias("first_id"))
     if known is not None:
         stored = known.groupBy("content_hash").agg(F.min("item_id").alias("stored_id"))
         firsts = firsts.join(stored, "content_hash", "left").select(
             "content_hash", F.coalesce("stored_id", "first_id").alias("first_id")
         )
-    judged = hashed.join(firsts, "content_hash")
-    kept = judged.where(F.col("item_id") == F.col("first_id")).drop("first_id")
-    failed = judged.where(F.col("item_id") != F.col("first_id")).withColumn(
-        "error", F.concat(F.lit("duplicate content of item "), F.col("first_id").cast("string"))
-    ).drop("first_id")
-    return kept, failed
+    failed = ids.join(firsts, "content_hash").where(F.col("item_id") != F.col("first_id")).select(
+        "item_id", "content_hash",
+        F.concat(F.lit("duplicate content of item "), F.col("first_id").cast("string")).alias("error"),
+    )
+    return hashed.join(failed.select("item_id"), "item_id", "left_anti"), failed

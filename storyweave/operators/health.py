@@ -112,6 +112,18 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     ])
 
 
+# The warning texts.
+_TRUNCATED = (
+    "rss source='%s': all %d dated entries in this fetch postdate since=%s -- the feed's window may have rolled past "
+    "older items between runs; coverage may be incomplete"
+)
+_FIRST_RUN = "source=%s: first run, backfill bounded to %dd (since=%s); older history, if any, was not fetched"
+_GAP = (
+    "source=%s: gap since last run (%s) exceeds max_backfill_days=%d; capped fetch to since=%s -- items older than that "
+    "were skipped"
+)
+
+
 def coverage_warning(entries: DataFrame, since: DataFrame) -> DataFrame:
     """Sources whose every dated entry postdates the start of the fetch
     window: the feed has probably rolled past older items. ``since`` holds
@@ -119,25 +131,16 @@ def coverage_warning(entries: DataFrame, since: DataFrame) -> DataFrame:
     seen = entries.groupBy("source_id").agg(F.count("published_at").alias("dated"), F.min("published_at").alias("oldest"))
     truncated = F.when(
         F.col("since").isNotNull() & (F.col("dated") > 0) & (F.col("oldest") > F.col("since")),
-        F.format_string(
-            "rss source='%s': all %d dated entries in this fetch postdate since=%s -- the feed's window may have "
-            "rolled past older items between runs; coverage may be incomplete",
-            "source_id", "dated", F.date_format("since", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-        ),
+        F.format_string(_TRUNCATED, "source_id", "dated", F.date_format("since", "yyyy-MM-dd'T'HH:mm:ssXXX")),
     )
     iso = "yyyy-MM-dd'T'HH:mm:ssXXX"
     capped = F.when(
         F.col("capped") & F.col("last_run_at").isNull(),
-        F.format_string(
-            "source=%s: first run, backfill bounded to %dd (since=%s); older history, if any, was not fetched",
-            "source_id", "cap_days", F.date_format("since", iso),
-        ),
+        F.format_string(_FIRST_RUN, "source_id", "cap_days", F.date_format("since", iso)),
     ).when(
         F.col("capped"),
         F.format_string(
-            "source=%s: gap since last run (%s) exceeds max_backfill_days=%d; capped fetch to since=%s -- items "
-            "older than that were skipped",
-            "source_id", F.date_format("last_run_at", iso), "cap_days", F.date_format("since", iso),
+            _GAP, "source_id", F.date_format("last_run_at", iso), "cap_days", F.date_format("since", iso),
         ),
     )
     parts = F.filter(F.array(capped, truncated), lambda w: w.isNotNull())

@@ -226,7 +226,7 @@ def _prior_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         prior = (et[None, :] < lt[:, None]) & (et[None, :] >= (lt - later.reach.to_numpy(np.int64))[:, None])
         cos = np.where(prior, _cosines(_matrix(later.vec), _matrix(earlier.vec)), -np.inf)
         peak = cos.max(axis=1)
-        seen = np.isfinite(peak)
+        seen = np.isfinite(peak) & later.asks.to_numpy(bool)
         return pd.DataFrame({"story_id": later.story_id.to_numpy(np.int64)[seen], "peak": peak[seen]})
 
     if left.empty or right.empty:
@@ -237,22 +237,32 @@ def _prior_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found, ignore_index=True)
 
 
-def prior_peaks(stories: DataFrame, days: int = 90, tile_rows: int = 2048) -> DataFrame:
+def prior_peaks(
+    stories: DataFrame, days: int = 90, tile_rows: int = 2048, wanted: DataFrame | None = None
+) -> DataFrame:
     """(story_id, peak): highest cosine against any story first seen strictly
-    earlier, at most ``days`` before. Stories without a prior are absent."""
+    earlier, at most ``days`` before. Stories without a prior are absent. Only
+    the ``wanted`` stories ask when given; tile pairs nobody asks about drop."""
     reach = days * 24 * HOUR_US
     ts = F.unix_micros("first_seen")
     slim = stories.where(F.col("centroid").isNotNull() & ts.isNotNull()).select(
         "story_id", F.col("centroid").alias("vec"), F.size("centroid").alias("dims"), ts.alias("ts"),
         F.floor(ts / reach).alias("slab"), F.lit(reach).alias("reach"),
     )
+    if wanted is None:
+        slim = slim.withColumn("asks", F.lit(True))
+    else:
+        marks = wanted.select("story_id").distinct().withColumn("asks", F.lit(True))
+        slim = slim.join(marks, "story_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     tiled = cut_lineage(with_tiles(slim, ["dims", "slab"], "story_id", tile_rows))
-    stats = tiled.groupBy("tile", "dims", "slab").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    stats = tiled.groupBy("tile", "dims", "slab").agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.bool_or("asks").alias("asks")
+    )
     ahead = stats.withColumn("meets", F.explode(F.array(F.col("slab"), F.col("slab") + 1)))
     pairs = ahead.alias("a").join(
         stats.alias("b"),
         (F.col("a.dims") == F.col("b.dims")) & (F.col("a.meets") == F.col("b.slab"))
-        & (F.col("b.t0") - F.col("a.t1") <= reach)
+        & (F.col("b.t0") - F.col("a.t1") <= reach) & (F.col("a.asks") | F.col("b.asks"))
         & ((F.col("a.slab") < F.col("b.slab")) | (F.col("a.tile") <= F.col("b.tile"))),
     ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
     found = _meet(tiled.drop("dims", "slab"), pairs, _prior_kernel, "story_id long, peak double")

@@ -22,6 +22,7 @@ class ScoringInput:
     sources: DataFrame
     story_entities: DataFrame | None = None
     entities: DataFrame | None = None
+    wanted: DataFrame | None = None  # stories to score, all when None
 
 
 def story_authority(members: DataFrame, sources: DataFrame, per_source: bool = False) -> DataFrame:
@@ -39,10 +40,11 @@ def velocity(outlet_count: Column) -> Column:
     return F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0), outlet_count).cast("double")) / F.lit(math.log1p(10)))
 
 
-def novelty(stories: DataFrame, days: int = 90) -> DataFrame:
+def novelty(stories: DataFrame, days: int = 90, wanted: DataFrame | None = None) -> DataFrame:
     """1 - peak similarity to earlier stories; may exceed 1 when every earlier
     story points away, only the combined score is clamped."""
-    return stories.select("story_id").join(prior_peaks(stories, days), "story_id", "left").select(
+    asked = stories if wanted is None else stories.join(wanted.select("story_id").distinct(), "story_id", "left_semi")
+    return asked.select("story_id").join(prior_peaks(stories, days, wanted=wanted), "story_id", "left").select(
         "story_id",
         F.when(F.col("peak").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("peak"))).alias("novelty")
     )
@@ -79,7 +81,7 @@ def _velocity_signal(data: ScoringInput) -> DataFrame:
 
 
 def _novelty_signal(data: ScoringInput) -> DataFrame:
-    return novelty(data.stories)
+    return novelty(data.stories, wanted=data.wanted)
 
 
 def _entity_signal(data: ScoringInput) -> DataFrame:
@@ -98,17 +100,17 @@ SIGNALS: dict[str, Callable[[ScoringInput], DataFrame]] = {
 
 
 def score_stories(
-    data: ScoringInput, weights: dict[str, float] | None = None, affected: DataFrame | None = None,
+    data: ScoringInput, weights: dict[str, float] | None = None,
     signals: dict[str, Callable[[ScoringInput], DataFrame]] | None = None,
 ) -> DataFrame:
-    """stories + score and score_breakdown. With ``affected`` (story_id), only
-    those stories come back, as in an incremental run; priors are still looked
-    up among all stories."""
+    """stories + score and score_breakdown. With ``data.wanted`` (story_id),
+    only those stories come back, as in an incremental run; priors are still
+    looked up among all stories."""
     weights = weights or DEFAULT_WEIGHTS
     builders = signals or SIGNALS
     scored = data.stories.drop("score", "score_breakdown")
-    if affected is not None:
-        scored = scored.join(affected.select("story_id").distinct(), "story_id", "left_semi")
+    if data.wanted is not None:
+        scored = scored.join(data.wanted.select("story_id").distinct(), "story_id", "left_semi")
     for build in builders.values():
         scored = scored.join(build(data), "story_id", "left")
     names = list(builders)

@@ -185,18 +185,23 @@ def with_signals(items: DataFrame) -> DataFrame:
 
 @dataclass
 class Clustered:
-    members: DataFrame
-    stories: DataFrame
+    members: DataFrame  # every member of the stories touched by this run
+    stories: DataFrame  # those stories, rolled up again
     matches: DataFrame
     failed: DataFrame
 
 
 def cluster(
-    new: DataFrame, as_of: datetime, known: DataFrame | None = None, *, replay: bool = False, **settings
+    new: DataFrame, as_of: datetime, known: DataFrame | None = None, *, replay: bool = False,
+    window_hours: float = 48.0, **settings,
 ) -> Clustered:
     """Group new items with each other and with ``known`` members (same
     columns plus story_id). ``replay`` lets every item look back from its own
-    date instead of from ``as_of``."""
+    date instead of from ``as_of``.
+
+    Of the known members only possible candidates are read for matching, and
+    only stories that gain an item are rolled up, so a run costs what its new
+    items cost and not what history holds."""
     finite = F.coalesce(vectors.finite_vector(F.col("embedding")), F.lit(False))
     failed = new.where(~finite).select(
         "item_id",
@@ -204,25 +209,50 @@ def cluster(
                  F.lit(" contains non-finite values (nan/inf)")).alias("error"),
     )
     columns = ["item_id", "source_id", "title", "text", "published_at", "model_id", "embedding", "outbound_links"]
-    everything = new.where(finite).select(*columns, F.lit(None).cast("long").alias("story_id"))
+    pool = new.where(finite).select(*columns, F.lit(None).cast("long").alias("story_id"))
     if known is not None:
-        everything = everything.unionByName(known.select(*columns, "story_id"))
-    signalled = cut_lineage(with_signals(everything).drop("text").withColumn("is_new", F.col("story_id").isNull()))
-    matches = cut_lineage(pairs.best_matches(signalled, as_of=None if replay else as_of, **settings))
+        active = known
+        if not replay:
+            oldest = F.unix_micros(_now(as_of)) - int(window_hours * pairs.HOUR_US)
+            active = known.where(F.col("published_at").isNull() | (F.unix_micros("published_at") >= oldest))
+        pool = pool.unionByName(active.where(finite).select(*columns, "story_id"))
+    signalled = cut_lineage(with_signals(pool).drop("text").withColumn("is_new", F.col("story_id").isNull()))
+    matches = cut_lineage(pairs.best_matches(
+        signalled, as_of=None if replay else as_of, window_hours=window_hours, **settings
+    ))
     assigned = story_ops.assign_stories(signalled.select("item_id", "story_id"), matches)
-    members = cut_lineage(
-        signalled.drop("story_id", "entities", "link_keys").join(assigned, "item_id")
-    )
+    slim = [c for c in columns if c != "text"]
+    members = signalled.where("is_new").select(*slim, "is_new").join(assigned, "item_id")
+    if known is not None:
+        members = cut_lineage(members)
+        touched = members.select("story_id").distinct()
+        earlier = known.join(touched, "story_id", "left_semi").select(*slim, "story_id", F.lit(False).alias("is_new"))
+        members = members.unionByName(earlier)
+    members = cut_lineage(members)
     return Clustered(members, story_ops.story_rollup(members, as_of), matches, failed)
 
 
+def merge_stories(before: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The story table after a run: touched stories replaced, their enriched
+    columns kept."""
+    ours = [c for c in fresh.columns if c != "story_id"]
+    kept = before.select("story_id", *[c for c in before.columns if c not in fresh.columns])
+    updated = fresh.join(kept, "story_id", "left")
+    untouched = before.join(fresh.select("story_id"), "story_id", "left_anti")
+    return untouched.unionByName(updated.select("story_id", *ours, *[c for c in kept.columns if c != "story_id"]), allowMissingColumns=True)
+
+
 def score(
-    clustered: Clustered, sources: DataFrame, *, only_affected: bool = False, weights: dict[str, float] | None = None
+    clustered: Clustered, sources: DataFrame, before: DataFrame | None = None, *, weights: dict[str, float] | None = None
 ) -> DataFrame:
-    stories = cut_lineage(clustered.stories)
-    affected = clustered.members.where("is_new").select("story_id") if only_affected else None
-    data = scoring.ScoringInput(stories, clustered.members, sources)
-    return scoring.score_stories(data, weights, affected)
+    """Scores of the stories a run touched. ``before`` holds the other stories
+    (story_id, first_seen, outlet_count, centroid) that count as prior art."""
+    fresh = cut_lineage(clustered.stories)
+    if before is None:
+        return scoring.score_stories(scoring.ScoringInput(fresh, clustered.members, sources), weights)
+    every = before.join(fresh.select("story_id"), "story_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    data = scoring.ScoringInput(every, clustered.members, sources, wanted=fresh.select("story_id"))
+    return scoring.score_stories(data, weights)
 
 
 def relevance_verdicts(items: DataFrame, topic_vectors: DataFrame | None, **settings) -> DataFrame:

@@ -203,33 +203,34 @@ def rank_candidate_block(spark, sf):
 
 
 def _responses(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """One model answer per source: its stories as candidates, with the usual
+    """One model answer per source and hundred stories, with the usual
     mistakes planted (unknown id, repeated id, repeated rank, bad band, text
     rank, bare array, fence, no JSON)."""
-    m = fx.members(spark, sf).select("source_id", "story_id").distinct()
+    m = fx.members(spark, sf).select(
+        F.concat("source_id", F.lit("-"), F.floor(F.col("story_id") / 100)).alias("run_id"), "story_id").distinct()
     entry = F.struct(
         F.when(F.col("story_id") % 11 == 3, F.col("story_id") + 1000000).otherwise(F.col("story_id")).alias("id"),
         F.when(F.col("story_id") % 7 == 2, F.lit(4)).otherwise(F.col("story_id") % 9).alias("rank"),
         F.when(F.col("story_id") % 5 == 1, F.lit("epic")).when(F.col("story_id") % 2 == 0, F.lit("notable")).otherwise(F.lit("landmark")).alias("band"),
         F.concat(F.lit(" because "), F.col("story_id").cast("string")).alias("reason"),
     )
-    k = F.substring("run_id", 4, 10).cast("int")
-    listed = m.groupBy(F.col("source_id").alias("run_id")).agg(
+    k = F.regexp_extract("run_id", r"^src(\d+)-", 1).cast("int")
+    listed = m.groupBy("run_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("story_id", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
     array = F.to_json("entries")
     answers = listed.select(
         "run_id", F.when(k % 5 == 0, F.concat(F.lit('```json\n{"ranked": '), array, F.lit("}\n```"))).when(k % 5 == 1, array)
         .when(k % 5 == 2, F.concat(F.lit("I think: "), array)).otherwise(F.concat(F.lit('{"ranked": '), array, F.lit("}"))).alias("text"),
         F.lit("p").alias("provider"), F.lit("m").alias("model"))
-    return answers, m.select(F.col("source_id").alias("run_id"), "story_id")
+    return answers, m
 
 
 # the ordered fold as a recursive walk over the numbered entries
 _FOLD = {
-    "entries": """SELECT source_id AS run_id, row_number() OVER (PARTITION BY source_id ORDER BY story_id) AS n,
+    "entries": """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY story_id) AS n,
         CASE WHEN story_id % 11 = 3 THEN story_id + 1000000 ELSE story_id END AS id, CASE WHEN story_id % 7 = 2 THEN 4 ELSE story_id % 9 END AS rnk,
         CASE WHEN story_id % 5 = 1 THEN 'epic' WHEN story_id % 2 = 0 THEN 'notable' ELSE 'landmark' END AS band, story_id % 11 <> 3 AS known
-        FROM (SELECT DISTINCT source_id, story_id FROM members) WHERE CAST(substr(source_id, 4) AS INTEGER) % 5 <> 2""",
+        FROM (SELECT DISTINCT source_id || '-' || (story_id // 100) AS run_id, CAST(substr(source_id, 4) AS INTEGER) AS k, story_id FROM members) WHERE k % 5 <> 2""",
     "fold": """SELECT e.run_id, 0::BIGINT AS n, []::BIGINT[] AS ranks, []::BIGINT[] AS ids, 0::BIGINT AS rejected FROM (SELECT DISTINCT run_id FROM entries) e
         UNION ALL SELECT f.run_id, e.n, CASE WHEN ok THEN list_append(f.ranks, e.rnk) ELSE f.ranks END, CASE WHEN ok THEN list_append(f.ids, e.id) ELSE f.ids END,
             CASE WHEN ok THEN f.rejected ELSE f.rejected + 1 END
@@ -243,7 +244,7 @@ _FOLD = {
     SELECT m.run_id, coalesce(d.rejected, 0) AS rejected, coalesce(array_to_string(list_transform(list_sort(list_transform(range(1, len(d.ids) + 1),
         lambda k: {'r': d.ranks[k], 'i': d.ids[k]})), lambda s: s.i), ','), '') AS ids,
         CASE WHEN d.run_id IS NULL THEN 'response holds no ranked array' WHEN len(d.ids) = 0 THEN 'no usable entries in the ranking response' END AS error
-    FROM (SELECT DISTINCT source_id AS run_id FROM members) m LEFT JOIN done d ON d.run_id = m.run_id"""))
+    FROM (SELECT DISTINCT source_id || '-' || (story_id // 100) AS run_id FROM members) m LEFT JOIN done d ON d.run_id = m.run_id"""))
 def accept_ranking(spark, sf):
     answers, shortlists = _responses(spark, sf)
     done = rank.accept_ranking(answers, shortlists, top_n=1000)
@@ -252,22 +253,22 @@ def accept_ranking(spark, sf):
         F.array_join(F.transform("accepted", lambda a: a["story_id"].cast("string")), ",").alias("ids"), "error")
 
 
-@query("cleared_ranks", sql("SELECT story_id FROM stories WHERE importance_rank IS NOT NULL AND NOT list_contains((SELECT ids FROM done WHERE run_id = 'src0'), story_id)",
+@query("cleared_ranks", sql("SELECT story_id FROM stories WHERE importance_rank IS NOT NULL AND NOT list_contains((SELECT ids FROM done WHERE run_id = 'src0-0'), story_id)",
        {**_FOLD}, recursive=True))
 def cleared_ranks(spark, sf):
     answers, shortlists = _responses(spark, sf)
-    one = rank.accept_ranking(answers.where("run_id = 'src0'"), shortlists, top_n=1000)
+    one = rank.accept_ranking(answers.where("run_id = 'src0-0'"), shortlists, top_n=1000)
     return rank.cleared_ranks(stories(spark, sf), rank.rank_snapshot(one))
 
 
 @query("apply_ranking", sql("""
     SELECT s.story_id, k.pos AS importance_rank, CASE WHEN k.pos IS NOT NULL THEN CASE WHEN s.story_id % 2 = 0 THEN 'notable' ELSE 'landmark' END END AS importance_band,
            CASE WHEN k.pos IS NOT NULL THEN 'because ' || s.story_id END AS importance_reason
-    FROM stories s LEFT JOIN (SELECT row_number() OVER (ORDER BY r) AS pos, i FROM (SELECT unnest(ranks) AS r, unnest(ids) AS i FROM done WHERE run_id = 'src0')) k ON k.i = s.story_id""",
+    FROM stories s LEFT JOIN (SELECT row_number() OVER (ORDER BY r) AS pos, i FROM (SELECT unnest(ranks) AS r, unnest(ids) AS i FROM done WHERE run_id = 'src0-0')) k ON k.i = s.story_id""",
     _FOLD, recursive=True))
 def apply_ranking(spark, sf):
     answers, shortlists = _responses(spark, sf)
-    one = cut_lineage(rank.accept_ranking(answers.where("run_id = 'src0'"), shortlists, top_n=1000))
+    one = cut_lineage(rank.accept_ranking(answers.where("run_id = 'src0-0'"), shortlists, top_n=1000))
     return rank.apply_ranking(stories(spark, sf), one, fx.AS_OF).select(
         "story_id", F.col("importance_rank").cast("long").alias("importance_rank"), "importance_band", "importance_reason")
 

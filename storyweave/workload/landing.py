@@ -12,7 +12,7 @@ from storyweave import schemas
 from storyweave.functions import text, urls
 from storyweave.operators import publish
 from storyweave.operators.dedup import first_by_content
-from storyweave.plans import bundle_io, pipeline
+from storyweave.plans import bundle_io, jobs
 from storyweave.session import checkpoint_root, cut_lineage
 from storyweave.sources import embedding, scans
 from storyweave.streaming import ingest, state
@@ -87,14 +87,14 @@ _LANDED = {
 }
 
 
-def _collected(spark, sf) -> pipeline.Collected:
+def _collected(spark, sf) -> jobs.Collected:
     known = fx.table(spark, sf, "documents").where(
         fx._published(F.col("doc_id")) < F.timestamp_seconds(F.lit(1705276800))
     ).select(F.col("doc_id").alias("item_id"), urls.url_hash(fx.shared_link(F.col("doc_id"))).alias("url_hash"))
     sources = fx.sources(spark, sf).drop("plugin").withColumn(
         "plugin", F.get(F.array(F.lit("rss"), F.lit("github_releases"), F.lit("hackernews")), F.col("k") % 3)
     ).withColumn("coverage_warning", F.lit(None).cast("string"))
-    return pipeline.collect(
+    return jobs.collect(
         fx.landed(spark, sf), sources, known, fx.AS_OF, ["rss", "github_releases", "hackernews"],
         backfill_days=20, ignore_cadence=True)
 
@@ -139,7 +139,7 @@ def normalize(spark, sf):
     pages = fx.table(spark, sf, "documents").where(doc % 2 == 1).select(
         F.format_string("http://www.site.example.org/%d/?utm_campaign=z", doc).alias("url"),
         F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><p>"), "text", F.lit("</p><script>x()</script></body></html>")).alias("html"))
-    done = pipeline.normalize(items, pages)
+    done = jobs.normalize(items, pages)
     return done.kept.select("item_id", F.lit("kept").alias("outcome")).unionByName(
         done.failed.select("item_id", F.col("error").alias("outcome")))
 
@@ -164,7 +164,7 @@ def image_backfill(spark, sf):
         page.alias("item_id"), "source_id", F.format_string("https://h.example.org/p/%d", page).alias("url"),
         F.when(page % 9 == 0, F.lit("https://cdn.example.org/own.png")).alias("image_url"),
         F.when(page % 9 == 1, fx.as_of()).alias("image_checked_at"))
-    done, _ = pipeline.image_backfill(items, log)
+    done, _ = jobs.image_backfill(items, log)
     return done.select("item_id", "image_url", F.col("image_checked_at").isNotNull().alias("checked"))
 
 

@@ -9,7 +9,7 @@ from storyweave import fixtures as fx
 from storyweave.functions import text, urls, vectors
 from storyweave.operators import calibrate, catalogue, gate, health, pairs, scoring, stories as story_ops
 from storyweave.operators.dedup import first_by_content, first_by_url, new_items
-from storyweave.plans import pipeline
+from storyweave.plans import jobs
 from storyweave.session import cut_lineage
 from storyweave.workload.registry import (
     AS_OF, query, sql_canonical_url, sql_cos, sql_entities, sql_jaccard, sql_keyword_hits, with_tables,
@@ -57,7 +57,7 @@ _GATE = {"cosine_threshold": 0.12, "cosine_thresholds": {"m2": 0.05}, "cosine_di
 @query("relevance_gate", with_tables("items", "topic", extra=_JUDGED, body=f"""
     SELECT item_id, CASE WHEN cos >= threshold OR hits >= 1 THEN NULL ELSE {_REASON} END AS reject_reason FROM judged"""))
 def relevance_gate(spark, sf):
-    return pipeline.relevance_verdicts(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE).select("item_id", "reject_reason")
+    return jobs.relevance_verdicts(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE).select("item_id", "reject_reason")
 
 
 # -- matching and grouping ------------------------------------------------
@@ -105,8 +105,8 @@ def best_match_replay(spark, sf):
         "item_id", "match_id", F.round("score", 6).alias("score"), "verdict")
 
 
-def _clustered(spark, sf) -> pipeline.Clustered:
-    return pipeline.cluster(fx.items(spark, sf), fx.AS_OF, replay=True)
+def _clustered(spark, sf) -> jobs.Clustered:
+    return jobs.cluster(fx.items(spark, sf), fx.AS_OF, replay=True)
 
 
 @query("assign_stories", with_tables("items", recursive=True, extra=_sql_match(None), body="SELECT item_id, story_id FROM roots"))
@@ -119,7 +119,7 @@ def assign_stories(spark, sf):
            max(coalesce(i.pub, {AS_OF}))::BIGINT AS updated_at, count(*) AS item_count, count(DISTINCT i.source_id) AS outlet_count
     FROM roots r JOIN items i ON i.item_id = r.item_id GROUP BY r.story_id"""))
 def cluster(spark, sf):
-    return pipeline.cluster(fx.items(spark, sf), fx.AS_OF).stories.select(
+    return jobs.cluster(fx.items(spark, sf), fx.AS_OF).stories.select(
         "story_id", "title", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("updated_at").alias("updated_at"),
         "item_count", "outlet_count")
 
@@ -221,7 +221,7 @@ def score_stories(spark, sf):
     ORDER BY score DESC, story_id LIMIT 50"""))
 def top_stories(spark, sf):
     clustered = _clustered(spark, sf)
-    ranked = pipeline.score(clustered, fx.sources(spark, sf)).withColumn("score", F.round("score", 5))
+    ranked = jobs.score(clustered, fx.sources(spark, sf)).withColumn("score", F.round("score", 5))
     return ranked.orderBy(F.desc("score"), "story_id").limit(50).select("story_id", "title", "item_count", "outlet_count", "score")
 
 
@@ -410,7 +410,7 @@ def stage_counts(spark, sf):
 def run_summary(spark, sf):
     items = fx.items(spark, sf)
     kept, failed = first_by_content(items.select("item_id", "text"))
-    verdicts = pipeline.relevance_verdicts(items, fx.table(spark, sf, "embeddings"), **_GATE).select(
+    verdicts = jobs.relevance_verdicts(items, fx.table(spark, sf, "embeddings"), **_GATE).select(
         F.lit("relevance").alias("stage"), F.when(F.col("reject_reason").isNull(), F.lit("processed")).otherwise(F.lit("rejected")).alias("outcome"))
 
     def tag(df, stage, outcome):
@@ -424,7 +424,7 @@ def run_summary(spark, sf):
 @query("rejected_by_source", with_tables("items", "topic", extra=_JUDGED, body="""
     SELECT source_id, count(*) AS rejected FROM judged WHERE NOT (cos >= threshold OR hits >= 1) GROUP BY source_id"""))
 def rejected_by_source(spark, sf):
-    _, off = pipeline.relevance(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE)
+    _, off = jobs.relevance(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE)
     return health.rejected_by_source(off)
 
 
@@ -437,7 +437,7 @@ def rejected_by_source(spark, sf):
             CASE WHEN count(i.pub) > 0 AND min(i.pub) > any_value(since) THEN 'all ' || count(i.pub) || ' dated' END), '') AS warning
     FROM due d LEFT JOIN items i ON i.source_id = d.source_id GROUP BY d.source_id"""))
 def coverage_warning(spark, sf):
-    since = pipeline.due_sources(fx.sources(spark, sf).withColumn("enabled", F.lit(True)), fx.AS_OF, default_days=30, ignore_cadence=True)
+    since = jobs.due_sources(fx.sources(spark, sf).withColumn("enabled", F.lit(True)), fx.AS_OF, default_days=30, ignore_cadence=True)
     full = health.coverage_warning(fx.items(spark, sf).select("source_id", "published_at"), since)
     short = F.regexp_replace(F.regexp_replace(
         F.regexp_replace("coverage_warning", r"source=\S+: (first run|gap)[^;]*(?:; older history[^;]*)?", "$1"),

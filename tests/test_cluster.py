@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from storyweave.operators import stories as story_ops
-from storyweave.plans import pipeline
+from storyweave.plans import jobs
 
 SCHEMA = ("item_id long, source_id string, title string, text string, published_at timestamp, model_id string, "
           "embedding array<float>, outbound_links array<string>")
@@ -73,7 +73,7 @@ def sequential(rows, known=(), replay=False, threshold=0.5, window=48.0):
 def spark_stories(spark, rows, known=None, **settings):
     new = spark.createDataFrame(rows, SCHEMA)
     old = None if known is None else spark.createDataFrame([(*r, s) for r, s in known], SCHEMA + ", story_id long")
-    done = pipeline.cluster(new, NOW, old, **settings)
+    done = jobs.cluster(new, NOW, old, **settings)
     return {r.item_id: r.story_id for r in done.members.collect()}, done
 
 
@@ -96,8 +96,27 @@ def test_incremental_equals_one_run(spark):
     first, second = rows[:50], rows[50:]
     before, _ = spark_stories(spark, first)
     known = [(r, before[r[0]]) for r in first]
-    after, _ = spark_stories(spark, second, known)
-    assert after == whole
+    after, done = spark_stories(spark, second, known)
+    assert {**before, **after} == whole
+    # only stories that gained an item come back, with all their members
+    gained = {whole[r[0]] for r in second}
+    assert {r.story_id: r.item_count for r in done.stories.collect()} == {
+        s: sum(1 for v in whole.values() if v == s) for s in gained}
+
+
+def test_incremental_scores_look_back_at_all_stories(spark):
+    def item(i, vec, day):
+        return (i, "s", "Acme", "", datetime(2024, 1, day), "m", vec, [])
+
+    old = [item(1, [1.0, 0.0], 1)]
+    _, first = spark_stories(spark, old)
+    sources = spark.createDataFrame([("s", 0.5)], "source_id string, authority double")
+    before = first.stories
+    _, second = spark_stories(spark, [item(2, [1.0, 0.2], 9)], [(old[0], 1)])
+    got = jobs.score(second, sources, before).collect()
+    assert [r.story_id for r in got] == [2] and got[0].score_breakdown.novelty < 0.05
+    merged = jobs.merge_stories(before.selectExpr("*", "'x' AS summary"), second.stories)
+    assert {r.story_id: r.summary for r in merged.collect()} == {1: "x", 2: None}
 
 
 def test_bad_vectors_fail_with_a_reason(spark):
@@ -126,7 +145,7 @@ def test_order_and_partitioning_do_not_matter(spark):
     got, _ = spark_stories(spark, rows, replay=True)
     shuffled = rows[:]
     random.Random(0).shuffle(shuffled)
-    again = pipeline.cluster(spark.createDataFrame(shuffled, SCHEMA).repartition(7), NOW, replay=True, tile_rows=11)
+    again = jobs.cluster(spark.createDataFrame(shuffled, SCHEMA).repartition(7), NOW, replay=True, tile_rows=11)
     assert {r.item_id: r.story_id for r in again.members.collect()} == got
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import vectors
 from storyweave.operators import calibrate, gate, pairs
-from storyweave.plans import pipeline
+from storyweave.plans import jobs
 from storyweave.sources import embedding, registry, scans
 from storyweave.sources.embedding import hashing_encoder
 from storyweave.streaming import ingest
@@ -95,7 +95,7 @@ def test_collect(spark):
     from storyweave.functions import urls
 
     known = spark.createDataFrame([(41, "https://a.com/4")], "item_id long, u string").select("item_id", urls.url_hash(F.col("u")).alias("url_hash"))
-    done = pipeline.collect(land, sources, known, now, ["rss", "hackernews"])
+    done = jobs.collect(land, sources, known, now, ["rss", "hackernews"])
     items = done.items.orderBy("item_id").collect()
     # a.com/4 is stored already; a.com/2 arrives twice and the first source keeps it
     assert [(r.item_id, r.source_id, r.url) for r in items] == [
@@ -107,7 +107,7 @@ def test_collect(spark):
     assert "first run, backfill bounded to 5d" in after["feed"].coverage_warning and "all 3 dated" in after["feed"].coverage_warning
     assert after["down"].last_run_at == datetime(2024, 1, 2) and after["down"].consecutive_failures == 2 and after["down"].last_error == "HTTPError: 500"
     assert after["fresh"].last_run_at == datetime(2024, 1, 2, 23, 45) and after["posts"].coverage_warning is None
-    repair = pipeline.collect(land, sources, known, now, ["rss"], backfill_days=1, ignore_cadence=True, only_source_ids=["fresh"])
+    repair = jobs.collect(land, sources, known, now, ["rss"], backfill_days=1, ignore_cadence=True, only_source_ids=["fresh"])
     assert [r.url for r in repair.items.orderBy("item_id").collect()] == ["https://a.com/1", "https://a.com/2"]
 
 
@@ -166,11 +166,11 @@ def test_gate_needs_both_signals_to_reject(spark):
         (1, "plain", "x", "m", [1.0, 0.0]), (2, "plain", "x", "m", [0.0, 1.0]), (3, "An AI story", "x", "m", [0.0, 1.0]), (4, "plain", "x", "m", [float("nan"), 1.0]),
         (5, "plain", "x", "loose", [0.1, 1.0])], "item_id long, title string, text string, model_id string, embedding array<float>")
     topic = spark.createDataFrame([([2.0, 0.0],), ([5.0, 0.0],)], "embedding array<float>")
-    kept, rejected = pipeline.relevance(items, topic, cosine_thresholds={"loose": 0.05})
+    kept, rejected = jobs.relevance(items, topic, cosine_thresholds={"loose": 0.05})
     assert {r.item_id for r in kept.collect()} == {1, 3, 5}
     assert {r.item_id: r.reject_reason for r in rejected.collect()} == {
         2: "off-topic: cosine=0.000 (threshold 0.120), keyword_hits=0", 4: "off-topic: cosine=0.000 (threshold 0.120), keyword_hits=0"}
-    for off in (pipeline.relevance(items, None), pipeline.relevance(items, topic, enabled=False)):
+    for off in (jobs.relevance(items, None), jobs.relevance(items, topic, enabled=False)):
         assert off[0].count() == 5 and off[1].count() == 0
 
 

@@ -110,7 +110,7 @@ def test_scores(spark):
     scored = {r.story_id: r for r in scoring.score_stories(scoring.ScoringInput(stories, members, sources)).collect()}
     assert scored[2].score == pytest.approx(min(1.0, (0.25 * 0.8 + 0.4 + 0.2 * 2.0) / 0.85))
     assert scored[5].score == pytest.approx((0.25 * 0.5 + 0.4 * 0.2890648263 + 0.2) / 0.85)
-    some = scoring.score_stories(scoring.ScoringInput(stories, members, sources), affected=stories.where("story_id = 3"))
+    some = scoring.score_stories(scoring.ScoringInput(stories, members, sources, wanted=stories.where("story_id = 3")))
     assert [(r.story_id, r.score_breakdown.novelty) for r in some.collect()] == [(3, 0.0)]
     assert spark.range(1).select(scoring.combine({"a": F.lit(1.0)}, {"a": 1.0, "b": 3.0}).alias("x")).first().x == 0.25
     assert spark.range(1).select(scoring.combine({}, {}).alias("x")).first().x == 0.0
