@@ -13,27 +13,21 @@ def sweep_points(low: int = 20, high: int = 94) -> list[int]:
     return list(range(low, high + 1))
 
 
-def threshold_sweep(pairs: DataFrame, labelled: DataFrame, low: int = 20, high: int = 94) -> DataFrame:
+def threshold_sweep(
+    inside: DataFrame, crossing: DataFrame, labelled: DataFrame, low: int = 20, high: int = 94
+) -> DataFrame:
     """(threshold, passes): does linking every pair at or above the threshold
-    give exactly the labelled groups? ``pairs`` (i, j, score) from the lowest
-    threshold up, ``labelled`` (row_id, label).
+    give exactly the labelled groups? ``inside`` (i, j, score) connects the
+    rows of each label as their pairs do, from the lowest threshold up,
+    ``crossing`` is one row with highest_different, ``labelled`` (row_id,
+    label).
 
-    A threshold passes when no link crosses two labels and every label stays
-    in one piece. Both only need one number each: the best crossing score, and
-    per label the number of pieces at each threshold, found among the pairs
-    inside labels."""
+    A threshold passes when no link crosses two labels and every label hangs
+    together, so all other pairs can be left out."""
     hundredth = F.col("t") / F.lit(100.0)
-    tagged = (
-        pairs.join(labelled.select(F.col("row_id").alias("i"), F.col("label").alias("li")), "i")
-        .join(labelled.select(F.col("row_id").alias("j"), F.col("label").alias("lj")), "j")
-    )
-    crossing = tagged.where(F.col("li") != F.col("lj")).agg(F.max("score").alias("m"))
     points = F.array(*[F.lit(t) for t in sweep_points(low, high)])
-    inside = (
-        tagged.where(F.col("li") == F.col("lj")).withColumn("t", F.explode(points))
-        .where(F.col("score") >= hundredth).select("t", "i", "j")
-    )
-    components = connected_components(inside, key="t")
+    links = inside.withColumn("t", F.explode(points)).where(F.col("score") >= hundredth).select("t", "i", "j")
+    components = connected_components(links, key="t")
     # every item apart, minus one for every item that hangs on another
     merged = components.where(F.col("node") != F.col("component")).groupBy("t").agg(F.count("*").alias("merged"))
     shape = labelled.agg((F.count("*") - F.count_distinct("label")).alias("needed"))
@@ -42,7 +36,7 @@ def threshold_sweep(pairs: DataFrame, labelled: DataFrame, low: int = 20, high:
         hundredth.alias("threshold"),
         (
             (F.coalesce("merged", F.lit(0)) == shape.select("needed").scalar())
-            & (F.coalesce(crossing.select("m").scalar(), F.lit(-1.0)) < hundredth)
+            & (F.coalesce(crossing.select("highest_different").scalar(), F.lit(-1.0)) < hundredth)
         ).alias("passes"),
     )
 

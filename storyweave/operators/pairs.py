@@ -133,7 +133,7 @@ def _match_kernel(cosine_weight: float, entity_weight: float, window_us: float)
 def best_matches(
     items: DataFrame, *, as_of: datetime | None, window_hours: float = 48.0, cosine_weight: float = 0.6,
     entity_weight: float = 0.4, merge_threshold: float = 0.50, merge_thresholds: dict[str, float] | None = None,
-    band: float = 0.06, tile_rows: int = 1024,
+    band: float = 0.06, tile_rows: int = 1024, adjudicator: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Best partner of every new item whose score can leave the DIFFERENT
     zone: (item_id, match_id, score, verdict).
@@ -146,7 +146,10 @@ def best_matches(
     A score never exceeds its time factor, so only dated pairs closer than
     window * (1 - lowest threshold) can matter; that is the slab width, and
     such pairs lie in the same slab or in neighbouring ones.
+
+    ``adjudicator`` (score, threshold) -> verdict replaces the threshold band.
     """
+    decide = adjudicator or (lambda score, limit: vectors.adjudicate(score, limit, band))
     overrides = merge_thresholds or {}
     floor_of = [v - band / 2 for v in [merge_threshold, *overrides.values()]]
     reach_us = int(window_hours * HOUR_US * (1.0 - min(floor_of))) + 1
@@ -190,9 +193,7 @@ def best_matches(
         .join(items.select("item_id", "model_id"), "item_id")
         .select(
             "item_id", "match_id", "score",
-            vectors.adjudicate(
-                F.col("score"), vectors.threshold_for(F.col("model_id"), overrides, merge_threshold), band
-            ).alias("verdict"),
+            decide(F.col("score"), vectors.threshold_for(F.col("model_id"), overrides, merge_threshold)).alias("verdict"),
         )
     )
 
@@ -269,19 +270,48 @@ def prior_peaks(
     return found.groupBy("story_id").agg(F.max("peak").alias("peak"))
 
 
-def _similar_kernel(floor: float) -> Callable:
+def _spanning_forest(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest of a dense symmetric weight matrix;
+    -inf marks a missing edge."""
+    n = len(weight)
+    best = np.full(n, -np.inf)
+    link = np.full(n, -1)
+    waiting = np.ones(n, dtype=bool)
+    edges = []
+    for _ in range(n):
+        node = int(np.argmax(np.where(waiting, best, -np.inf)))
+        if not waiting[node] or best[node] == -np.inf:
+            node = int(np.argmax(waiting))  # nothing reachable: start the next tree
+        elif link[node] >= 0:
+            edges.append((int(link[node]), node))
+        waiting[node] = False
+        better = waiting & (weight[node] > best)
+        best[better] = weight[node][better]
+        link[better] = node
+    return edges
+
+
+def _forest_kernel(floor: float) -> Callable:
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": [], "score": []})
-        li, rj = left.row_id.to_numpy(np.int64), right.row_id.to_numpy(np.int64)
-        cos = _cosines(_matrix(left.vec), _matrix(right.vec))
-        wanted = cos >= floor
+        cos = np.round(_cosines(_matrix(left.vec), _matrix(right.vec)), SCORE_DIGITS)
+        allowed = (cos >= floor) & (left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :])
         if left.tile.iloc[0] == right.tile.iloc[0]:
-            wanted &= li[:, None] < rj[None, :]
-        rows, cols = np.nonzero(wanted)
+            ids = left.row_id.to_numpy(np.int64)
+            order = right.row_id.to_numpy(np.int64)
+            place = np.argsort(order)[np.searchsorted(np.sort(order), ids)]
+            weight = np.where(allowed, cos, -np.inf)[:, place]
+            np.fill_diagonal(weight, -np.inf)
+        else:
+            ids = np.concatenate([left.row_id, right.row_id]).astype(np.int64)
+            weight = np.full((len(ids), len(ids)), -np.inf)
+            weight[:len(left), len(left):] = np.where(allowed, cos, -np.inf)
+            weight[len(left):, :len(left)] = weight[:len(left), len(left):].T
+        edges = _spanning_forest(weight)
+        a, b = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
         return pd.DataFrame({
-            "i": np.minimum(li[rows], rj[cols]), "j": np.maximum(li[rows], rj[cols]),
-            "score": np.round(cos[rows, cols], SCORE_DIGITS),
+            "i": np.minimum(ids[a], ids[b]), "j": np.maximum(ids[a], ids[b]), "score": weight[a, b],
         })
 
     return kernel
@@ -294,11 +324,22 @@ def _all_tile_pairs(tiled: DataFrame) -> DataFrame:
     ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
 
 
-def similar_pairs(df: DataFrame, row_id: str, vector: str, floor: float, tile_rows: int = 1024) -> DataFrame:
-    """Pairs (i < j, score) of a labelled set whose cosine reaches ``floor``."""
-    slim = df.select(F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), F.size(vector).alias("dims"))
+def similarity_forest(
+    df: DataFrame, row_id: str, vector: str, floor: float, label: str | None = None, tile_rows: int = 1024
+) -> DataFrame:
+    """Edges (i < j, score) that connect the same rows as all pairs with
+    cosine >= ``floor`` do, at that and at every higher threshold; with
+    ``label``, pairs inside one label only.
+
+    A tile pair answers with a maximum spanning forest of its pairs, fewer
+    edges than rows: leaving out the weakest edge of a cycle never changes
+    which rows hang together."""
+    group = F.col(label) if label else F.lit(0)
+    slim = df.select(
+        F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), group.alias("label"), F.size(vector).alias("dims")
+    )
     tiled = cut_lineage(with_tiles(slim, ["dims"], "row_id", tile_rows))
-    return _meet(tiled.drop("dims"), _all_tile_pairs(tiled), _similar_kernel(floor), "i long, j long, score double")
+    return _meet(tiled.drop("dims"), _all_tile_pairs(tiled), _forest_kernel(floor), "i long, j long, score double")
 
 
 def _extremes_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

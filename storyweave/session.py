@@ -19,7 +19,9 @@ def build_session(master: str | None = None, app: str = "storyweave", **extra: s
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    # checkpoints of tables nobody refers to any more are removed
+    cleaning = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**SETTINGS, **cleaning, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

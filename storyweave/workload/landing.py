@@ -14,7 +14,7 @@ from storyweave.operators import publish
 from storyweave.operators.dedup import first_by_content
 from storyweave.plans import bundle_io, jobs
 from storyweave.session import checkpoint_root, cut_lineage
-from storyweave.sources import embedding, scans
+from storyweave.sources import embedding, registry, scans
 from storyweave.streaming import ingest, state
 from storyweave.workload import bundle, relations
 from storyweave.workload.registry import AS_OF, query, with_tables
@@ -99,6 +99,18 @@ def _collected(spark, sf) -> jobs.Collected:
         backfill_days=20, ignore_cadence=True)
 
 
+@query("raw_item_dispatch", with_tables(extra={"docs": _LANDED["docs"]}, body=f"""
+    SELECT source AS source_id, CASE k % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'github_releases' ELSE 'hackernews' END AS plugin, count(*) AS items,
+           count(DISTINCT {SHARED}) AS urls FROM docs
+    WHERE CASE k % 3 WHEN 2 THEN doc_id % 11 <> 0 AND doc_id % 10 <> 9 AND doc_id % 250 >= 100 ELSE doc_id % 13 <> 0 END GROUP BY ALL"""))
+def raw_item_dispatch(spark, sf):
+    """All sources through the plugin registry into one table."""
+    rows = registry.read_landed(fx.landed(spark, sf), ["rss", "github_releases", "hackernews"])
+    k = F.substring("source_id", 4, 10).cast("int")
+    return rows.groupBy("source_id").agg(F.count("*").alias("items"), F.count_distinct("url").alias("urls")).select(
+        "source_id", F.get(F.array(F.lit("rss"), F.lit("github_releases"), F.lit("hackernews")), k % 3).alias("plugin"), "items", "urls")
+
+
 @query("collect", with_tables("sources", extra=_LANDED, body="""
     SELECT s.source_id, coalesce(n.n, 0) AS new_items, coalesce(p.n, 0) - coalesce(n.n, 0) AS skipped_duplicates,
            CASE WHEN s.k % 6 = 4 THEN 'HTTPError: ' || s.source_id END AS error

@@ -132,6 +132,13 @@ def story_rollup(spark, sf):
         "item_count", "outlet_count", "has_dated_item")
 
 
+@query("distinct_affected", with_tables("members", body="SELECT DISTINCT story_id FROM members WHERE pub >= 1705276800"))
+def distinct_affected(spark, sf):
+    """Stories that gained an item since a point in time."""
+    fresh = fx.members(spark, sf).where(F.col("published_at") >= F.timestamp_seconds(F.lit(1705276800)))
+    return fresh.select("story_id").distinct()
+
+
 @query("story_centroids", with_tables("centroids", body="""
     SELECT story_id, round(list_sum(centroid), 5) AS total, round(list_dot_product(centroid, centroid), 5) AS norm2 FROM centroids"""))
 def story_centroids(spark, sf):
@@ -275,7 +282,7 @@ _VECS = {"vecs": "SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
     "walk": "SELECT i AS node, i AS hop FROM strong UNION SELECT w.node, s.j FROM walk w JOIN strong s ON s.i = w.hop"}, body="""
     SELECT node, min(hop) AS component FROM walk GROUP BY node"""))
 def connected_components(spark, sf):
-    edges = pairs.similar_pairs(fx.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.35)
+    edges = pairs.similarity_forest(fx.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.35)
     return story_ops.connected_components(edges)
 
 
@@ -301,8 +308,9 @@ _SWEEP = "SELECT t / 100.0::DOUBLE AS threshold, high < t / 100.0::DOUBLE AND lo
 
 def _sweep_points(spark, sf) -> DataFrame:
     labelled = labelled_vectors(spark, sf)
-    found = cut_lineage(pairs.similar_pairs(labelled, "row_id", "embedding", 0.20))
-    return calibrate.threshold_sweep(found, labelled.select("row_id", "label"))
+    inside = cut_lineage(pairs.similarity_forest(labelled, "row_id", "embedding", 0.20, "label"))
+    crossing = pairs.cosine_extremes(labelled, "row_id", "embedding", "label")
+    return calibrate.threshold_sweep(inside, crossing, labelled.select("row_id", "label"))
 
 
 @query("threshold_sweep", with_tables(extra=_TWINS, body=_SWEEP))

@@ -192,6 +192,35 @@ def test_sweep(spark):
     assert rows[3].item_count == 2  # untouched
 
 
+def test_forest_connects_like_all_pairs(spark):
+    from storyweave.operators.stories import connected_components
+
+    gen = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in gen.normal(size=3)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "row_id long, vector array<double>")
+    for tile in (7, 1024):
+        forest = pairs.similarity_forest(frame, "row_id", "vector", 0.9, tile_rows=tile)
+        if tile == 1024:
+            assert forest.count() < 60
+        got = {r.node: r.component for r in connected_components(forest).collect()}
+        parent = list(range(60))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        linked = set()
+        for i, a in rows:
+            for j, b in rows:
+                a_, b_ = np.array(a), np.array(b)
+                if i < j and round(float(a_ @ b_ / np.sqrt((a_ @ a_) * (b_ @ b_))), 9) >= 0.9:
+                    linked |= {i, j}
+                    x, y = find(i), find(j)
+                    parent[max(x, y)] = min(x, y)
+        assert got == {n: find(n) for n in linked}
+
+
 def test_sweep_of_thresholds_equals_brute_force(spark):
     gen = np.random.default_rng(3)
     centres = gen.normal(size=(6, 8)) * 2
@@ -221,16 +250,18 @@ def test_sweep_of_thresholds_equals_brute_force(spark):
         truth = {frozenset(i for i in range(36) if i % 6 == k) for k in range(6)}
         return {frozenset(g) for g in groups.values()} == truth
 
-    found = pairs.similar_pairs(frame, "row_id", "vector", 0.20, tile_rows=10)
-    assert {(r.i, r.j) for r in found.collect()} == {k for k, s in score.items() if s >= 0.2}
-    sweep = calibrate.threshold_sweep(found, frame)
+    found = pairs.similarity_forest(frame, "row_id", "vector", 0.20, "label", tile_rows=10)
+    for r in found.collect():
+        assert score[r.i, r.j] == r.score and r.i % 6 == r.j % 6
+    ends = pairs.cosine_extremes(frame, "row_id", "vector", "label", tile_rows=10)
+    sweep = calibrate.threshold_sweep(found, ends, frame)
     got = {round(r.threshold, 2): r.passes for r in sweep.collect()}
     want = {t / 100: passes(t / 100) for t in range(20, 95)}
     assert got == want and any(want.values())
     band = calibrate.safe_band(sweep).first()
     good = [t for t, ok in want.items() if ok]
     assert (band.low, band.high) == (min(good), max(good))
-    ends = pairs.cosine_extremes(frame, "row_id", "vector", "label", tile_rows=10).first()
+    ends = ends.first()
     assert ends.lowest_same == min(s for (i, j), s in score.items() if i % 6 == j % 6)
     assert ends.highest_different == max(s for (i, j), s in score.items() if i % 6 != j % 6)
     none = calibrate.safe_band(sweep.withColumn("passes", F.lit(False))).first()
