@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.functions import text, vectors
+from storyweave.session import cut_lineage
 
 
 def judge_relevance(
@@ -66,14 +67,17 @@ def sweep_findings(
     scope = members.where(F.col("story_id").isNotNull() & F.col("embedding").isNotNull())
     if source_ids:
         scope = scope.where(F.col("source_id").isin(source_ids))
-    off = judge_relevance(scope, centroid, **settings).where(~is_on_topic(min_hits))
+    # judged once into a slim table; a filter pushed below would judge again
+    judged = cut_lineage(
+        judge_relevance(scope, centroid, **settings)
+        .select("item_id", "title", "source_id", "story_id", F.when(~is_on_topic(min_hits), reject_reason()).alias("reason"))
+    )
     named = stories.select(
         "story_id", F.col("title").alias("story_title"), F.col("category").alias("story_category"),
         F.col("score").alias("story_score"),
     )
     return (
-        off.select("item_id", "title", "source_id", "story_id", reject_reason().alias("reason"))
-        .join(named, "story_id", "left")
+        judged.where(F.col("reason").isNotNull()).join(named, "story_id", "left")
     )
 
 

@@ -95,7 +95,7 @@ def _collected(spark, sf) -> jobs.Collected:
         "plugin", F.get(F.array(F.lit("rss"), F.lit("github_releases"), F.lit("hackernews")), F.col("k") % 3)
     ).withColumn("coverage_warning", F.lit(None).cast("string"))
     return jobs.collect(
-        fx.landed(spark, sf), sources, known, fx.AS_OF, ["rss", "github_releases", "hackernews"],
+        cut_lineage(fx.landed(spark, sf)), sources, known, fx.AS_OF, ["rss", "github_releases", "hackernews"],
         backfill_days=20, ignore_cadence=True)
 
 
