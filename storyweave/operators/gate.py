@@ -12,14 +12,12 @@ from storyweave.session import cut_lineage
 def judge_relevance(
     items: DataFrame, centroid: DataFrame, *, cosine_threshold: float = 0.12,
     cosine_thresholds: dict[str, float] | None = None, phrases: list[str] | None = None,
-    cosine_digits: int | None = None,
 ) -> DataFrame:
     """Add topic_cosine, keyword_hits and topic_threshold. ``centroid`` is the
     one-row topic vector."""
-    cos = vectors.cosine_to_unit(F.col("embedding"), F.col("_topic"))
     return (
         items.withColumn("_topic", centroid.select("centroid").scalar())
-        .withColumn("topic_cosine", F.round(cos, cosine_digits) if cosine_digits is not None else cos)
+        .withColumn("topic_cosine", vectors.cosine_to_unit(F.col("embedding"), F.col("_topic")))
         .withColumn("keyword_hits", text.keyword_hits(text.embed_text(F.col("title"), F.col("text")), phrases))
         .withColumn("topic_threshold", vectors.threshold_for(F.col("model_id"), cosine_thresholds or {}, cosine_threshold))
         .drop("_topic")

@@ -48,10 +48,10 @@ def _first_by_content(spark, sf):
 
 
 _JUDGED = {"judged": f"""
-    SELECT i.*, round({sql_cos('i.v', 't.topic')}, 6) AS cos, {sql_keyword_hits("title || chr(10) || chr(10) || text")} AS hits,
+    SELECT i.*, {sql_cos('i.v', 't.topic')} AS cos, {sql_keyword_hits("title || chr(10) || chr(10) || text")} AS hits,
            CASE WHEN model_id = 'm2' THEN 0.05 ELSE 0.12 END AS threshold FROM items i, topic t"""}
 _REASON = "printf('off-topic: cosine=%.3f (threshold %.3f), keyword_hits=%d', cos, threshold, hits)"
-_GATE = {"cosine_threshold": 0.12, "cosine_thresholds": {"m2": 0.05}, "cosine_digits": 6}
+_GATE = {"cosine_threshold": 0.12, "cosine_thresholds": {"m2": 0.05}}
 
 
 @query("relevance_gate", with_tables("items", "topic", extra=_JUDGED, body=f"""
