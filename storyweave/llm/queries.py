@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyweave.llm import decontaminate, packing, simhash
-from storyweave.llm.batches import table
+from storyweave.llm import decontaminate, langid, packing, quality, simhash, toxicity
+from storyweave.llm.batches import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +34,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.components(table(spark, sf_dir, "documents")))
 
 
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, table(spark, sf_dir, "labels"), *quality.site())
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op7_benchmark_decontamination", f"""
     WITH d AS (SELECT doc_id, {_WORDS.format('coalesce(text, chr(32))')} AS w FROM documents),
     b AS (SELECT item_id, {_WORDS.format('coalesce(text, chr(32))')} AS w FROM benchmark),
