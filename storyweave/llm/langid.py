@@ -183,13 +183,11 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 1000) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by DIMENSIONS and the languages
+    # the model travels with the plan; DIMENSIONS and the languages bound it
 
     def make() -> Step:
-        own = sent.value
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.predict(t) for t in batch.column("text").to_pylist()]
+            found = [model.predict(t) for t in batch.column("text").to_pylist()]
             return pa.record_batch(
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
@@ -202,13 +200,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents whose language is told with a score of ``least`` or more,
     all columns kept; a null lang is filled with the prediction."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Step:
-        own = sent.value
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.predict(t) for t in batch.column("text").to_pylist()]
+            found = [model.predict(t) for t in batch.column("text").to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             if "lang" in columns:
                 columns["lang"] = pa.array(

@@ -181,10 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
     n = rest if enough else sizes
     share = {y: per_class * (2 - y) / max(n[y], 1) for y in (0, 1)}
     judged = pool.where(F.when(F.col("y") == 1, sampled(F.hash("doc_id"), share[1])).otherwise(sampled(F.hash("doc_id"), share[0])))
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def rows() -> Step:
-        compressors = sent.value.compressors()
+        compressors = dictionaries.compressors()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = describe(utf8(batch.column("text")), compressors)
@@ -208,14 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score and predicted of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size and a few weights
+    # two dictionaries of bounded size and a few weights travel with the plan
 
     def make() -> Step:
-        own = sent.value
-        compressors = own.dictionaries.compressors() if own else ()
+        compressors = model.dictionaries.compressors() if model else ()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = own.scores(utf8(batch.column("text")), compressors) if own else np.zeros(batch.num_rows)
+            p = model.scores(utf8(batch.column("text")), compressors) if model else np.zeros(batch.num_rows)
             return pa.record_batch([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
         return step
