@@ -94,17 +94,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(
     rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int,
-    alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, rounds: int = 3,
+    alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, rounds: int = 3, dimensions: int = DIMENSIONS,
 ) -> np.ndarray:
     """Weights by per-coordinate FTRL-proximal steps, one document at a time.
     The bias is the last feature and bears no penalty."""
-    z = np.zeros((DIMENSIONS + 1, classes))
-    n = np.zeros((DIMENSIONS + 1, classes))
+    z = np.zeros((dimensions + 1, classes))
+    n = np.zeros((dimensions + 1, classes))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
 
-    bias = np.array([DIMENSIONS])
+    bias = np.array([dimensions])
     for _ in range(rounds):
         for (features, values), label in zip(rows, labels, strict=True):
             at, x = np.concatenate((features, bias)), np.append(values, 1.0)
