@@ -5,8 +5,8 @@ A rule is a host and a path, like ``example.com/en/``: it fits its host and all
 subdomains if the URL's path starts with the rule's; the longest rule wins. The
 features are lengths, depth, digit ratio, entropies, counts of parameters,
 labels and signs, and suffix statistics: how often URLs with the same last one,
-two or three labels of the host were blocked among all decided URLs, by hashed
-suffix, so that the table has a fixed size.
+two or three labels of the host, alone or with the head of the path, were blocked
+among all decided URLs, by hashed suffix, so that the table has a fixed size.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is judged by its features; without decided URLs of both
@@ -66,9 +66,12 @@ class Rules:
         return best
 
 
-def suffix_buckets(host: str) -> list[int]:
-    labels = host.split(".")
-    return [zlib.crc32(f"{k}:{'.'.join(labels[-k:])}".encode()) % BUCKETS for k in SUFFIXES]
+def suffix_buckets(host: str, path: str) -> list[int]:
+    """Of the host's suffixes, alone and with the head of the path."""
+    labels, head = host.split("."), path[1:].partition("/")[0]
+    suffixes = [".".join(labels[-k:]) for k in SUFFIXES]
+    keys = [f"{k}:{s}" for k, s in zip(SUFFIXES, suffixes, strict=True)] + [f"{k}:{s}/{head}" for k, s in zip(SUFFIXES, suffixes, strict=True)]
+    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys]
 
 
 def entropy(text: str) -> float:
@@ -162,7 +165,7 @@ class Model:
     suffixes: np.ndarray  # log odds of block by hashed suffix
 
     def features(self, url: str | None, host: str, path: str) -> list[float]:
-        return lexical(url, host, path) + [float(self.suffixes[b]) for b in suffix_buckets(host)]
+        return lexical(url, host, path) + [float(self.suffixes[b]) for b in suffix_buckets(host, path)]
 
     def verdicts(self, rows: list[tuple[str | None, str, str]]) -> list[str]:
         if self.forest is None or not rows:
@@ -199,7 +202,7 @@ def fit(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_rows: in
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
             for url, blocked in zip(batch.column("url").to_pylist(), batch.column("blocked").to_pylist(), strict=True):
-                for bucket in suffix_buckets(parts(url)[0]):
+                for bucket in suffix_buckets(*parts(url)):
                     n[bucket] += 1
                     b[bucket] += blocked
             seen = np.flatnonzero(n)
