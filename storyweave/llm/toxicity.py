@@ -1,8 +1,9 @@
-"""Toxicity by compression distance. Two zstandard dictionaries are trained, an
-ordinary one and a toxic one; a window of words is compressed with the ordinary
-dictionary and with both together, and the bytes that the toxic one saves are
-the window's distance. A document's windows give counts above thresholds, which
-a logistic regression on labelled documents turns into a probability.
+"""Toxicity by compression distance. zstandard dictionaries are trained on
+ordinary and on toxic text; a window of words is compressed with the ordinary
+dictionary and with it and a toxic one together, and the bytes that the toxic
+one saves are the window's distance. There are two toxic dictionaries, of the
+strictest and of more words. A document's windows give counts above thresholds,
+which a logistic regression on labelled documents turns into a probability.
 
 Training reads a sample of about ``per_class`` documents of each label, chosen by
 a hash of doc_id. The ordinary dictionary is trained by zstandard on windows of
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from storyweave.llm.batches import Step, map_batches, sampled, utf8
 from storyweave.llm.quality import fit_logistic
 
-WINDOW = 8
+WINDOW = 6
 LEVEL = 3
-ORDINARY_BYTES = 65_536
-TOXIC_BYTES = 65_536
-STEPS = np.arange(2, 9)
+ORDINARY_BYTES = 16_384
+TOXIC_BYTES = 16_384
+#: How many times as frequent a word of each toxic dictionary has to be in toxic documents.
+RATIOS = (8.0, 5.0)
+STEPS = np.arange(1, 9)
 #: Windows are compressed in groups of about this many bytes of text.
 GROUP = 4_000_000
 
@@ -56,17 +59,18 @@ def windows(text: bytes | None, size: int = WINDOW) -> tuple[bytes, np.ndarray]:
 @dataclass(frozen=True)
 class Dictionaries:
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    def compressors(self) -> list[zstandard.ZstdCompressor]:
+        """The ordinary one first."""
         made = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary, *(self.ordinary + t for t in self.toxic)):
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             settings = zstandard.ZstdCompressionParameters.from_level(
                 LEVEL, dict_size=len(content), source_size=64, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
             dictionary.precompute_compress(compression_params=settings)
             made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings))
-        return made[0], made[1]
+        return made
 
 
 def _lengths(compressor: zstandard.ZstdCompressor, text: bytes, spans: np.ndarray) -> np.ndarray:
@@ -74,9 +78,10 @@ def _lengths(compressor: zstandard.ZstdCompressor, text: bytes, spans: np.ndarra
     return np.fromiter(map(len, compressor.multi_compress_to_buffer(segments)), np.int64, len(spans))
 
 
-def describe(texts: list[bytes | None], compressors: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:
+def describe(texts: list[bytes | None], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
     """A row per text: what the distances of its windows come to."""
-    rows = np.zeros((len(texts), 2 * len(STEPS) + 3))
+    width = 2 * len(STEPS) + 2
+    rows = np.zeros((len(texts), width * (len(compressors) - 1) + 1))
     at = 0
     while at < len(texts):
         parts, spans, owners, size, first = [], [], [], 0, at
@@ -87,18 +92,20 @@ def describe(texts: list[bytes | None], compressors: tuple[zstandard.ZstdCompres
             owners.append(np.full(len(found), at - first))
             size += len(text)
             at += 1
-        span, owner = np.concatenate(spans), np.concatenate(owners)
+        span, owner, joined = np.concatenate(spans), np.concatenate(owners), b"".join(parts)
         if not len(span):
             continue
-        joined = b"".join(parts)
-        saved = _lengths(compressors[0], joined, span) - _lengths(compressors[1], joined, span)
-        n = np.bincount(owner, minlength=at - first)
-        over = np.column_stack([np.bincount(owner, saved >= k, at - first) for k in STEPS])
-        shares = over / np.maximum(n, 1)[:, None]
-        mean = np.bincount(owner, saved, at - first) / np.maximum(n, 1)
-        best = np.zeros(at - first)
-        np.maximum.at(best, owner, saved)
-        rows[first:at] = np.column_stack((np.log1p(over), np.sqrt(shares), mean, best, np.log1p(n)))
+        count = at - first
+        n = np.bincount(owner, minlength=count)
+        rows[first:at, -1] = np.log1p(n)
+        plain = _lengths(compressors[0], joined, span)
+        for k, compressor in enumerate(compressors[1:]):
+            saved = plain - _lengths(compressor, joined, span)
+            over = np.column_stack([np.bincount(owner, saved >= step, count) for step in STEPS])
+            mean = np.bincount(owner, saved, count) / np.maximum(n, 1)
+            best = np.zeros(count)
+            np.maximum.at(best, owner, saved)
+            rows[first:at, width * k : width * (k + 1)] = np.column_stack((np.log1p(over), np.sqrt(over / np.maximum(n, 1)[:, None]), mean, best))
     return rows
 
 
@@ -109,7 +116,7 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
 
-    def scores(self, texts: list[bytes | None], compressors: tuple) -> np.ndarray:
+    def scores(self, texts: list[bytes | None], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
         x = np.clip((describe(texts, compressors) - self.mean) / self.scale, -8, 8)
         return 1 / (1 + np.exp(-np.clip(np.column_stack((x, np.ones(len(x)))) @ self.weights, -30, 30)))
 
@@ -121,30 +128,28 @@ def train_dictionaries(documents: list[tuple[int, list[bytes]]]) -> Dictionaries
     for y, runs in documents:
         totals[y] += 1
         counts[y].update({w for run in runs for w in run.split() if 4 <= len(w) <= 40})
-    chosen: dict[bytes, int] = {}
+    bounds: dict[bytes, float] = {}
     for word, n in counts[1].items():
-        if n < 3:
-            continue
-        m = counts[0][word]
-        ratio = np.log((n + 0.5) / (totals[1] + 1)) - np.log((m + 0.5) / (totals[0] + 1))
-        if ratio - 2.3 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) > np.log(2.5):
-            chosen[word] = n
-    kept, size = [], 0
-    for word in sorted(chosen, key=lambda w: (-chosen[w], w)):
-        size += len(word) + 2
-        if size > TOXIC_BYTES:
-            break
-        kept.append(word)
+        if n >= 3:
+            m = counts[0][word]
+            ratio = np.log((n + 0.5) / (totals[1] + 1)) - np.log((m + 0.5) / (totals[0] + 1))
+            bounds[word] = float(ratio - 2.3 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)))
+    frequent = sorted(bounds, key=lambda w: (-counts[1][w], w))
+    toxic = []
+    for least in RATIOS:
+        kept = [w for w in frequent if bounds[w] > np.log(least)]
+        fits = np.cumsum([len(w) + 2 for w in kept]) <= TOXIC_BYTES
+        toxic.append(b" " + b"  ".join(reversed([w for w, ok in zip(kept, fits, strict=True) if ok])) + b" ")
     ordinary = [run for y, runs in documents if not y for run in runs]
     step = max(1, len(ordinary) // 40_000)
     try:
         content = zstandard.train_dictionary(ORDINARY_BYTES, ordinary[::step], k=16, d=6, level=LEVEL).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
         content = b"".join(ordinary)[-ORDINARY_BYTES:] or b" "
-    return Dictionaries(content, b" " + b"  ".join(reversed(kept)) + b" ")
+    return Dictionaries(content, tuple(toxic))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, most_windows: int = 512) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, most_windows: int = 256) -> Model | None:
     """``learn`` says, of doc_id, which labels may be learned from."""
     usable = (
         labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -210,7 +215,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     # two dictionaries of bounded size and a few weights travel with the plan
 
     def make() -> Step:
-        compressors = model.dictionaries.compressors() if model else ()
+        compressors = model.dictionaries.compressors() if model else []
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             p = model.scores(utf8(batch.column("text")), compressors) if model else np.zeros(batch.num_rows)
