@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,21 +138,22 @@ def extract_entities(text: Column) -> Column:
 
 
 def keyword_hits(text: Column, phrases: list[str] | None = None, acronym: str = KEYWORD_ACRONYM) -> Column:
-    listed = "|".join(phrases if phrases is not None else KEYWORD_PHRASES)
-    return F.coalesce(
-        F.regexp_count(text, F.lit(rf"(?iU)\b({listed})\b"))
-        + F.regexp_count(text, F.lit(rf"(?U)\b{acronym}\b")),
-        F.lit(0),
-    )
+    """Hits of the phrases, in any case, and of the acronym, in its own. Both
+    are plain text, not patterns."""
+    hits = F.regexp_count(text, F.lit(rf"(?U)\b{re.escape(acronym)}\b"))
+    listed = "|".join(re.escape(p) for p in (phrases if phrases is not None else KEYWORD_PHRASES) if p)
+    if listed:
+        hits = hits + F.regexp_count(text, F.lit(rf"(?iU)(?<!\w)({listed})(?!\w)"))
+    return F.coalesce(hits, F.lit(0))
 
 
 def meta_image(markup: Column, page_url: Column) -> Column:
     """Share image a page declares, skipping hosts known not to last."""
     def candidate(name: str) -> Column:
-        tag = F.regexp_extract(markup, rf"(?is)(<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{name}[\"'][^>]*>)", 1)
-        content = strip(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))
+        tag = F.regexp_extract(markup, rf"(?is)(<meta\b[^>]*\b(?:property|name)\s*=\s*([\"']){name}\2[^>]*>)", 1)
+        content = strip(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*([\"'])(.*?)\1", 2))
         absolute = let(
-            F.replace(content, F.lit("&amp;"), F.lit("&")),
+            unescape_html(content),
             lambda c: F.when(c != "", urls.resolve_url(page_url, c)),
         )
         return let(absolute, lambda a: F.when(~urls.is_denied_host(a), a))

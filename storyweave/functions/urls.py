@@ -104,6 +104,20 @@ def is_denied_host(url: Column, denied: list[str] | None = None) -> Column:
     return F.coalesce(let(netloc(url), check), F.lit(False))
 
 
+def fold_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    def step(done: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == ".", done)
+            .when(segment == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+            .otherwise(F.array_append(done, segment))
+        )
+
+    folded = let(F.split(path, "/"), lambda parts: F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array(F.get(parts, F.lit(0))), step))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), let(folded, lambda f: F.when(F.size(f) == 1, F.lit("/")).otherwise(F.array_join(f, "/")))).otherwise(path)
+
+
 def resolve_url(base: Column, link: Column) -> Column:
     """Absolute form of a link found on the page ``base``."""
     scheme = F.coalesce(F.nullif(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit("")), F.lit("https"))
@@ -113,12 +127,17 @@ def resolve_url(base: Column, link: Column) -> Column:
         link,
         lambda x: F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x)
         .when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
-        .when(x.startswith("/"), F.concat(origin, x))
+        .when(x.startswith("/"), F.concat(origin, _folded(x)))
         .when(x.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), x))
-        .otherwise(F.concat(origin, folder, x)),
+        .otherwise(F.concat(origin, _folded(F.concat(folder, x)))),
     )
 
 
+def _folded(reference: Column) -> Column:
+    """Dot segments are folded in the path, not in a query or fragment."""
+    return F.concat(fold_dots(F.regexp_extract(reference, r"^([^?#]*)", 1)), F.regexp_extract(reference, r"^[^?#]*(.*)$", 1))
+
+
 def is_paper_abstract(url: Column) -> Column:
     return url.startswith(PAPER_ABSTRACT_PREFIX)
 

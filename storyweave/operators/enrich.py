@@ -103,19 +103,30 @@ def parse_tier1(responses: DataFrame) -> DataFrame:
         text.strip_reasoning(F.col("text")), "headline string, summary string, category string"
     )
     return responses.withColumn("_a", answer).select(
-        "story_id", F.concat_ws(":", "provider", "model").alias("summary_provider"),
+        "story_id", _answered_at(responses), F.concat_ws(":", "provider", "model").alias("summary_provider"),
         _trimmed("_a.headline").alias("headline"), _trimmed("_a.summary").alias("summary"),
         _trimmed("_a.category").alias("category"),
         F.when(F.col("_a").isNull(), F.lit("expected a JSON object")).alias("error"),
     )
 
 
+def _one_answer(answers: DataFrame) -> DataFrame:
+    """One answer (_r) per story: the latest by ``answered_at``, and of equals,
+    or without that column, the greatest."""
+    return answers.groupBy("story_id").agg(F.max_by("_r", F.struct("_at", "_r")).alias("_r"))
+
+
+def _answered_at(responses: DataFrame) -> Column:
+    at = F.col("answered_at") if "answered_at" in responses.columns else F.lit(None)
+    return at.cast("timestamp").alias("_at")
+
+
 def apply_tier1(stories: DataFrame, responses: DataFrame) -> DataFrame:
-    """Stories with the accepted answers applied; a failed answer leaves its
-    story as it was."""
-    good = parse_tier1(responses).where(F.col("error").isNull()).select(
-        "story_id", F.struct("headline", "summary", "category", "summary_provider").alias("_r")
-    )
+    """Stories with the accepted answers applied, one per story; a failed
+    answer leaves its story as it was."""
+    good = _one_answer(parse_tier1(responses).where(F.col("error").isNull()).select(
+        "story_id", "_at", F.struct("headline", "summary", "category", "summary_provider").alias("_r")
+    ))
     hit = F.col("_r").isNotNull()
     return (
         stories.join(good, "story_id", "left")
@@ -130,14 +141,14 @@ def apply_tier1(stories: DataFrame, responses: DataFrame) -> DataFrame:
 
 def apply_tier2(stories: DataFrame, responses: DataFrame, as_of: datetime) -> DataFrame:
     """responses (story_id, text, provider, model, degraded). A degraded
-    answer is kept but queued for another try."""
-    answers = responses.where(F.col("text").isNotNull()).select(
-        "story_id",
+    answer is kept but queued for another try. One answer counts per story."""
+    answers = _one_answer(responses.where(F.col("text").isNotNull()).select(
+        "story_id", _answered_at(responses),
         F.struct(
             text.strip_reasoning(F.col("text")).alias("analysis"),
             F.concat_ws(":", "provider", "model").alias("by"), "degraded",
         ).alias("_r"),
-    )
+    ))
     hit = F.col("_r").isNotNull()
     return (
         stories.join(answers, "story_id", "left")

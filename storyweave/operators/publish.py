@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from storyweave import schemas
 from storyweave.functions import text
@@ -55,7 +56,7 @@ def story_source_ids(members: DataFrame) -> DataFrame:
 
 
 def story_evidence(members: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """(story_id, part, evidence[]) with evidence by item id. A story of any
+    """(story_id, part, part_count, evidence[]) with evidence by item id. A story of any
     size is cut into parts of bounded length; nearly all have one."""
     slim = members.select(
         "story_id", F.col("item_id").alias("id"), "title", "url", "source_id", iso("published_at").alias("published_at")
@@ -65,6 +66,7 @@ def story_evidence(members: DataFrame, part_rows: int = 10_000) -> DataFrame:
         placed.withColumn("part", F.floor((F.col("position") - 1) / part_rows).cast("long"))
         .groupBy("story_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("id", "title", "url", "source_id", "published_at"))).alias("evidence"))
+        .withColumn("part_count", F.count("*").over(W.partitionBy("story_id")).cast("long"))
     )
 
 
@@ -80,7 +82,7 @@ def story_details(stories: DataFrame, members: DataFrame, sources: DataFrame, pa
     if "image_url" in members.columns:
         full = full.join(lead_images(inside, sources), "story_id", "left")
     document = full.select(
-        F.col("story_id").cast("long").alias("id"), "part", "title", _optional(full, "kind", schemas.S).alias("kind"),
+        F.col("story_id").cast("long").alias("id"), "part", "part_count", "title", _optional(full, "kind", schemas.S).alias("kind"),
         *[_optional(full, c, schemas.S).alias(c)
           for c in ("category", "summary", "summary_provider", "analysis", "analysis_provider")],
         "score", _optional(full, "score_breakdown", schemas.BREAKDOWN).alias("score_breakdown"),
@@ -99,7 +101,7 @@ def serialise(document: DataFrame, columns: list[str], keep: list[str]) -> DataF
 
 def detail_files(documents: DataFrame) -> DataFrame:
     columns = [f.name for f in schemas.STORY_DETAIL]
-    files = serialise(documents, columns, ["id", "part"])
+    files = serialise(documents, columns, ["id", "part", "part_count"])
     suffix = F.when(F.col("part") > 0, F.format_string("-%d", "part")).otherwise(F.lit(""))
     return files.withColumn("path", F.concat(F.format_string("story/%d", "id"), suffix, F.lit("-"), F.col("hash"), F.lit(".json")))
 
@@ -290,7 +292,7 @@ def build_bundle(
     table feeds several outputs."""
     chosen = materialise(publishable(stories, members, as_of, retention_days))
     documents = materialise(story_details(chosen, members, sources, part_rows))
-    check_contract(documents.drop("part"), schemas.STORY_DETAIL, "story detail")
+    check_contract(documents.drop("part", "part_count"), schemas.STORY_DETAIL, "story detail")
     details = detail_files(documents)
     cards = materialise(feed_rows(chosen, members, details, sources))
     check_contract(cards.drop("feed_pos"), schemas.FEED_ROW, "feed row")

@@ -281,18 +281,16 @@ def territory_order(sources: DataFrame) -> DataFrame:
 
 
 def story_lookup(cards: DataFrame, details: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Details of the requested stories; ``found`` is false for absent ids.
-    ``wanted`` (reader_id, story_id)."""
-    known = cards.select("story_id", F.col("detail_path"))
-    return (
-        wanted.join(known, "story_id", "left")
-        .join(details.select(F.col("path").alias("detail_path"), "payload"), "detail_path", "left")
-        .withColumn("found", F.col("payload").isNotNull())
-    )
+    """Details of the requested stories, a row for every part of a story's
+    document; ``found`` is false for ids without a card. ``wanted``
+    (reader_id, story_id), ``details`` (id, part, part_count, path, payload)."""
+    carded = details.join(cards.select("story_id"), details["id"] == cards["story_id"], "left_semi")
+    parts = carded.select(F.col("id").alias("story_id"), "part", "part_count", F.col("path").alias("detail_path"), "payload")
+    return wanted.join(parts, "story_id", "left").withColumn("found", F.col("payload").isNotNull())
 
 
 def open_signals(lookups: DataFrame) -> DataFrame:
     """Opening a story marks it read and counts as an 'open' signal."""
-    return lookups.where("found").select(
+    return lookups.where("found").select("reader_id", "story_id").distinct().select(
         "reader_id", "story_id", F.explode(F.array(F.lit("read"), F.lit("open"))).alias("signal")
     )

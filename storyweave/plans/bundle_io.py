@@ -24,7 +24,9 @@ def publish_bundle(
     anything is written."""
     bundle = publish.build_bundle(stories, members, sources, as_of, materialise=cut_lineage, **settings)
     base = f"{out}/run={run_id}"
-    bundle.details.select("id", "part", "path", "hash", "payload").write.mode("overwrite").parquet(f"{base}/story")
+    # without its manifest an earlier run of the same id is not read while it is replaced
+    _delete(stories.sparkSession, f"{base}/manifest")
+    bundle.details.select("id", "part", "part_count", "path", "hash", "payload").write.mode("overwrite").parquet(f"{base}/story")
     bundle.page_files.select("page", "path", "hash", "count", "payload").write.mode("overwrite").parquet(f"{base}/pages")
     bundle.embeddings.write.mode("overwrite").parquet(f"{base}/embeddings")
     bundle.sources.write.mode("overwrite").parquet(f"{base}/sources")
@@ -38,22 +40,30 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
-def complete_runs(spark: SparkSession, out: str) -> list[str]:
-    """Run ids with a finished manifest, oldest first."""
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _finished(spark: SparkSession, out: str) -> list[tuple[str, str]]:
+    """(generated_at, run id) of the runs with a finished manifest, oldest first."""
     runs = [name[4:] for name in _children(spark, out) if name.startswith("run=")]
-    return [r for r in runs if "_SUCCESS" in _children(spark, f"{out}/run={r}/manifest")]
+    done = [r for r in runs if "_SUCCESS" in _children(spark, f"{out}/run={r}/manifest")]
+    return sorted((spark.read.parquet(f"{out}/run={r}/manifest").first()["generated_at"], r) for r in done)
+
+
+def complete_runs(spark: SparkSession, out: str) -> list[str]:
+    """Run ids with a finished manifest, oldest first by the time in it."""
+    return [run for _, run in _finished(spark, out)]
 
 
 def prune_runs(spark: SparkSession, out: str, keep: int = 1) -> list[str]:
-    """Remove all but the newest complete runs; returns what went."""
+    """Remove complete runs except the newest ``keep``; returns what went, oldest
+    first. A run without a manifest may still be being written and stays."""
     done = complete_runs(spark, out)
-    kept = set(done[-keep:]) if keep else set()
-    gone = []
-    for name in _children(spark, out):
-        if name.startswith("run=") and name[4:] not in kept and (not done or name[4:] <= done[-1]):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            gone.append(name[4:])
+    gone = done[: len(done) - keep] if keep else done
+    for run in gone:
+        _delete(spark, f"{out}/run={run}")
     return gone
 
 

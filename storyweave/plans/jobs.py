@@ -18,7 +18,7 @@ from storyweave.operators.dedup import first_by_content, first_by_url, new_items
 from storyweave.operators.ordering import ordinal
 from storyweave.operators.rank import top_stories
 from storyweave.session import cut_lineage
-from storyweave.sources.registry import read_landed
+from storyweave.sources.registry import read_landed, unreadable
 
 
 def _now(as_of: datetime):
@@ -60,15 +60,20 @@ def collect(
     options: dict[str, dict] | None = None, **schedule,
 ) -> Collected:
     """landed (plugin, source_id, payload, error?) -> new items. A source
-    whose landing failed keeps its last_run_at and gains a failure; the rest
-    advance together with their items."""
+    whose landing failed, or whose payload does not parse, keeps its last_run_at
+    and gains a failure; the rest advance together with their items. Coverage
+    is judged on all entries of a payload, before the window cuts them."""
     due = due_sources(sources, as_of, **schedule)
     polled = landed.join(due.select("source_id", "since"), "source_id")
     if "error" not in landed.columns:
         polled = polled.withColumn("error", F.lit(None).cast("string"))
-    broken = polled.where(F.col("error").isNotNull()).groupBy("source_id").agg(F.max("error").alias("_error"))
+    failed_rows = polled.where(F.col("error").isNotNull()).select("source_id", "error").unionByName(
+        unreadable(polled.where(F.col("error").isNull())))
+    broken = cut_lineage(failed_rows.groupBy("source_id").agg(F.max("error").alias("_error")))
     usable = polled.join(broken, "source_id", "left_anti")
-    raw = cut_lineage(read_landed(usable, plugins, options))
+    whole = cut_lineage(read_landed(usable.drop("since"), plugins, options))
+    raw = whole.join(due.select("source_id", "since"), "source_id").where(
+        labels.since_filter(F.col("published_at"), F.col("since"))).drop("since")
     firsts = first_by_url(raw.withColumn("_arrival", F.struct("source_id", "entry_no", "url")), "_arrival")
     fresh = new_items(firsts, known)
     start = F.coalesce(known.agg(F.max("item_id").alias("m")).select("m").scalar(), F.lit(0))
@@ -91,7 +96,7 @@ def collect(
         )
     )
     warnings = health.coverage_warning(
-        raw.join(sources.where(F.col("plugin") == "rss").select("source_id"), "source_id", "left_semi"), due
+        whole.join(sources.where(F.col("plugin") == "rss").select("source_id"), "source_id", "left_semi"), due
     )
     polled_ids = usable.select("source_id").distinct().withColumn("_ok", F.lit(True))
     after = (

@@ -42,6 +42,19 @@ for _name, _reader in {
     register(_name)(_reader)
 
 
+#: Plugins whose payloads are JSON of this form.
+_JSON = {"hackernews": scans.POSTS_SCHEMA}
+
+
+def unreadable(landed: DataFrame) -> DataFrame:
+    """(source_id, error) of landed JSON payloads that do not parse. Of XML the
+    entries that can be recovered are read."""
+    bad = F.lit(False)
+    for name, schema in _JSON.items():
+        bad = bad | ((F.col("plugin") == name) & F.from_json("payload", schema).isNull())
+    return landed.where(bad & F.col("payload").isNotNull()).select("source_id", F.lit("payload is not valid JSON").alias("error"))
+
+
 def read_landed(landed: DataFrame, plugins: list[str], options: dict[str, dict] | None = None) -> DataFrame:
     """All raw items of a landed table (plugin, source_id, payload, ...)."""
     parts = [

@@ -40,7 +40,8 @@ def stories(spark, sf) -> DataFrame:
         .withColumn("importance_rank", F.when(s % 10 == 0, s.cast("int")))
         .withColumn("importance_band", F.when(s % 10 == 0, F.when(s % 20 == 0, F.lit("notable")).otherwise(F.lit("landmark"))))
         .withColumn("importance_reason", F.lit(None).cast("string"))
-        .withColumn("ranked_by", F.lit(None).cast("string")).withColumn("ranked_at", F.lit(None).cast("timestamp"))
+        .withColumn("ranked_by", F.when(s % 10 == 0, F.lit("before")))
+        .withColumn("ranked_at", F.when(s % 10 == 0, F.timestamp_seconds(F.lit(1704067200))))
     )
 
 
@@ -253,24 +254,28 @@ def accept_ranking(spark, sf):
         F.array_join(F.transform("accepted", lambda a: a["story_id"].cast("string")), ",").alias("ids"), "error")
 
 
-@query("cleared_ranks", sql("SELECT story_id FROM stories WHERE importance_rank IS NOT NULL AND NOT list_contains((SELECT ids FROM done WHERE run_id = 'src0-0'), story_id)",
+@query("cleared_ranks", sql("SELECT story_id FROM stories WHERE importance_rank IS NOT NULL AND story_id NOT IN (SELECT unnest(ids) FROM done)",
        {**_FOLD}, recursive=True))
 def cleared_ranks(spark, sf):
     answers, shortlists = _responses(spark, sf)
-    one = rank.accept_ranking(answers.where("run_id = 'src0-0'"), shortlists, top_n=1000)
-    return rank.cleared_ranks(stories(spark, sf), rank.rank_snapshot(one))
+    every = rank.accept_ranking(answers, shortlists, top_n=1000)
+    return rank.cleared_ranks(stories(spark, sf), rank.rank_snapshot(every))
 
 
 @query("apply_ranking", sql("""
     SELECT s.story_id, k.pos AS importance_rank, CASE WHEN k.pos IS NOT NULL THEN CASE WHEN s.story_id % 2 = 0 THEN 'notable' ELSE 'landmark' END END AS importance_band,
-           CASE WHEN k.pos IS NOT NULL THEN 'because ' || s.story_id END AS importance_reason
-    FROM stories s LEFT JOIN (SELECT row_number() OVER (ORDER BY r) AS pos, i FROM (SELECT unnest(ranks) AS r, unnest(ids) AS i FROM done WHERE run_id = 'src0-0')) k ON k.i = s.story_id""",
+           CASE WHEN k.pos IS NOT NULL THEN 'because ' || s.story_id END AS importance_reason,
+           CASE WHEN k.pos IS NOT NULL THEN 'p:m' WHEN s.story_id % 10 = 0 THEN 'before' END AS ranked_by,
+           CASE WHEN k.pos IS NOT NULL THEN 1706659200 WHEN s.story_id % 10 = 0 THEN 1704067200 END AS ranked_at
+    FROM stories s LEFT JOIN (SELECT i, arg_max(pos, run_id) AS pos FROM (
+        SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY r) AS pos, i FROM (SELECT run_id, unnest(ranks) AS r, unnest(ids) AS i FROM done)) GROUP BY i) k ON k.i = s.story_id""",
     _FOLD, recursive=True))
 def apply_ranking(spark, sf):
     answers, shortlists = _responses(spark, sf)
-    one = cut_lineage(rank.accept_ranking(answers.where("run_id = 'src0-0'"), shortlists, top_n=1000))
-    return rank.apply_ranking(stories(spark, sf), one, fx.AS_OF).select(
-        "story_id", F.col("importance_rank").cast("long").alias("importance_rank"), "importance_band", "importance_reason")
+    every = cut_lineage(rank.accept_ranking(answers, shortlists, top_n=1000))
+    return rank.apply_ranking(stories(spark, sf), every, fx.AS_OF).select(
+        "story_id", F.col("importance_rank").cast("long").alias("importance_rank"), "importance_band", "importance_reason",
+        "ranked_by", F.unix_seconds("ranked_at").alias("ranked_at"))
 
 
 @query("band_groups", sql("SELECT story_id, importance_band, importance_rank, CASE importance_band WHEN 'landmark' THEN 1 ELSE 3 END AS band_order FROM stories WHERE importance_rank IS NOT NULL"))
@@ -539,12 +544,20 @@ def visibility_filter(spark, sf):
 
 
 @query("story_lookup", rsql("""
-    SELECT w.reader_id, w.story_id, c.story_id IS NOT NULL AS found FROM (SELECT DISTINCT reader_id, story_id FROM reader_signals WHERE signal = 'open') w LEFT JOIN cards c ON c.story_id = w.story_id"""))
+    SELECT w.reader_id, w.story_id, c.story_id IS NOT NULL AS found, CASE WHEN c.story_id IS NOT NULL THEN ceil(e.n / 3.0)::BIGINT ELSE 0 END AS parts,
+           CASE WHEN c.story_id IS NOT NULL THEN e.ids ELSE '' END AS evidence_ids
+    FROM (SELECT DISTINCT reader_id, story_id FROM reader_signals WHERE signal = 'open') w LEFT JOIN cards c ON c.story_id = w.story_id
+    LEFT JOIN (SELECT story_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM members GROUP BY story_id) e ON e.story_id = w.story_id"""))
 def story_lookup(spark, sf):
+    """Evidence in parts of three, so that most stories have several."""
     cards, chosen, m = _cards(spark, sf)
-    files = publish.detail_files(publish.story_details(chosen, m, fx.sources(spark, sf)))
+    files = publish.detail_files(publish.story_details(chosen, m, fx.sources(spark, sf), part_rows=3))
     wanted = fx.reader_signals(spark, sf).where("signal = 'open'").select("reader_id", "story_id").distinct()
-    return reader.story_lookup(cards.select(F.col("id").alias("story_id"), "detail_path"), files, wanted).select("reader_id", "story_id", "found")
+    ids = F.from_json("payload", "evidence array<struct<id:bigint>>")["evidence"]["id"]
+    found = reader.story_lookup(cards.select(F.col("id").alias("story_id"), "detail_path"), files, wanted)
+    return found.groupBy("reader_id", "story_id").agg(
+        F.bool_or("found").alias("found"), F.count("part").alias("parts"),
+        F.array_join(F.array_sort(F.flatten(F.collect_list(ids))), ",").alias("evidence_ids"))
 
 
 @query("open_signals", rsql("""

@@ -129,10 +129,21 @@ def collected_items(spark, sf):
 @query("collect_source_state", with_tables("sources", extra=_LANDED, body=f"""
     SELECT source_id, CASE WHEN enabled AND k % 6 <> 4 THEN {AS_OF} ELSE last_run_at END::BIGINT AS last_run_at,
            CASE WHEN NOT enabled THEN consecutive_failures WHEN k % 6 = 4 THEN consecutive_failures + 1 ELSE 0 END AS consecutive_failures,
-           CASE WHEN NOT enabled THEN last_error WHEN k % 6 = 4 THEN 'HTTPError: ' || source_id END AS last_error FROM sources"""))
+           CASE WHEN NOT enabled THEN last_error WHEN k % 6 = 4 THEN 'HTTPError: ' || source_id END AS last_error,
+           CASE WHEN NOT enabled OR k % 6 = 4 THEN ''
+                ELSE coalesce(capped, '') || CASE WHEN capped IS NOT NULL AND missed THEN '; ' ELSE '' END || CASE WHEN missed THEN 'window' ELSE '' END END AS coverage
+    FROM (SELECT s.*, CASE WHEN s.last_run_at IS NULL THEN 'first run' ELSE 'gap' END AS capped,
+              s.k % 3 = 0 AND coalesce(w.dated, 0) > 0 AND w.oldest > u.since AS missed
+          FROM sources s LEFT JOIN (SELECT source_id, 1706659200 - 20 * 86400 AS since FROM sources WHERE enabled) u ON u.source_id = s.source_id
+          LEFT JOIN (SELECT source_id, count(seen) AS dated, min(seen) AS oldest FROM raw GROUP BY 1) w ON w.source_id = s.source_id)"""))
 def collect_source_state(spark, sf):
     return _collected(spark, sf).sources.select(
-        "source_id", F.unix_seconds("last_run_at").alias("last_run_at"), "consecutive_failures", "last_error")
+        "source_id", F.unix_seconds("last_run_at").alias("last_run_at"), "consecutive_failures", "last_error",
+        F.array_join(F.filter(F.array(
+            F.when(F.col("coverage_warning").contains("first run"), F.lit("first run")),
+            F.when(F.col("coverage_warning").contains("gap since last run"), F.lit("gap")),
+            F.when(F.col("coverage_warning").contains("all"), F.when(F.col("coverage_warning").contains("dated entries"), F.lit("window"))),
+        ), lambda x: x.isNotNull()), "; ").alias("coverage"))
 
 
 # -- normalize, embed, images -----------------------------------------------------
@@ -202,7 +213,7 @@ def bundle_read(spark, sf):
     UNION ALL SELECT 'with body', 'story detail: unknown field text', count(*) FROM published"""))
 def contract_check(spark, sf):
     chosen, m = bundle._published(spark, sf)
-    documents = publish.story_details(chosen, m, fx.sources(spark, sf)).drop("part")
+    documents = publish.story_details(chosen, m, fx.sources(spark, sf)).drop("part", "part_count")
     leaking = documents.withColumn("text", F.lit("article body"))
     out = []
     for name, frame in (("good", documents), ("with body", leaking)):

@@ -170,3 +170,22 @@ def test_effective_since(spark):
     assert one(spark, since.cast("string")) == "2023-10-12 00:00:00"
     since, capped = labels.effective_since(F.lit(None).cast("timestamp"), F.lit(None).cast("int"), now)
     assert one(spark, since.cast("string")) == "2024-01-08 00:00:00" and one(spark, capped) is True
+
+
+def test_phrases_are_plain_text(spark):
+    def hits(value, phrases):
+        return spark.range(1).select(text.keyword_hits(F.lit(value), phrases).alias("x")).first().x
+
+    assert hits("node.js and nodexjs", ["node.js"]) == 1
+    assert hits("three plain words", []) == 0
+    assert hits("c++ or C++, not c+", ["c++"]) == 2
+
+
+def test_meta_image_quotes_references_and_dots(spark):
+    def image(tag, page="https://x.com/a/b/c.html"):
+        return spark.range(1).select(text.meta_image(F.lit(tag), F.lit(page)).alias("x")).first().x
+
+    assert image("<meta property=\"og:image\" content=\"https://x.com/o'brien.png\">") == "https://x.com/o'brien.png"
+    assert image("<meta property='og:image' content='/i.png?a=1&amp;b=2&#x26;c'>") == "https://x.com/i.png?a=1&b=2&c"
+    assert image('<meta name="og:image" content="../img/./i.png">') == "https://x.com/a/img/i.png"
+    assert image('<meta name="og:image" content="../../../../i.png?q=../x">') == "https://x.com/i.png?q=../x"

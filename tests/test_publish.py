@@ -79,7 +79,7 @@ def test_contract_refuses_before_writing(spark, tmp_path):
         bundle_io.publish_bundle(stories, members.withColumn("url", F.when(F.col("story_id") != 3, F.col("url"))), sources, out, "r", NOW)
     assert bundle_io.complete_runs(spark, out) == []
     chosen = publish.publishable(stories, members, NOW)
-    documents = publish.story_details(chosen, members, sources).drop("part")
+    documents = publish.story_details(chosen, members, sources).drop("part", "part_count")
     for frame in (documents.withColumn("text", F.lit("x")), documents.drop("evidence"), documents.withColumn("score", F.lit("x"))):
         assert publish.contract_violations(frame, schemas.STORY_DETAIL, "d")
     assert publish.contract_violations(documents, schemas.STORY_DETAIL, "d") == []

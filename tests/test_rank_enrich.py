@@ -19,53 +19,52 @@ def story(spark, *rows):
     return spark.createDataFrame([tuple({**base, **r}.get(n) for n in names) for r in rows], STORY)
 
 
-def accept(entries, allowed, top_n=50):
-    """The rules, one entry after the other."""
-    ids, ranks, taken, refused = set(), set(), [], 0
-    for e in entries:
-        ok = isinstance(e, dict)
-        if ok:
-            r = e.get("rank")
-            try:
-                r = int(r)
-            except (TypeError, ValueError):
-                ok = False
-            ok = ok and isinstance(e.get("id"), int) and e["id"] in allowed and e["id"] not in ids
-            ok = ok and e.get("band") in rank.BANDS and r >= 1 and r not in ranks
-            ok = ok and isinstance(e.get("reason") or "", str)
-        if not ok:
-            refused += 1
-            continue
-        ids.add(e["id"])
-        ranks.add(r)
-        taken.append((r, e["id"], e["band"], (e.get("reason") or "").strip() or None))
-    taken.sort()
-    return [(t[1], n, t[2], t[3]) for n, t in enumerate(taken[:top_n], 1)], refused
-
-
 def run(spark, texts, allowed, top_n=50):
     answers = spark.createDataFrame([(f"r{i}", t, "p", "m") for i, t in enumerate(texts)], "run_id string, text string, provider string, model string")
     lists = spark.createDataFrame([(f"r{i}", a) for i in range(len(texts)) for a in allowed], "run_id string, story_id long")
     return {r.run_id: r for r in rank.accept_ranking(answers, lists, top_n).collect()}
 
 
-def test_fold_equals_loop(spark):
+def listed(row):
+    return [(a.story_id, a.importance_rank, a.importance_band, a.importance_reason) for a in row.accepted]
+
+
+def test_acceptance_by_hand(spark):
+    ok = {"id": 1, "rank": 2, "band": "notable", "reason": " because "}
+    cases = [
+        ([ok, {"id": 2, "rank": 1, "band": "landmark"}], [(2, 1, "landmark", None), (1, 2, "notable", "because")], 0),
+        ([ok, ok], [(1, 1, "notable", "because")], 1),  # a repeated id
+        ([ok, {**ok, "id": 2}], [(1, 1, "notable", "because")], 1),  # a repeated rank
+        ([{**ok, "id": 9}, {**ok, "band": "epic"}, {**ok, "rank": 0}, {**ok, "rank": None}, {**ok, "rank": "x"}, {**ok, "id": "1"}, 7, "noise", ok],
+         [(1, 1, "notable", "because")], 8),
+        ([{**ok, "rank": " 6 "}, {**ok, "id": 2, "rank": 3.7, "reason": ""}], [(2, 1, "notable", None), (1, 2, "notable", "because")], 0),
+        ([{**ok, "id": 2.5}, {**ok, "id": None}], [], 2),
+    ]
+    got = run(spark, [json.dumps(c[0]) for c in cases], [1, 2, 3])
+    for k, (_, accepted, refused) in enumerate(cases):
+        assert (listed(got[f"r{k}"]), got[f"r{k}"].rejected) == (accepted, refused)
+
+
+def test_acceptance_properties(spark):
     rng = random.Random(3)
-    pool = [1, 2, 3, 4, 5, 6, 99, "2", None, 2.5]
-    texts, wanted = [], []
-    for _ in range(40):
-        entries = []
-        for _ in range(rng.randrange(1, 12)):
-            e = {"id": rng.choice(pool), "rank": rng.choice([1, 2, 3, 4, 5, "3", " 6 ", 3.7, 0, -1, None, "x"]),
-                 "band": rng.choice([*rank.BANDS, "epic"]), "reason": rng.choice([" because ", None, "", "two"])}
-            entries.append(rng.choice([e, e, e, "noise", 7]))
-        texts.append(json.dumps({"ranked": entries} if rng.random() < 0.7 else entries))
-        wanted.append(accept(entries, {1, 2, 3, 4, 5, 6}))
-    got = run(spark, texts, [1, 2, 3, 4, 5, 6])
-    for i, (taken, refused) in enumerate(wanted):
-        r = got[f"r{i}"]
-        assert [(a.story_id, a.importance_rank, a.importance_band, a.importance_reason) for a in r.accepted] == taken, texts[i]
-        assert r.rejected == refused
+    pool, answers = [1, 2, 3, 4, 5, 6, 99, "2", None, 2.5], []
+    for _ in range(25):
+        entries = [
+            rng.choice([{"id": rng.choice(pool), "rank": rng.choice([1, 2, 3, 4, "3", 3.7, 0, None, "x"]), "band": rng.choice([*rank.BANDS, "epic"])}] * 4 + ["noise"])
+            for _ in range(rng.randrange(2, 12))]
+        answers.append(entries)
+    whole = run(spark, [json.dumps(e) for e in answers], range(1, 7))
+    prefix = run(spark, [json.dumps({"ranked": e[:-1]}) for e in answers], range(1, 7))
+    clean = run(spark, [json.dumps([x for x in e if x != "noise"] or ["noise"]) for e in answers], range(1, 7))
+    for k, entries in enumerate(answers):
+        row = whole[f"r{k}"]
+        ids = [a.story_id for a in row.accepted]
+        assert len(set(ids)) == len(ids) and set(ids) <= set(range(1, 7))
+        assert [a.importance_rank for a in row.accepted] == list(range(1, len(ids) + 1))
+        assert len(ids) + row.rejected == len(entries)
+        # what comes later takes nothing away, and refused entries change nothing
+        assert {a.story_id for a in prefix[f"r{k}"].accepted} <= set(ids)
+        assert listed(clean[f"r{k}"]) == listed(row)
 
 
 def test_odd_answers(spark):
@@ -85,11 +84,12 @@ def test_refused_entry_keeps_rank_and_id_free(spark):
 
 
 def test_apply_rewrites_wholesale_and_failure_changes_nothing(spark):
-    base = story(spark, {"story_id": 1, "importance_rank": 1, "importance_band": "notable"}, {"story_id": 2})
+    base = story(spark, {"story_id": 1, "importance_rank": 1, "importance_band": "notable", "ranked_by": "old:x"}, {"story_id": 2})
     answers = spark.createDataFrame([("r", json.dumps([{"id": 2, "rank": 4, "band": "landmark"}]), "p", "m")], "run_id string, text string, provider string, model string")
     lists = spark.createDataFrame([("r", 1), ("r", 2)], "run_id string, story_id long")
     done = {r.story_id: r for r in rank.apply_ranking(base, rank.accept_ranking(answers, lists), NOW).collect()}
-    assert done[1].importance_rank is None and (done[2].importance_rank, done[2].ranked_by, done[2].ranked_at) == (1, "p:m", NOW)
+    assert (done[1].importance_rank, done[1].importance_band, done[1].ranked_by) == (None, None, "old:x")
+    assert (done[2].importance_rank, done[2].ranked_by, done[2].ranked_at) == (1, "p:m", NOW)
     bad = rank.accept_ranking(answers.withColumn("text", F.lit("no")), lists)
     kept = {r.story_id: r.importance_rank for r in rank.apply_ranking(base, bad, NOW).collect()}
     assert kept == {1: 1, 2: None}
@@ -113,6 +113,8 @@ def test_tier1(spark):
     done = {r.story_id: r for r in enrich.apply_tier1(rows, answers).collect()}
     assert (done[1].title, done[1].summary, done[1].category, done[1].status, done[1].summary_provider) == ("New", "s", None, "enriched", "p:m")
     assert (done[2].title, done[2].status) == ("old", "new")
+    twice = answers.unionByName(answers.withColumn("text", F.lit('{"headline": "Later", "summary": "z"}'))).where("story_id = 1")
+    assert [r.story_id for r in enrich.apply_tier1(rows, twice).where("status = 'enriched' and story_id = 1").collect()] == [1]
 
 
 def test_tier2_budget(spark):

@@ -81,70 +81,58 @@ def test_stream_with_several_files(spark, story_vectors, tmp_path):
     same(got, sequential_centroids(signals, vectors))
 
 
-def spread(main, reserved):
-    """Reserved entries between the others, one step apart."""
-    step = max(1, len(main) // (len(reserved) + 1)) if reserved else math.inf
-    out, since = [], 0
-    main, reserved = list(main), list(reserved)
-    while main or reserved:
-        if main:
-            out.append(main.pop(0))
-            since += 1
-        if reserved and since >= step:
-            out.append(reserved.pop(0))
-            since = 0
-        elif not main and reserved:
-            out.extend(reserved)
-            reserved = []
-    return out
-
-
-def sequential_rerank(rows):
-    def scale(values):
-        lo, hi = min(values), max(values)
-        return [0.5 if lo == hi else (v - lo) / (hi - lo) for v in values]
-
-    fit, imp = scale([r[3] for r in rows]), scale([r[2] for r in rows])
-    cards = [dict(id=r[1], pos=r[4], f=f, i=i, c=0.5 * i + 0.5 * f) for r, f, i in zip(rows, fit, imp)]
-    reserve = math.floor(len(cards) * 0.15 + 0.5)
-    by_importance = sorted(cards, key=lambda c: -c["i"])
-    low = [c for c in by_importance if c["f"] <= 0.4]
-    picks = (low if len(low) >= reserve else by_importance)[:reserve]
-    main = sorted([c for c in cards if c not in picks], key=lambda c: -c["c"])
-    return [c["id"] for c in spread(main, picks)]
-
-
-def test_rerank_equals_loop(spark):
-    rng = random.Random(2)
-    rows, want = [], {}
-    for r, n in enumerate([1, 2, 3, 4, 7, 20, 41, 60]):
-        scores = sorted((round(rng.random(), 2) for _ in range(n)), reverse=True)
-        mine = [(r, 100 * r + i, s, 0.3 if r == 5 else round(rng.uniform(-1, 1), 1), i + 1) for i, s in enumerate(scores)]
-        rows += mine
-        want[r] = sequential_rerank(mine)
-    got = reader.rerank(spark.createDataFrame(rows, "reader_id long, story_id long, score double, fit double, feed_pos long"))
+def reranked(spark, rows):
+    frame = spark.createDataFrame(rows, "reader_id long, story_id long, score double, fit double, feed_pos long")
     places = {}
-    for row in got.collect():
+    for row in reader.rerank(frame).collect():
         places.setdefault(row.reader_id, {})[row.position] = row.story_id
-    for r, order in want.items():
-        assert [places[r][p] for p in range(1, len(order) + 1)] == order
-
-
-def test_interleave_matches_loop_for_all_sizes(spark):
-    cases = [(n, math.floor(n * 0.15 + 0.5)) for n in range(0, 120)]
-    rows, want = [], {}
-    for n, reserved in cases:
-        main = n - reserved
-        tags = [("m", k) for k in range(1, main + 1)], [("r", k) for k in range(1, reserved + 1)]
-        want[n] = spread(*tags)
-        rows += [(n, kind == "r", k, main, reserved) for kind, k in tags[0] + tags[1]]
+    return {r: [p[k] for k in sorted(p)] for r, p in places.items() if sorted(p) == list(range(1, len(p) + 1))}
+
+
+def test_rerank_by_hand(spark):
+    # importance scales to 1 .. 0; card 1 fits worst and takes the one reserved place, after three others
+    fits = [-1.0, 1.0, 0.0, 0.6, -0.5, 0.2, 0.9]
+    first = [(1, k + 1, 0.7 - 0.1 * k, fit, k + 1) for k, fit in enumerate(fits)]
+    # equal fits: none is a bad fit, so the most important card is reserved
+    second = [(2, k + 1, 0.9 - 0.1 * k, 0.3, k + 1) for k in range(4)]
+    # too few cards for a reserved place
+    third = [(3, 1, 0.2, 0.1, 1), (3, 2, 0.1, 0.9, 2), (3, 3, 0.05, 0.8, 3)]
+    got = reranked(spark, first + second + third)
+    assert got[1] == [2, 4, 3, 1, 7, 6, 5]
+    assert got[2] == [2, 1, 3, 4]
+    assert sorted(got[3]) == [1, 2, 3] and got[3].index(2) < got[3].index(3)
+
+
+def test_rerank_keeps_every_card_once(spark):
+    rng = random.Random(2)
+    rows, sizes = [], [1, 2, 5, 20, 41, 60]
+    for r, n in enumerate(sizes):
+        scores = sorted((round(rng.random(), 2) for _ in range(n)), reverse=True)
+        rows += [(r, 100 * r + i, s, round(rng.uniform(-1, 1), 1), i + 1) for i, s in enumerate(scores)]
+    got = reranked(spark, rows)
+    assert {r: sorted(order) for r, order in got.items()} == {r: sorted(x[1] for x in rows if x[0] == r) for r in range(len(sizes))}
+
+
+def test_reserved_places_are_evenly_apart(spark):
+    rows = []
+    for n in range(1, 120):
+        reserved = math.floor(n * 0.15 + 0.5)
+        rows += [(n, False, k, n - reserved, reserved) for k in range(1, n - reserved + 1)]
+        rows += [(n, True, k, n - reserved, reserved) for k in range(1, reserved + 1)]
     frame = spark.createDataFrame(rows, "n long, reserved boolean, rank long, main long, taken long").withColumn(
         "p", reader.interleave_position(F.col("reserved"), F.col("rank"), F.col("main"), F.col("taken")))
-    got = {}
+    at = {}
     for r in frame.collect():
-        got.setdefault(r.n, {})[int(r.p)] = ("r" if r.reserved else "m", r["rank"])
-    for n, order in want.items():
-        assert [got[n][p] for p in range(1, n + 1)] == order if n else n not in got
+        at.setdefault(r.n, {})[r.reserved, r["rank"]] = int(r.p)
+    for n, places in at.items():
+        assert sorted(places.values()) == list(range(1, n + 1))
+        for kind in (False, True):
+            own = [places[k] for k in sorted(places) if k[0] == kind]
+            assert own == sorted(own)
+        held = sorted(p for (kind, _), p in places.items() if kind)
+        gaps = {b - a for a, b in zip([0, *held], held)}
+        # an equal number of other cards stands before each reserved one
+        assert len(gaps) <= 1 or n - held[-1] < max(gaps)
 
 
 def test_filters_come_before_ranking(spark):
