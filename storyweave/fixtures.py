@@ -38,6 +38,7 @@ def instant(column: str):
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     base = table(spark, sf_dir, "documents").select(
         doc.alias("item_id"),
         F.col("source").alias("source_id"),
@@ -52,14 +53,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(1704067200) + ((doc % 500) * 5184 + F.floor(doc / 500) * 1800) % 2592000
             ),
         ).alias("published_at"),
-        (doc % 500).alias("vec_id"),
+        (doc % embeddings.count()).alias("vec_id"),
         F.when(doc % 4 == 0, F.lit("m2")).otherwise(F.lit("m1")).alias("model_id"),
         F.when(
             doc % 3 == 0, F.array(F.format_string("https://ref.example.org/p/%d?x=%d", doc % 211, doc))
         ).otherwise(F.array().cast("array<string>")).alias("outbound_links"),
     )
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return base.join(vectors, "vec_id")
+    return base.join(embeddings, "vec_id")
 
 
 def signalled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,15 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reader_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals_of(table(spark, sf_dir, "events"))
+    return signals_of(table(spark, sf_dir, "events"), story_count(spark, sf_dir))
 
 
-def signals_of(events: DataFrame) -> DataFrame:
+def story_count(spark: SparkSession, sf_dir: str) -> int:
+    """Stories of ``members``, of five documents each."""
+    return max(1, -(-table(spark, sf_dir, "documents").count() // 5))
+
+
+def signals_of(events: DataFrame, stories: int) -> DataFrame:
     signal = (
         F.when(F.col("event_type") == "view", F.lit("open"))
         .when(F.col("event_type") == "purchase", F.lit("save"))
@@ -112,7 +117,7 @@ def signals_of(events: DataFrame) -> DataFrame:
     return (
         events.select(
             F.col("user_id").alias("reader_id"), F.col("event_id").alias("seq"),
-            (F.col("event_id") % 200).alias("story_id"), signal.alias("signal"), ts.alias("ts"),
+            (F.col("event_id") % stories).alias("story_id"), signal.alias("signal"), ts.alias("ts"),
             F.when(ts < F.timestamp_seconds(F.lit(1705276800)), F.lit("m1")).otherwise(F.lit("m2")).alias("model_id"),
         )
         .where(F.col("signal").isNotNull())

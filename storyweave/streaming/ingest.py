@@ -17,6 +17,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from storyweave.operators.dedup import first_by_url, new_items
 
 
+KEPT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("content_hash", T.StringType())])
+
+
 def _exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
@@ -53,12 +56,14 @@ def ingest_stream(
 
 
 def stage_stream(
-    rows: DataFrame, stage: Callable[[DataFrame], tuple[DataFrame, DataFrame]], out: str, checkpoint: str
+    rows: DataFrame, stage: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Drain a backlog through one stage. ``stage`` returns (kept, failed);
-    bad rows land in ``failed`` and never stop the batch."""
+    """Drain a backlog through one stage. ``stage`` gets a batch and what
+    earlier batches kept, as (item_id, content_hash), and returns (kept,
+    failed); bad rows land in ``failed`` and never stop the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept, failed = stage(batch)
+        known = earlier_batches(batch.sparkSession, f"{out}/kept", batch_id, KEPT)
+        kept, failed = stage(batch, known)
         kept.write.mode("overwrite").parquet(f"{out}/kept/batch={batch_id}")
         failed.write.mode("overwrite").parquet(f"{out}/failed/batch={batch_id}")
 

@@ -224,9 +224,16 @@ def contract_check(spark, sf):
 
 # -- streams ------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _stream(spark: SparkSession, sf: str, name: str, key: str, batches: int = 3) -> DataFrame:
+    """A table as a stream of several micro-batches: landed in turn by ranges of
+    its key, in threes so that copies of a link arrive together."""
+    rows, folder = fx.table(spark, sf, name), _scratch(spark, f"landed-{name}")
+    last = rows.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    part = F.floor(F.floor(F.col(key) / 3) * batches / (last // 3 + 1))
+    for k in range(batches):
+        rows.where(part == k).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(folder)
 
 
 @query("ingest_stream", f"""
@@ -234,7 +241,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def ingest_stream(spark, sf):
     out = _scratch(spark, "ingest")
     ingest.ingest_stream(
-        _stream(spark, sf, "documents"), lambda batch: scans.scan_rss(fx.rss_payloads(batch)), out, out + "-log",
+        _stream(spark, sf, "documents", "doc_id"), lambda batch: scans.scan_rss(fx.rss_payloads(batch)), out, out + "-log",
     ).awaitTermination()
     return spark.read.parquet(out).select("url_hash", "source_id")
 
@@ -244,8 +251,8 @@ def ingest_stream(spark, sf):
     FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {relations._HASH}) AS f FROM documents)""")
 def stage_stream(spark, sf):
     out = _scratch(spark, "stage")
-    rows = _stream(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    ingest.stage_stream(rows, first_by_content, out, out + "-log").awaitTermination()
+    rows = _stream(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("item_id"), "text")
+    ingest.stage_stream(rows, lambda batch, known: first_by_content(batch, "text", known), out, out + "-log").awaitTermination()
     kept, failed = (spark.read.parquet(f"{out}/{side}") for side in ("kept", "failed"))
     return kept.select("item_id", F.lit("kept").alias("outcome")).unionByName(failed.select("item_id", F.col("error").alias("outcome")))
 
@@ -254,7 +261,7 @@ def stage_stream(spark, sf):
     SELECT reader_id, round(list_sum(p) / sqrt(list_dot_product(p, p)), 5) AS positive_total, round(list_sum(n) / sqrt(list_dot_product(n, n)), 5) AS negative_total FROM cents"""))
 def reader_state_stream(spark, sf):
     out = _scratch(spark, "readers")
-    signals = fx.signals_of(_stream(spark, sf, "events"))
+    signals = fx.signals_of(_stream(spark, sf, "events", "event_id"), fx.story_count(spark, sf))
     state.state_stream(
         signals, state.merge_reader_state(bundle.story_vectors(spark, sf)), state.READER_STATE, out, out + "-log"
     ).awaitTermination()
@@ -272,7 +279,7 @@ def reader_state_stream(spark, sf):
 def source_health_stream(spark, sf):
     out = _scratch(spark, "sources")
     state.state_stream(
-        fx.runs_of(_stream(spark, sf, "events")), state.merge_source_state, state.SOURCE_STATE, out, out + "-log").awaitTermination()
+        fx.runs_of(_stream(spark, sf, "events", "event_id")), state.merge_source_state, state.SOURCE_STATE, out, out + "-log").awaitTermination()
     return state.latest_state(spark, out, state.SOURCE_STATE).select(
         "source_id", "consecutive_failures", F.unix_micros("last_run_at").alias("last_run_at"))
 
@@ -283,5 +290,5 @@ def source_health_stream(spark, sf):
 def provider_state_stream(spark, sf):
     out = _scratch(spark, "providers")
     state.state_stream(
-        fx.attempts_of(_stream(spark, sf, "events")), state.merge_provider_state, state.PROVIDER_STATE, out, out + "-log").awaitTermination()
+        fx.attempts_of(_stream(spark, sf, "events", "event_id")), state.merge_provider_state, state.PROVIDER_STATE, out, out + "-log").awaitTermination()
     return state.latest_state(spark, out, state.PROVIDER_STATE).withColumn("day", F.col("day").cast("string"))

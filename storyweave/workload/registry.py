@@ -86,11 +86,11 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                    || '/?utm_source=x&b=2&a=' || (d.doc_id % 5) AS url,
                CASE WHEN d.doc_id % 17 <> 0
                     THEN 1704067200 + ((d.doc_id % 500) * 5184 + (d.doc_id // 500) * 1800) % 2592000 END AS pub,
-               d.doc_id % 500 AS vec_id, CASE WHEN d.doc_id % 4 = 0 THEN 'm2' ELSE 'm1' END AS model_id,
+               d.doc_id % c.vectors AS vec_id, CASE WHEN d.doc_id % 4 = 0 THEN 'm2' ELSE 'm1' END AS model_id,
                CASE WHEN d.doc_id % 3 = 0
                     THEN ['https://ref.example.org/p/' || (d.doc_id % 211) || '?x=' || d.doc_id] ELSE [] END AS links,
                e.embedding::DOUBLE[] AS v
-        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500"""),
+        FROM documents d CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) c JOIN embeddings e ON e.vec_id = d.doc_id % c.vectors"""),
     "sources": ((), f"""
         SELECT source_id, k, round(0.4::DOUBLE + 0.05::DOUBLE * (k % 8), 2) AS authority, 30 + (k % 4) * 15 AS cadence_minutes,
                CASE k % 5 WHEN 0 THEN 'research' WHEN 1 THEN 'industry' WHEN 2 THEN 'policy' WHEN 3 THEN 'infrastructure' END AS territory,
@@ -130,7 +130,7 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM story_facts f JOIN centroids c ON c.story_id = f.story_id
         LEFT JOIN peaks p ON p.story_id = f.story_id LEFT JOIN authorities a ON a.story_id = f.story_id"""),
     "reader_signals": ((), """
-        SELECT user_id AS reader_id, event_id AS seq, event_id % 200 AS story_id,
+        SELECT user_id AS reader_id, event_id AS seq, event_id % (SELECT greatest(1, (count(*) + 4) // 5) FROM documents) AS story_id,
                CASE event_type WHEN 'view' THEN 'open' WHEN 'purchase' THEN 'save' ELSE 'dismiss' END AS signal, ts,
                CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'm1' ELSE 'm2' END AS model_id
         FROM events WHERE event_type IN ('view', 'purchase', 'error')"""),

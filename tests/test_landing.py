@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import vectors
 from storyweave.operators import calibrate, gate, pairs
+from storyweave.operators.dedup import first_by_content
 from storyweave.plans import jobs
 from storyweave.sources import embedding, registry, scans
 from storyweave.sources.embedding import hashing_encoder
@@ -111,6 +112,36 @@ def test_collect(spark):
     assert [r.url for r in repair.items.orderBy("item_id").collect()] == ["https://a.com/1", "https://a.com/2"]
 
 
+def test_collect_judges_coverage_before_the_cut(spark):
+    def feed(*dates):
+        items = "".join(f"<item><title>t</title><link>https://f.com/{d}</link>" + (f"<pubDate>{d} Jan 2024 00:00:00 GMT</pubDate>" if d < 90 else "") + "</item>" for d in dates)
+        return f"<rss version='2.0'><channel>{items}</channel></rss>"
+
+    sources = spark.createDataFrame(
+        [(s, "hackernews" if s == "broken" else "rss", True, 30, None, datetime(2024, 1, 5), 0, None, None) for s in ("mixed", "new", "undated", "broken")], SOURCES)
+    land = spark.createDataFrame(
+        [("rss", "mixed", feed(4, 6)), ("rss", "new", feed(6, 7)), ("rss", "undated", feed(98, 99)), ("hackernews", "broken", "[{")],
+        "plugin string, source_id string, payload string")
+    known = spark.createDataFrame([], "item_id long, url_hash string")
+    done = jobs.collect(land, sources, known, datetime(2024, 1, 7, 12), ["rss", "hackernews"])
+    after = {r.source_id: r for r in done.sources.collect()}
+    assert "all 2 dated" in after["new"].coverage_warning
+    assert "all" not in (after["mixed"].coverage_warning or "") and "all" not in (after["undated"].coverage_warning or "")
+    assert after["broken"].consecutive_failures == 1 and after["broken"].last_run_at == datetime(2024, 1, 5) and "JSON" in after["broken"].last_error
+    assert {r.source_id: r.new_items for r in done.counters.collect()} == {"mixed": 1, "new": 1, "undated": 2, "broken": 0}
+
+
+def test_stage_stream_knows_earlier_batches(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([(1, "same text"), (2, "other")], [(3, "same text"), (4, "Same  text"), (5, "third")]):
+        spark.createDataFrame(part, "item_id long, text string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("item_id long, text string").parquet(folder)
+        ingest.stage_stream(stream, lambda batch, known: first_by_content(batch, "text", known), out, out + "-log").awaitTermination()
+    kept = sorted(r.item_id for r in spark.read.parquet(f"{out}/kept").collect())
+    failed = {r.item_id: r.error for r in spark.read.parquet(f"{out}/failed").collect()}
+    assert 3 not in kept and failed[3] == "duplicate content of item 1" and {1, 2, 5} <= set(kept)
+
+
 def test_ingest_stream_dedups_across_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = [("s", "https://a.com/1"), ("s", "http://www.a.com/1/"), ("t", "https://a.com/2")], [("t", "https://A.com/1?utm_source=x"), ("t", "https://a.com/3")]

@@ -114,3 +114,26 @@ def test_scores(spark):
     assert [(r.story_id, r.score_breakdown.novelty) for r in some.collect()] == [(3, 0.0)]
     assert spark.range(1).select(scoring.combine({"a": F.lit(1.0)}, {"a": 1.0, "b": 3.0}).alias("x")).first().x == 0.25
     assert spark.range(1).select(scoring.combine({}, {}).alias("x")).first().x == 0.0
+
+
+def test_newest_run_is_the_latest_in_time(spark, tmp_path):
+    stories, members, sources = tables(spark)
+    out = str(tmp_path / "runs")
+    for run, hours in (("9", 0), ("10", 1)):
+        bundle_io.publish_bundle(stories, members, sources, out, run, NOW + timedelta(hours=hours))
+    assert bundle_io.complete_runs(spark, out) == ["9", "10"]
+    assert bundle_io.read_bundle(spark, out)["manifest"].first().generated_at.startswith("2024-01-10T01")
+    assert bundle_io.prune_runs(spark, out, keep=1) == ["9"] and bundle_io.complete_runs(spark, out) == ["10"]
+
+
+def test_lookup_returns_every_part(spark):
+    stories, members, sources = tables(spark, extra_members=4)
+    files = publish.detail_files(publish.story_details(stories, members, sources, part_rows=2))
+    cards = stories.where("story_id < 3").select("story_id")
+    wanted = spark.createDataFrame([(1, 1), (1, 3), (2, 99)], "reader_id long, story_id long")
+    from storyweave.operators import reader
+
+    rows = reader.story_lookup(cards, files, wanted).collect()
+    parts = sorted((r.part, r.part_count, [e["id"] for e in json.loads(r.payload)["evidence"]]) for r in rows if r.found)
+    assert parts == [(0, 3, [10, 1000]), (1, 3, [1001, 1002]), (2, 3, [1003])]
+    assert sorted((r.reader_id, r.story_id) for r in rows if not r.found) == [(1, 3), (2, 99)]
