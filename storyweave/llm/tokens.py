@@ -12,6 +12,7 @@ vocabulary with special tokens taken as ordinary text; tests compare the two.
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import public_tokenizers
@@ -28,11 +29,12 @@ GROUP = 12_000_000
 
 
 class Encoder:
-    """``ranks`` names a rank file. ``cached`` distinct pieces are remembered
+    """``ranks`` is the path of a rank file, or its name among the public
+    tokenizers. ``cached`` distinct pieces are remembered
     at most; when there are more, the memory starts anew."""
 
     def __init__(self, ranks: str = "byte_bpe_50k.tiktoken", cached: int = 1_500_000):
-        with open(public_tokenizers.path(ranks), "rb") as lines:
+        with open(ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.widths = np.zeros(max(table.values()) + 1, np.int64)
