@@ -24,9 +24,13 @@ HOUR_US = 3_600_000_000
 SCORE_DIGITS = 9
 
 
+#: Signals that calibration compares: the weights of cosine and entity overlap.
+SIGNALS = {"cosine": (1.0, 0.0), "entities": (0.0, 1.0), "blend": (0.6, 0.4)}
+
+
 def with_tiles(df: DataFrame, group: list[str], row_id: str, tile_rows: int) -> DataFrame:
     """Add ``tile``: the group key plus a salt that keeps tiles near
-    ``tile_rows`` rows however large the group is."""
+    ``tile_rows`` rows however large the group is, and ``tiles``, their number."""
     sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / tile_rows).alias("_tiles"))
     on = [F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
     condition = on[0]
@@ -36,7 +40,7 @@ def with_tiles(df: DataFrame, group: list[str], row_id: str, tile_rows: int) ->
     key = [F.coalesce(F.col(g).cast("string"), F.lit("-")) for g in group]
     return salted.withColumn(
         "tile", F.concat_ws("|", *key, F.pmod(F.xxhash64(row_id), F.col("_tiles")).cast("string"))
-    ).drop("_tiles")
+    ).withColumnRenamed("_tiles", "tiles")
 
 
 def _meet(items: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
@@ -291,11 +295,24 @@ def _spanning_forest(weight: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _forest_kernel(floor: float) -> Callable:
+def _signal_scores(left: pd.DataFrame, right: pd.DataFrame, signals: dict[str, tuple[float, float]]) -> dict[str, np.ndarray]:
+    cos = _cosines(_matrix(left.vec), _matrix(right.vec))
+    overlap = np.zeros(cos.shape)
+    if any(weight for _, weight in signals.values()):
+        rows, cols = np.indices(cos.shape).reshape(2, -1)
+        overlap = _jaccards(left.entities.tolist(), right.entities.tolist(), rows, cols).reshape(cos.shape)
+    return {name: np.round(a * cos + b * overlap, SCORE_DIGITS) for name, (a, b) in signals.items()}
+
+
+def _forest_kernel(floor: float, signals: dict[str, tuple[float, float]]) -> Callable:
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "score": []})
-        cos = np.round(_cosines(_matrix(left.vec), _matrix(right.vec)), SCORE_DIGITS)
+            return pd.DataFrame({"signal": [], "i": [], "j": [], "score": [], "whole": []})
+        whole = bool(left.tile.iloc[0] == right.tile.iloc[0] and left.tiles.iloc[0] == 1)
+        found = [edges_of(left, right, score).assign(signal=name) for name, score in _signal_scores(left, right, signals).items()]
+        return pd.concat(found, ignore_index=True).assign(whole=whole)[["signal", "i", "j", "score", "whole"]]
+
+    def edges_of(left: pd.DataFrame, right: pd.DataFrame, cos: np.ndarray) -> pd.DataFrame:
         allowed = (cos >= floor) & (left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :])
         if left.tile.iloc[0] == right.tile.iloc[0]:
             ids = left.row_id.to_numpy(np.int64)
@@ -318,54 +335,74 @@ def _forest_kernel(floor: float) -> Callable:
 
 
 def _all_tile_pairs(tiled: DataFrame) -> DataFrame:
-    stats = tiled.groupBy("tile", "dims").agg(F.count("*").alias("n"))
+    stats = tiled.groupBy("tile", "dims", "bucket").agg(F.count("*").alias("n"))
     return stats.alias("a").join(
-        stats.alias("b"), (F.col("a.dims") == F.col("b.dims")) & (F.col("a.tile") <= F.col("b.tile"))
+        stats.alias("b"),
+        (F.col("a.dims") == F.col("b.dims")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.tile") <= F.col("b.tile")),
     ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
 
 
 def similarity_forest(
-    df: DataFrame, row_id: str, vector: str, floor: float, label: str | None = None, tile_rows: int = 1024
+    df: DataFrame, row_id: str, vector: str, floor: float, label: str | None = None, tile_rows: int = 1024,
+    entities: str | None = None, signals: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """Edges (i < j, score) that connect the same rows as all pairs with
-    cosine >= ``floor`` do, at that and at every higher threshold; with
-    ``label``, pairs inside one label only.
+    """Edges (signal, i < j, score, whole) that connect the same rows as all
+    pairs with a score >= ``floor`` do, at that and at every higher threshold;
+    with ``label``, pairs inside one label only, and tiles are cut by label, so
+    that tile pairs grow with the rows. The score is the cosine, or, for each of
+    ``signals``, the weighted sum of the cosine and the overlap of ``entities``.
+    ``whole`` says that a label's edges all come from one tile.
 
     A tile pair answers with a maximum spanning forest of its pairs, fewer
     edges than rows: leaving out the weakest edge of a cycle never changes
     which rows hang together."""
-    group = F.col(label) if label else F.lit(0)
-    slim = df.select(
-        F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), group.alias("label"), F.size(vector).alias("dims")
+    slim = _labelled(df, row_id, vector, label, entities)
+    if label:
+        buckets = F.greatest(F.lit(1), F.ceil(F.lit(df.count()) / tile_rows))
+        slim = slim.withColumn("bucket", F.pmod(F.xxhash64("label"), buckets))
+    tiled = cut_lineage(with_tiles(slim, ["dims", "bucket"], "row_id", tile_rows))
+    kernel = _forest_kernel(floor, signals or {"cosine": SIGNALS["cosine"]})
+    return _meet(tiled.drop("dims", "bucket"), _all_tile_pairs(tiled), kernel, "signal string, i long, j long, score double, whole boolean")
+
+
+def _labelled(df: DataFrame, row_id: str, vector: str, label: str | None, entities: str | None) -> DataFrame:
+    """row_id, vec, label, hashed entities in order, dims and one bucket."""
+    known = F.coalesce(F.col(entities), F.array().cast("array<string>")) if entities else F.array().cast("array<string>")
+    return df.select(
+        F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), (F.col(label) if label else F.lit(0)).alias("label"),
+        F.array_sort(F.array_distinct(F.transform(known, lambda e: F.xxhash64(e)))).alias("entities"),
+        F.size(vector).alias("dims"), F.lit(0).cast("long").alias("bucket"),
     )
-    tiled = cut_lineage(with_tiles(slim, ["dims"], "row_id", tile_rows))
-    return _meet(tiled.drop("dims"), _all_tile_pairs(tiled), _forest_kernel(floor), "i long, j long, score double")
 
 
-def _extremes_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"lowest_same": [], "highest_different": []})
-    cos = np.round(_cosines(_matrix(left.vec), _matrix(right.vec)), SCORE_DIGITS)
-    same = left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :]
-    pair = left.row_id.to_numpy()[:, None] != right.row_id.to_numpy()[None, :]
-    return pd.DataFrame({
-        "lowest_same": [np.min(cos, where=same & pair, initial=np.inf)],
-        "highest_different": [np.max(cos, where=~same, initial=-np.inf)],
-    })
-
-
-def cosine_extremes(df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int = 1024) -> DataFrame:
-    """One row: lowest cosine inside a label and highest between labels. Each
-    tile pair answers with two numbers, no pair becomes a row."""
-    slim = df.select(
-        F.col(row_id).alias("row_id"), F.col(vector).alias("vec"), F.col(label).alias("label"), F.size(vector).alias("dims")
-    )
-    tiled = cut_lineage(with_tiles(slim, ["dims"], "row_id", tile_rows))
+def _extremes_kernel(signals: dict[str, tuple[float, float]]) -> Callable:
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"signal": [], "lowest_same": [], "highest_different": []})
+        same = left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :]
+        pair = left.row_id.to_numpy()[:, None] != right.row_id.to_numpy()[None, :]
+        return pd.DataFrame([
+            (name, np.min(score, where=same & pair, initial=np.inf), np.max(score, where=~same, initial=-np.inf))
+            for name, score in _signal_scores(left, right, signals).items()
+        ], columns=["signal", "lowest_same", "highest_different"])
+
+    return kernel
+
+
+def cosine_extremes(
+    df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int = 1024,
+    entities: str | None = None, signals: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
+    """A row per signal: lowest score inside a label and highest between labels.
+    Each tile pair answers with two numbers, no pair becomes a row."""
+    tiled = cut_lineage(with_tiles(_labelled(df, row_id, vector, label, entities), ["dims", "bucket"], "row_id", tile_rows))
     found = _meet(
-        tiled.drop("dims"), _all_tile_pairs(tiled), _extremes_kernel, "lowest_same double, highest_different double"
+        tiled.drop("dims", "bucket"), _all_tile_pairs(tiled), _extremes_kernel(signals or {"cosine": SIGNALS["cosine"]}),
+        "signal string, lowest_same double, highest_different double",
     )
     infinite = F.lit(float("inf"))
-    return found.agg(F.min("lowest_same").alias("s"), F.max("highest_different").alias("d")).select(
+    return found.groupBy("signal").agg(F.min("lowest_same").alias("s"), F.max("highest_different").alias("d")).select(
+        "signal",
         F.when(F.col("s") < infinite, F.col("s")).alias("lowest_same"),
         F.when(F.col("d") > -infinite, F.col("d")).alias("highest_different"),
     )

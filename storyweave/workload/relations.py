@@ -287,29 +287,35 @@ def connected_components(spark, sf):
 
 
 def labelled_vectors(spark, sf) -> DataFrame:
-    """Every vector and a distorted copy of it under one label."""
+    """Every vector and a distorted copy of it under one label, with entities
+    of which the copy shares most."""
+    k = F.col("vec_id")
+    names = [F.concat(F.lit("e"), (k % 97).cast("string")), F.concat(F.lit("f"), (k % 61).cast("string")), F.concat(F.lit("g"), (k % 7).cast("string"))]
     v = F.col("embedding").cast("array<double>")
     twin = F.zip_with(v, F.reverse(v), lambda x, y: x + 0.5 * y)
     base = fx.table(spark, sf, "embeddings")
-    return base.select((F.col("vec_id") * 2).alias("row_id"), F.col("vec_id").alias("label"), v.alias("embedding")).unionByName(
-        base.select((F.col("vec_id") * 2 + 1).alias("row_id"), F.col("vec_id").alias("label"), twin.alias("embedding")))
+    return base.select((F.col("vec_id") * 2).alias("row_id"), F.col("vec_id").alias("label"), v.alias("embedding"), F.array(*names).alias("entities")).unionByName(
+        base.select((F.col("vec_id") * 2 + 1).alias("row_id"), F.col("vec_id").alias("label"), twin.alias("embedding"), F.array(*names[:2], F.lit("own")).alias("entities")))
 
 
 _TWINS = {
     "base": "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings",
-    "twins": """SELECT vec_id * 2 AS row_id, vec_id AS label, e FROM base UNION ALL SELECT vec_id * 2 + 1, vec_id,
-        list_transform(range(1, len(e) + 1), lambda k: e[k] + 0.5::DOUBLE * e[len(e) + 1 - k]) FROM base""",
-    "tied": f"""SELECT a.label = b.label AS same_label, round({sql_cos('a.e', 'b.e')}, 9) AS score
+    "twins": """SELECT vec_id * 2 AS row_id, vec_id AS label, e, ['e' || (vec_id % 97), 'f' || (vec_id % 61), 'g' || (vec_id % 7)] AS names FROM base
+        UNION ALL SELECT vec_id * 2 + 1, vec_id, list_transform(range(1, len(e) + 1), lambda k: e[k] + 0.5::DOUBLE * e[len(e) + 1 - k]),
+            ['e' || (vec_id % 97), 'f' || (vec_id % 61), 'own'] FROM base""",
+    "scored_twins": f"""SELECT a.label = b.label AS same_label, {sql_cos('a.e', 'b.e')} AS c, {sql_jaccard('a.names', 'b.names')} AS x
         FROM twins a JOIN twins b ON a.row_id < b.row_id""",
-    "ends": "SELECT min(score) FILTER (same_label) AS low, max(score) FILTER (NOT same_label) AS high FROM tied",
+    "tied": """SELECT same_label, s.signal, round(s.a * c + s.b * x, 9) AS score
+        FROM scored_twins, (VALUES ('cosine', 1.0::DOUBLE, 0.0::DOUBLE), ('entities', 0.0, 1.0), ('blend', 0.6, 0.4)) s(signal, a, b)""",
+    "ends": "SELECT signal, min(score) FILTER (same_label) AS low, max(score) FILTER (NOT same_label) AS high FROM tied GROUP BY signal",
 }
-_SWEEP = "SELECT t / 100.0::DOUBLE AS threshold, high < t / 100.0::DOUBLE AND low >= t / 100.0::DOUBLE AS passes FROM range(20, 95) r(t), ends"
+_SWEEP = "SELECT signal, t / 100.0::DOUBLE AS threshold, high < t / 100.0::DOUBLE AND low >= t / 100.0::DOUBLE AS passes FROM range(20, 95) r(t), ends"
 
 
 def _sweep_points(spark, sf) -> DataFrame:
     labelled = labelled_vectors(spark, sf)
-    inside = cut_lineage(pairs.similarity_forest(labelled, "row_id", "embedding", 0.20, "label"))
-    crossing = pairs.cosine_extremes(labelled, "row_id", "embedding", "label")
+    inside = cut_lineage(pairs.similarity_forest(labelled, "row_id", "embedding", 0.20, "label", entities="entities", signals=pairs.SIGNALS))
+    crossing = pairs.cosine_extremes(labelled, "row_id", "embedding", "label", entities="entities", signals=pairs.SIGNALS)
     return calibrate.threshold_sweep(inside, crossing, labelled.select("row_id", "label"))
 
 
@@ -319,19 +325,17 @@ def threshold_sweep(spark, sf):
 
 
 @query("calibrate_threshold", with_tables(extra=_TWINS, body=f"""
-    SELECT coalesce(min(threshold), 0) AS low, coalesce(max(threshold), 0) AS high, round(coalesce(max(threshold) - min(threshold), 0), 2) AS width
-    FROM ({_SWEEP}) WHERE passes"""))
+    SELECT e.signal, coalesce(min(threshold), 0) AS low, coalesce(max(threshold), 0) AS high, round(coalesce(max(threshold) - min(threshold), 0), 2) AS width
+    FROM ends e LEFT JOIN (SELECT * FROM ({_SWEEP}) WHERE passes) p ON p.signal = e.signal GROUP BY e.signal"""))
 def calibrate_threshold(spark, sf):
     return calibrate.safe_band(_sweep_points(spark, sf))
 
 
 @query("separation_margin", with_tables(extra=_TWINS, body="""
-    SELECT round(low, 6) AS lowest_same, round(high, 6) AS highest_different, round(low - high, 6) AS margin FROM ends"""))
+    SELECT signal, round(low, 6) AS lowest_same, round(high, 6) AS highest_different, round(low - high, 6) AS margin FROM ends"""))
 def separation_margin(spark, sf):
-    ends = pairs.cosine_extremes(labelled_vectors(spark, sf), "row_id", "embedding", "label")
-    return ends.select(
-        F.round("lowest_same", 6).alias("lowest_same"), F.round("highest_different", 6).alias("highest_different"),
-        F.round(F.col("lowest_same") - F.col("highest_different"), 6).alias("margin"))
+    ends = pairs.cosine_extremes(labelled_vectors(spark, sf), "row_id", "embedding", "label", entities="entities", signals=pairs.SIGNALS)
+    return calibrate.separation_margin(ends).select("signal", *[F.round(c, 6).alias(c) for c in ("lowest_same", "highest_different", "margin")])
 
 
 # -- health ------------------------------------------------------------------------

@@ -223,77 +223,82 @@ def test_sweep(spark):
     assert rows[3].item_count == 2  # untouched
 
 
+def reach(links, nodes):
+    """Least node that links lead to, by breadth-first search."""
+    beside = {n: set() for n in nodes}
+    for i, j in links:
+        beside[i].add(j)
+        beside[j].add(i)
+    out = {}
+    for n in sorted(nodes):
+        ring = {n} - set(out)
+        while ring:
+            out.update(dict.fromkeys(ring, n))
+            ring = set().union(*(beside[m] for m in ring)) - set(out)
+    return out
+
+
+def cosines(rows):
+    at = {i: np.array(v) for i, *_, v in rows}
+    return {(i, j): round(float(at[i] @ at[j] / np.sqrt((at[i] @ at[i]) * (at[j] @ at[j]))), 9) for i in at for j in at if i < j}
+
+
 def test_forest_connects_like_all_pairs(spark):
     from storyweave.operators.stories import connected_components
 
     gen = np.random.default_rng(8)
     rows = [(i, [float(x) for x in gen.normal(size=3)]) for i in range(60)]
     frame = spark.createDataFrame(rows, "row_id long, vector array<double>")
+    strong = [p for p, s in cosines(rows).items() if s >= 0.9]
+    linked = {n for p in strong for n in p}
     for tile in (7, 1024):
         forest = pairs.similarity_forest(frame, "row_id", "vector", 0.9, tile_rows=tile)
         if tile == 1024:
             assert forest.count() < 60
-        got = {r.node: r.component for r in connected_components(forest).collect()}
-        parent = list(range(60))
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        linked = set()
-        for i, a in rows:
-            for j, b in rows:
-                a_, b_ = np.array(a), np.array(b)
-                if i < j and round(float(a_ @ b_ / np.sqrt((a_ @ a_) * (b_ @ b_))), 9) >= 0.9:
-                    linked |= {i, j}
-                    x, y = find(i), find(j)
-                    parent[max(x, y)] = min(x, y)
-        assert got == {n: find(n) for n in linked}
-
-
-def test_sweep_of_thresholds_equals_brute_force(spark):
+        assert {r.node: r.component for r in connected_components(forest).collect()} == reach(strong, linked)
+
+
+def bands(spark, rows, tile_rows, signals=None, entities=None):
+    """The sweep as the library gives it: passing thresholds by signal."""
+    schema = "row_id long, label int, " + ("names array<string>, " if entities else "") + "vector array<double>"
+    frame = spark.createDataFrame(rows, schema)
+    inside = pairs.similarity_forest(frame, "row_id", "vector", 0.20, "label", tile_rows, entities, signals)
+    ends = pairs.cosine_extremes(frame, "row_id", "vector", "label", tile_rows, entities, signals)
+    sweep = calibrate.threshold_sweep(inside, ends, frame)
+    return inside, ends, sweep, {(r.signal, round(r.threshold, 2)): r.passes for r in sweep.collect()}
+
+
+@pytest.mark.parametrize("tile_rows", [4, 10, 1024])
+def test_sweep_of_thresholds_equals_brute_force(spark, tile_rows):
     gen = np.random.default_rng(3)
     centres = gen.normal(size=(6, 8)) * 2
     rows = [(i, i % 6, [float(x) for x in centres[i % 6] + gen.normal(size=8) * 0.45]) for i in range(36)]
-    frame = spark.createDataFrame(rows, "row_id long, label int, vector array<double>")
-    score = {}
-    for i, _, a in rows:
-        for j, _, b in rows:
-            if i < j:
-                a_, b_ = np.array(a), np.array(b)
-                score[i, j] = round(float(a_ @ b_ / np.sqrt((a_ @ a_) * (b_ @ b_))), 9)
-
-    def passes(t):
-        parent = list(range(36))
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for (i, j), s in score.items():
-            if s >= t:
-                parent[find(i)] = find(j)
-        groups = {}
-        for i in range(36):
-            groups.setdefault(find(i), set()).add(i)
-        truth = {frozenset(i for i in range(36) if i % 6 == k) for k in range(6)}
-        return {frozenset(g) for g in groups.values()} == truth
-
-    found = pairs.similarity_forest(frame, "row_id", "vector", 0.20, "label", tile_rows=10)
-    for r in found.collect():
-        assert score[r.i, r.j] == r.score and r.i % 6 == r.j % 6
-    ends = pairs.cosine_extremes(frame, "row_id", "vector", "label", tile_rows=10)
-    sweep = calibrate.threshold_sweep(found, ends, frame)
-    got = {round(r.threshold, 2): r.passes for r in sweep.collect()}
-    want = {t / 100: passes(t / 100) for t in range(20, 95)}
+    score = cosines(rows)
+    inside, ends, sweep, got = bands(spark, rows, tile_rows)
+    assert all(score[r.i, r.j] == r.score and r.i % 6 == r.j % 6 for r in inside.collect())
+    want = {("cosine", t / 100): reach([p for p, s in score.items() if s >= t / 100], range(36)) == {i: i % 6 for i in range(36)} for t in range(20, 95)}
     assert got == want and any(want.values())
     band = calibrate.safe_band(sweep).first()
-    good = [t for t, ok in want.items() if ok]
+    good = [t for (_, t), ok in want.items() if ok]
     assert (band.low, band.high) == (min(good), max(good))
-    ends = ends.first()
-    assert ends.lowest_same == min(s for (i, j), s in score.items() if i % 6 == j % 6)
-    assert ends.highest_different == max(s for (i, j), s in score.items() if i % 6 != j % 6)
+    margin = calibrate.separation_margin(ends).first()
+    assert margin.lowest_same == min(s for (i, j), s in score.items() if i % 6 == j % 6)
+    assert margin.highest_different == max(s for (i, j), s in score.items() if i % 6 != j % 6)
     none = calibrate.safe_band(sweep.withColumn("passes", F.lit(False))).first()
     assert (none.low, none.high, none.width) == (0.0, 0.0, 0.0)
+
+
+def test_blend_is_safe_over_a_wider_band(spark):
+    # the vectors of different stories come close; their entities tell them apart
+    gen = np.random.default_rng(4)
+    base = gen.normal(size=12)
+    rows = [(i, i % 4, [f"s{i % 4}", f"t{i % 4}", f"x{i}"], [float(x) for x in base + (i % 4) * gen.normal(size=12) * 0 + np.eye(12)[i % 4] * 2.6 + gen.normal(size=12) * 0.12]) for i in range(24)]
+    _, _, sweep, got = bands(spark, rows, 1024, pairs.SIGNALS, "names")
+    width = {r.signal: r.width for r in calibrate.safe_band(sweep).collect()}
+    assert set(width) == {"cosine", "entities", "blend"} and width["blend"] > width["cosine"] > 0
+    jaccard = {(i, j): len(set(rows[i][2]) & set(rows[j][2])) / len(set(rows[i][2]) | set(rows[j][2])) for i in range(24) for j in range(i)}
+    for name, (a, b) in pairs.SIGNALS.items():
+        score = {p: round(a * s + b * jaccard[p[1], p[0]], 9) for p, s in cosines([(r[0], r[3]) for r in rows]).items()}
+        for t in (20, 35, 50, 75, 90):
+            links = [p for p, s in score.items() if s >= t / 100]
+            assert got[name, t / 100] == (reach(links, range(24)) == {i: i % 4 for i in range(24)})
