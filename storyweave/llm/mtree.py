@@ -70,11 +70,17 @@ def unpack(values: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.int32).reshape(len(values), dim).astype(np.int64)
 
 
+def exact_type(largest: int) -> type:
+    """Doubles hold every partial sum of an inner product if no squared length
+    reaches 2^53; otherwise whole numbers do."""
+    return np.float64 if largest < 1 << 53 else np.int64
+
+
 class Tree:
     """Pages over the rows of one tree. A page is (entries' rows, radii, distances
     to the page's routing object, child pages); a leaf has neither radii nor children."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, capacity: int = 32):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, capacity: int = 256):
         self.ids, self.vectors = ids, vectors
         self.norm2 = (vectors * vectors).sum(axis=1)
         self.extra = np.sqrt(np.maximum(largest - self.norm2, 0).astype(np.float64))
@@ -83,6 +89,14 @@ class Tree:
         everything = np.arange(len(ids))
         self.root = self._page(everything, 0, self._distances(0, everything), capacity)
         self.computed = 0
+        # the rows of a leaf stand side by side
+        order = np.concatenate([rows for rows, *_, children in self.pages if children is None])
+        place = np.empty(len(order), np.int64)
+        place[order] = everything
+        self.pages = [(place[rows], radii, stored, children) for rows, radii, stored, children in self.pages]
+        self.top = int(place[0])
+        self.ids, self.vectors = self.ids[order], self.vectors[order]
+        del self.norm2, self.extra
 
     def pack(self) -> bytes:
         state = dict(vars(self), vectors=self.vectors.astype(np.int32))
@@ -92,7 +106,7 @@ class Tree:
     def unpack(cls, packed: bytes) -> Tree:
         tree = cls.__new__(cls)
         vars(tree).update(pickle.loads(packed))
-        tree.vectors = tree.vectors.astype(np.int64)
+        tree.vectors = tree.vectors.astype(exact_type(tree.largest))
         return tree
 
     def _distances(self, row: int, others: np.ndarray) -> np.ndarray:
@@ -132,15 +146,15 @@ class Tree:
     def search(self, query_id: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
         """Up to ``k`` (score, vec_id), best first. Rows that score under
         ``least`` are known to be out."""
-        q2 = int(q @ q)
-        base = q2 + self.largest
+        base = int(q @ q) + self.largest
+        q = q.astype(self.vectors.dtype)
 
         def reach(score: int | None) -> float:
             return np.inf if score is None else float(np.sqrt(max(base - 2 * score, 0))) * (1 + SLACK) + SLACK
 
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id), the worst on top
         bound = reach(least)
-        d_root = float(np.sqrt(max(base - 2 * int(self.vectors[0] @ q), 0)))
+        d_root = float(np.sqrt(max(base - 2 * int(self.vectors[self.top] @ q), 0)))
         queue = [(0.0, self.root, d_root)]
         while queue:
             low, page, d_page = heapq.heappop(queue)
@@ -149,13 +163,19 @@ class Tree:
             rows, radii, stored, children = self.pages[page]
             # triangle inequality over the stored distances: no new distance is needed to skip these
             near = np.abs(d_page - stored) - (0 if radii is None else radii) <= bound
-            if not near.any():
+            count = int(np.count_nonzero(near))
+            if not count:
                 continue
-            scores = self.vectors[rows[near]] @ q
-            self.computed += len(scores)
+            self.computed += count
             if children is None:
-                for score, i in zip(scores.tolist(), self.ids[rows[near]].tolist(), strict=True):
-                    if i == query_id or (least is not None and score < least):
+                at = slice(int(rows[0]), int(rows[0]) + len(rows)) if count == len(rows) else rows[near]
+                scores, ids = self.vectors[at] @ q, self.ids[at]
+                worst = best[0][0] if len(best) == k else least
+                if worst is not None:
+                    maybe = scores >= worst
+                    scores, ids = scores[maybe], ids[maybe]
+                for score, i in zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True):
+                    if i == query_id:
                         continue
                     if len(best) < k:
                         heapq.heappush(best, (score, -i))
@@ -164,7 +184,7 @@ class Tree:
                 if len(best) == k:
                     bound = min(bound, reach(best[0][0]))
                 continue
-            distances = np.sqrt(np.maximum(base - 2 * scores, 0).astype(np.float64))
+            distances = np.sqrt(np.maximum(base - 2 * (self.vectors[rows[near]] @ q), 0).astype(np.float64))
             for place, d, r in zip(np.flatnonzero(near).tolist(), distances.tolist(), radii[near].tolist(), strict=True):
                 if max(d - r, 0.0) <= bound:
                     heapq.heappush(queue, (max(d - r, 0.0), children[place], d))
