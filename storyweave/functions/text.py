@@ -41,15 +41,6 @@ KEYWORD_PHRASES = [
 ]
 KEYWORD_ACRONYM = "AI"
 
-# Sentences that describe the topic.
-TOPIC_REFERENCE_TEXTS = [
-    "Artificial intelligence and machine learning research, large language models, neural networks, and AI systems.",
-    "A new AI model from OpenAI, Anthropic, Google DeepMind, or Meta AI is announced, trained on large datasets using deep learning and transformers.",
-    "AI chatbots, generative AI, GPT, LLM agents, and machine learning algorithms powering artificial intelligence products.",
-    "Nvidia GPUs, AI chips, and the infrastructure powering artificial intelligence training and inference at scale.",
-    "AI policy, regulation, safety, and the societal impact of artificial intelligence and automation.",
-]
-
 # (?U) makes \s, \b and \d follow Unicode, as the data is multilingual.
 _WS = r"(?U)[\s\x1c-\x1f]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -198,8 +189,12 @@ def strip_reasoning(text: Column) -> Column:
     return strip(F.regexp_replace(closed, rf"(?is)<(?:{_THINK_TAGS})>.*\z", ""))
 
 
+# Fixed value: the code fences that answers come in.
+FENCES = r"(?m)^```(?:json)?\s*|\s*```$"
+
+
 def strip_fences(text: Column) -> Column:
-    return strip(F.regexp_replace(strip(text), r"(?m)^```(?:json)?\s*|\s*```$", ""))
+    return strip(F.regexp_replace(strip(text), FENCES, ""))
 
 
 def parse_model_object(text: Column, schema: str) -> Column:

@@ -139,15 +139,6 @@ def unit_mean_centroid(df: DataFrame, vector: str, out: str = "centroid") -> Dat
     return mean.select(unit(vector_to_array("m")).alias(out))
 
 
-def reader_fit(vector: Column, positive: Column, negative: Column) -> Column:
-    """cos(vector, positive) - cos(vector, negative); whatever is missing
-    contributes nothing."""
-    def part(centroid: Column) -> Column:
-        return F.coalesce(F.when(vector.isNotNull() & centroid.isNotNull(), cosine(vector, centroid)), F.lit(0.0))
-
-    return part(positive) - part(negative)
-
-
 def taste_direction(positive: Column, negative: Column) -> Column:
     """positive - negative of two unit centroids. The fit of a unit vector is
     its dot product with this direction, one product instead of two cosines."""

@@ -41,6 +41,7 @@ def first_by_content(items: DataFrame, body: str = "text", known: DataFrame | No
         firsts = firsts.join(stored, "content_hash", "left").select(
             "content_hash", F.coalesce("stored_id", "first_id").alias("first_id")
         )
+    # fixed value: the error text
     failed = ids.join(firsts, "content_hash").where(F.col("item_id") != F.col("first_id")).select(
         "item_id", "content_hash",
         F.concat(F.lit("duplicate content of item "), F.col("first_id").cast("string")).alias("error"),

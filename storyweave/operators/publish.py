@@ -190,11 +190,6 @@ def sources_report(sources: DataFrame) -> DataFrame:
     )
 
 
-def manifest_pages(files: DataFrame) -> DataFrame:
-    """The page map: one short row per page."""
-    return files.select("page", "path", "hash", "count")
-
-
 def manifest(
     stories: DataFrame, members: DataFrame, pages: DataFrame, embeddings: DataFrame, as_of: datetime, retention_days: int
 ) -> DataFrame:

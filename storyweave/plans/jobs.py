@@ -145,6 +145,7 @@ def normalize(items: DataFrame, pages: DataFrame, known: DataFrame | None = None
     )
     long_enough = F.char_length("text") >= text.MIN_TEXT_CHARS
     kept, repeated = first_by_content(read.where(long_enough), "text", known)
+    # fixed value: the error text
     empty = read.where(~F.coalesce(long_enough, F.lit(False))).select(
         "item_id", F.concat(F.lit("no text extracted for "), F.col("url")).alias("error")
     )

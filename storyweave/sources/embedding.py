@@ -71,7 +71,7 @@ def embed_items(
     encoded = bodies.mapInPandas(run, "item_id long, embedding array<float>, error string")
     # Arrow turns a NaN inside a list into NULL, which counts as not finite too
     finite = vectors.finite_vector(F.col("embedding"))
-    # both outputs read this table; the model must not run twice
+    # fixed value: the error text; both outputs read this table; the model must not run twice
     judged = cut_lineage(encoded.withColumn(
         "error", F.coalesce("error", F.when(~finite, F.concat(
             F.lit("embedding for item "), F.col("item_id").cast("string"), F.lit(" contains non-finite values")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import labels, text, urls
 
+# Fixed value: the id of a paper in a feed, without its version.
+PAPER_ID = r"arxiv\.org/abs/([\d.]+?)(?:v\d+)?$"
+
 RAW_COLUMNS = ["source_id", "entry_no", "url", "title", "summary", "published_at", "outbound_links", "image_url"]
 
 _LINK = "struct<_VALUE:string,_href:string,_rel:string>"
@@ -119,7 +122,7 @@ def scan_paper_feed(landed: DataFrame) -> DataFrame:
     """Atom paper feeds; versions of one paper share a URL, ids of another
     shape are dropped."""
     e = F.col("e")
-    paper = F.regexp_extract(e["id"], r"arxiv\.org/abs/([\d.]+?)(?:v\d+)?$", 1)
+    paper = F.regexp_extract(e["id"], PAPER_ID, 1)
     return _finish(
         _atom_entries(landed).where(F.coalesce(paper, F.lit("")) != "").select(
             "source_id", "entry_no", "since", F.concat(F.lit(urls.PAPER_ABSTRACT_PREFIX), paper).alias("url"),

@@ -302,14 +302,28 @@ def story_headlines(spark, sf):
     return enrich.story_headlines(fx.members(spark, sf), 3)
 
 
+def _sql_fill(template: str, *values: str) -> str:
+    """A prompt as SQL: the template's pieces with the values between them."""
+    pieces = ["'" + p.replace("'", "''") + "'" for p in template.split("%s")]
+    return " || ".join(x for pair in zip(pieces, [*values, None], strict=True) for x in pair if x is not None)
+
+
 @query("enrich_requests", sql(f"""
-    SELECT b.story_id, length(h.headlines) + {len(enrich.TIER1_PROMPT) - 2} AS prompt_chars FROM (
+    SELECT b.story_id, {_sql_fill(enrich.TIER1_PROMPT, "h.headlines")} AS prompt FROM (
         SELECT story_id FROM stories WHERE status = 'new' AND score IS NOT NULL ORDER BY updated_at DESC, story_id DESC LIMIT 30) b
     JOIN (SELECT story_id, string_agg('- ' || title, chr(10) ORDER BY item_id) AS headlines FROM (
         SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY item_id) AS rn FROM members) WHERE rn <= 8 GROUP BY story_id) h ON h.story_id = b.story_id"""))
 def enrich_requests(spark, sf):
-    return enrich.tier1_requests(stories(spark, sf), fx.members(spark, sf), 30).select(
-        "story_id", F.char_length("prompt").cast("long").alias("prompt_chars"))
+    return enrich.tier1_requests(stories(spark, sf), fx.members(spark, sf), 30)
+
+
+@query("tier2_requests", sql(f"""
+    SELECT story_id, {_sql_fill(enrich.TIER2_PROMPT, "title", "coalesce(summary, 'None')", "coalesce(category, 'None')")} AS prompt,
+           {_sql_fill(enrich.TIER2_FALLBACK_PROMPT, "title", "coalesce(summary, '')")} AS fallback_prompt
+    FROM (SELECT *, row_number() OVER (ORDER BY score DESC, story_id) AS rn FROM stories WHERE status IN ('enriched', 'retry') AND score >= 0.6)
+    WHERE rn <= greatest(0, 20 - (SELECT count(*) FROM stories WHERE story_id % 40 = 3))"""))
+def tier2_requests(spark, sf):
+    return enrich.tier2_requests(stories(spark, sf), fx.AS_OF)
 
 
 def _answers(base: DataFrame) -> DataFrame:
@@ -436,6 +450,20 @@ def reader_feed(spark, sf):
     ).select("reader_id", "story_id", "reserved", "position")
 
 
+@query("reader_feed_page", rsql("""
+    SELECT reader_id, story_id, position FROM (
+        SELECT *, CASE WHEN reserved THEN rk * (step + 1) ELSE rk + least(taken, (rk - 1) // step) END AS position
+        FROM (SELECT *, greatest(1, main // (taken + 1)) AS step FROM ranked)) WHERE position <= 20""", _FITS))
+def reader_feed_page(spark, sf):
+    """The first page of every reader's feed, as on screen."""
+    read, dismissed = _reader_sets(spark, sf)
+    vecs = story_vectors(spark, sf)
+    return reader.reader_feed(
+        _requests(spark, sf), _cards_simple(spark, sf), read, dismissed, fit_digits=6, shown=20,
+        centroids=reader.reader_centroids(fx.reader_signals(spark, sf), vecs), story_vectors=vecs,
+    ).select("reader_id", "story_id", "position")
+
+
 @query("reader_fit", rsql("SELECT reader_id, story_id, fit FROM fits", {"fits": _FITS["fits"]}))
 def reader_fit(spark, sf):
     read, dismissed = _reader_sets(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyweave import fixtures as fx
 from storyweave.functions import text, urls, vectors
-from storyweave.operators import calibrate, catalogue, gate, health, pairs, scoring, stories as story_ops
+from storyweave.operators import calibrate, catalogue, gate, health, pairs, rank, scoring, stories as story_ops
 from storyweave.operators.dedup import first_by_content, first_by_url, new_items
 from storyweave.plans import jobs
 from storyweave.session import cut_lineage
@@ -229,7 +229,7 @@ def score_stories(spark, sf):
 def top_stories(spark, sf):
     clustered = _clustered(spark, sf)
     ranked = jobs.score(clustered, fx.sources(spark, sf)).withColumn("score", F.round("score", 5))
-    return ranked.orderBy(F.desc("score"), "story_id").limit(50).select("story_id", "title", "item_count", "outlet_count", "score")
+    return rank.top_stories(ranked, 50).select("story_id", "title", "item_count", "outlet_count", "score")
 
 
 # -- sweep --------------------------------------------------------------------
