@@ -181,6 +181,7 @@ def parse_loose_date(text: Column) -> Column:
     return let(bare, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in DATE_PATTERNS]))
 
 
+# Fixed value: the tags that reasoning stands in.
 _THINK_TAGS = "think|thinking|reasoning|reflection"
 
 
