@@ -132,8 +132,9 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_windows_cover_every_word():
     text = " ".join(f"w{k}" for k in range(21)).encode()
+    size = toxicity.WINDOW
     joined, spans = toxicity.windows(text)
-    assert [joined[a : a + n].split() for a, n in spans] == [text.split()[k : k + 8] for k in (0, 8, 16)]
+    assert [joined[a : a + n].split() for a, n in spans] == [text.split()[k : k + size] for k in range(0, 21, size)]
     assert toxicity.windows(None)[1].shape == toxicity.windows(b" \n").__getitem__(1).shape == (0, 2)
 
 
