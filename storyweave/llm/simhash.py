@@ -209,6 +209,24 @@ def digest(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of each component, all columns kept. ``parts`` holds doc_id,
+    text_hash and root of every row. The row with the smallest doc_id stays, of
+    those with that id the one with the least hash of its text; rows of one
+    doc_id in several components stand for each of them. Rows without a doc_id
+    can't be told apart and stay."""
+    kept = (
+        parts.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+        .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
+    )
+    columns = docs.columns
+    found = docs.withColumn("_kept_text", F.xxhash64("text")).join(
+        kept, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_kept_text") == F.col("_kept_hash")))
+    order = W.partitionBy("_kept_id", "_kept_hash").orderBy(F.length("text"))
+    chosen = found.withColumn("_kept_row", F.row_number().over(order))
+    return chosen.where(F.col("_kept_row") == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, segments: int = 5, tile_rows: int = 2048) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all
     columns kept. Rows that share a doc_id count as one document, of which the
