@@ -5,8 +5,10 @@ one saves are the window's distance. There are two toxic dictionaries, of the
 strictest and of more words. A document's windows give counts above thresholds,
 which a logistic regression on labelled documents turns into a probability.
 
-Training reads a sample of about ``per_class`` documents of each label, chosen by
-a hash of doc_id. The ordinary dictionary is trained by zstandard on windows of
+A hash of doc_id deals labelled documents to two halves at every size: one
+teaches the dictionaries, the other calibrates, as words of a document that
+taught are known to the dictionaries. Of each half a sample of about ``per_class``
+toxic and twice as many ordinary documents is read. The ordinary dictionary is trained by zstandard on windows of
 ordinary documents. Toxic documents are mostly ordinary prose, so the toxic
 dictionary takes the words that are over-represented in them, by the lower
 bound of the ratio of document frequencies, the most frequent last, where
@@ -14,8 +16,8 @@ matches are cheapest. Of a document of over ``most_windows`` windows evenly
 spaced ones are used for the dictionaries; scores always use every window.
 
 Defined cases: a null or empty text has no window and gets the score of a
-document in which nothing is found; without labels of both kinds every score
-is 0; repeated rows are scored one by one; a label for an id that occurs
+document in which nothing is found; without labels of both kinds in both halves
+every score is 0; repeated rows are scored one by one; a label for an id that occurs
 several times holds for each row. Extra columns are ignored.
 """
 
@@ -155,10 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
         labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    sizes = dict(usable.groupBy("y").count().collect())
-    if len(sizes) < 2:
+    # words of what teaches are known to the dictionaries, so other documents calibrate
+    usable = usable.withColumn("teaches", F.pmod(F.xxhash64("doc_id", F.lit("teaches")), F.lit(2)) == 0)
+    sizes = {(r["teaches"], r["y"]): r["count"] for r in usable.groupBy("teaches", "y").count().collect()}
+    if len(sizes) < 4:
         return None
-    taken = usable.where(F.when(F.col("y") == 1, sampled(F.col("doc_id"), per_class / sizes[1])).otherwise(sampled(F.col("doc_id"), 2 * per_class / sizes[0])))
+
+    def some(teaches: bool) -> DataFrame:
+        share = {y: per_class * (2 - y) / sizes[teaches, y] for y in (0, 1)}
+        key, half = F.col("doc_id"), F.col("teaches") == teaches
+        return usable.where(half & F.when(F.col("y") == 1, sampled(key, share[1])).otherwise(sampled(key, share[0]))).select("doc_id", "y")
+
+    taken, judged = some(True), some(False)
     # the sampled labels are about 3 * per_class rows
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taken), "doc_id")
 
@@ -177,15 +187,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
     read = sorted(read, key=lambda r: (r[0], r[2]))
     dictionaries = train_dictionaries([(r[1], [bytes(x) for x in r[2]]) for r in read])
     del read
-    # words of the sample itself are known to the dictionary, so other documents calibrate
-    taught = taken.select("doc_id").withColumn("taught", F.lit(True))
-    others = usable.join(F.broadcast(taught), "doc_id", "left_anti")
-    rest = dict(others.groupBy("y").count().collect())
-    enough = rest.get(0, 0) >= 500 and rest.get(1, 0) >= 100
-    pool = others if enough else usable
-    n = rest if enough else sizes
-    share = {y: per_class * (2 - y) / max(n[y], 1) for y in (0, 1)}
-    judged = pool.where(F.when(F.col("y") == 1, sampled(F.hash("doc_id"), share[1])).otherwise(sampled(F.hash("doc_id"), share[0])))
 
     def rows() -> Step:
         compressors = dictionaries.compressors()
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = fit_logistic(np.column_stack((np.clip((x - mean) / scale, -8, 8), np.ones(len(x)))), y)
     # the sample holds the labels in other shares than the documents do
-    odds = np.log(y.mean() / (1 - y.mean())) - np.log(sizes[1] / sizes[0])
+    odds = np.log(y.mean() / (1 - y.mean())) - np.log((sizes[True, 1] + sizes[False, 1]) / (sizes[True, 0] + sizes[False, 0]))
     weights[-1] -= odds
     return Model(dictionaries, mean, scale, weights)
 
