@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweave.llm import decontaminate, langid, license, mtree, packing, quality, simhash, tokencount, toxicity, urlfilter
+from storyweave.llm import (
+    decontaminate, divergence, langid, license, mtree, negatives, packing, pagetext, quality, simhash, tokencount, toxicity, urlfilter,
+)
 from storyweave.llm.batches import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +118,69 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_WHOLE_256 = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+
+
+@query("op11_hard_negatives", f"""
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE_256} AS w FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.w, c.w) AS BIGINT) AS score
+        FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    r AS (
+        SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+         AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, negatives.rotated())
+
+
+_TERMS = rf"regexp_extract_all({_FOLDED.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_SHARE = "1 + CAST((1000000000::HUGEINT * ({} + 1)) // ({} + v) AS BIGINT)"
+
+
+@query("op12_source_divergence", f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    t AS (SELECT k, lang, source, unnest({_TERMS}) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+    c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    g AS (
+        SELECT d.lang, d.source, coalesce(any_value(v.v), 0) AS v, coalesce(any_value(v.total), 0) AS lang_total, coalesce(any_value(s.n), 0) AS total
+        FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON v.lang = d.lang
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s ON s.lang = d.lang AND s.source = d.source GROUP BY d.lang, d.source),
+    p AS (
+        SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {_SHARE.format('coalesce(c.n, 0)', 'g.total')} AS p,
+               {_SHARE.format('kept.n', 'g.lang_total')} AS q
+        FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, CAST(coalesce(any_value(x.value), 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+        LEFT JOIN (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL) x
+          ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        GROUP BY a.lang, a.source, b.source),
+    every AS (
+        SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_html_extraction")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
