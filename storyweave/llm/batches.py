@@ -40,8 +40,8 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def bucket(column: Column, n: int) -> Column:
-    """crc32 of a value as text, modulo ``n``: the fold of a document."""
-    return F.crc32(column.cast("string").cast("binary")) % n
+    """crc32 of a value as text, modulo ``n``: the fold of a document; -1 for null."""
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def sampled(column: Column, share: float) -> Column:

@@ -2,7 +2,7 @@
 n-grams, trained by follow-the-regularised-leader (FTRL-proximal) with an
 elastic-net penalty, its probabilities calibrated by a temperature.
 
-Characters are lower-cased; what is no letter counts as a blank. All n-grams of
+Characters are lower-cased; ASCII characters that are no letters count as blanks. All n-grams of
 1 to 3 characters of the whole text are hashed to ``DIMENSIONS`` features.
 Document frequencies are counted over all documents that may be learned from;
 the weights are fitted on a sample of about ``per_language`` of them for each
@@ -16,7 +16,6 @@ one by one. Extra columns are ignored by ``predict`` and carried by ``accept``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +28,14 @@ from storyweave.llm.batches import Step, map_batches
 DIMENSIONS = 1 << 14
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: ASCII characters that are no letters become blanks.
 _FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character of Unicode's category L occurs; numeric signs are none."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
