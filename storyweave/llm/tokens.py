@@ -5,13 +5,15 @@ characters that are not white space, so a text may be cut there and each
 distinct piece be tokenised once. Arrow cuts the texts and numbers the distinct
 pieces; only pieces not seen before reach the tokenizer, joined to one text,
 and numpy puts the ids together. Texts with other white space around a blank
-are tokenised whole. The ids equal those of the ``tokenizers`` file of the same
-vocabulary with special tokens taken as ordinary text; tests compare the two.
+are tokenised whole. Tokens that the ``tokenizers`` file of the same vocabulary
+adds to the ranks, such as the end of a document, are found in texts as that
+file finds them. Tests compare the ids of the two.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 
 import numpy as np
@@ -30,15 +32,25 @@ GROUP = 12_000_000
 
 class Encoder:
     """``ranks`` is the path of a rank file, or its name among the public
-    tokenizers. ``cached`` distinct pieces are remembered
-    at most; when there are more, the memory starts anew."""
+    tokenizers; the added tokens are read from the JSON file beside it, if there
+    is one. ``cached`` distinct pieces are remembered at most; when there are
+    more, the memory starts anew."""
 
     def __init__(self, ranks: str = "byte_bpe_50k.tiktoken", cached: int = 1_500_000):
-        with open(ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks), "rb") as lines:
+        path = ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks)
+        with open(path, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.widths = np.zeros(max(table.values()) + 1, np.int64)
-        self.widths[list(table.values())] = [len(x) for x in table]
+        beside = os.path.splitext(path)[0] + ".json"
+        added: dict[str, int] = {}
+        if os.path.exists(beside):
+            with open(beside, encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        # the ranks may hold an added token under its own bytes
+        table = {k: v for k, v in table.items() if v not in added.values()}
+        self.encoding = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        widths = {v: len(k) for k, v in table.items()} | {v: len(k.encode()) for k, v in added.items()}
+        self.widths = np.zeros(max(widths) + 1, np.int64)
+        self.widths[list(widths)] = list(widths.values())
         self.cached = cached
         self._forget()
 
@@ -50,7 +62,7 @@ class Encoder:
 
     def _whole(self, text: str) -> np.ndarray:
         # the list form takes lone surrogates, which a numpy form does not
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
 
     def _learn(self, pieces: pa.Array) -> None:
         """Ids of new pieces, which all follow a blank."""
