@@ -116,9 +116,9 @@ class Forest:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Forest:
-    """Second-order boosting of the logistic loss over quantile histograms."""
-    mean = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+def grow(x: np.ndarray, y: np.ndarray, weights: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Forest:
+    """Second-order boosting of the logistic loss over quantile histograms; a row counts ``weights`` times."""
+    mean = np.clip(np.average(y, weights=weights), 1e-4, 1 - 1e-4)
     base = float(np.log(mean / (1 - mean)))
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
@@ -127,7 +127,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
     kept_f, kept_b, kept_v = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
-        g, h = y - p, p * (1 - p)
+        g, h = weights * (y - p), weights * p * (1 - p)
         features, borders = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(x), np.int64)
         for level in range(depth):
@@ -194,8 +194,9 @@ def _decided(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def fit(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_rows: int = 20_000) -> Model:
-    """Suffix statistics of all decided URLs, and trees from a sample of about
-    ``max_rows`` of them, chosen by a hash of the URL."""
+    """Suffix statistics of all decided URLs, and trees from a sample of at most
+    ``max_rows`` distinct ones, chosen by a hash of the URL and weighed by how
+    often each occurs, so that a URL that is everywhere is one row."""
     decided = _decided(pages, rules)
 
     def counts() -> Step:
@@ -222,14 +223,16 @@ def fit(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_rows: in
     for bucket, (m, c) in table.items():
         p = (c + strength * share) / (m + strength)
         suffixes[bucket] = np.log(p / (1 - p)) - np.log(share / (1 - share))
-    taken = decided.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / n) * (1 << 30))))
-    rows = sorted((r[0], r[1]) for r in taken.collect())
+    distinct = decided.groupBy("url", "blocked").agg(F.count("*").alias("n"))
+    # the first by hash, so no more than ``max_rows`` come to the driver
+    rows = sorted((r[0], r[1], r[2]) for r in distinct.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect())
     labels = np.array([r[1] for r in rows], float)
+    weights = np.array([r[2] for r in rows], float)
     if not 0 < labels.sum() < len(labels):
         return Model(None, "block" if share >= 0.5 else "allow", suffixes)
     model = Model(None, "allow", suffixes)
-    x = np.array([model.features(url, *parts(url)) for url, _ in rows])
-    return Model(grow(x, labels), "allow", suffixes)
+    x = np.array([model.features(url, *parts(url)) for url, *_ in rows])
+    return Model(grow(x, labels, weights * len(weights) / weights.sum()), "allow", suffixes)
 
 
 def judge(pages: DataFrame, model: Model, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import zlib
 
+import pytest
 import numpy as np
 from helpers import DATA, ODD, docs, given
 from pyspark.sql import functions as F
@@ -217,3 +218,20 @@ def test_odd_urls(spark):
     assert got[6] == ("y.net", "/es/1", "net/es/", "block") and got[7][2:] == ("www.example.com/en/", "allow") and got[8][3] == "block"
     assert got[9][:2] == ("é.org", "/日本") and got[None][3] == "allow"
     assert urlfilter.judge(pages.limit(0), urlfilter.fit(pages.limit(0))).count() == 0
+
+
+def test_one_url_everywhere_is_one_row_of_the_sample(spark, monkeypatch):
+    urls = ["http://com/hot"] * 3000 + [f"http://a{i}.com/x{i}" for i in range(60)] + [f"http://b{i}.net/es/{i}" for i in range(60)]
+    table = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    seen = []
+    plain = urlfilter.grow
+    monkeypatch.setattr(urlfilter, "grow", lambda x, y, w, **k: (seen.append((len(x), w)), plain(x, y, w, **k))[1])
+    urlfilter.fit(table, max_rows=100)
+    assert seen[0][0] == 100
+    urlfilter.fit(table)
+    assert seen[1][0] == 121 and seen[1][1].max() / seen[1][1].min() == 3000
+
+
+@pytest.mark.parametrize("text, letter", [("½ ² ① 12", False), ("", False), (None, False), ("ⅷ", False), ("é", True), ("日", True), ("1a", True)])
+def test_numeric_signs_are_no_letters(text, letter):
+    assert langid.has_letter(text) is letter
