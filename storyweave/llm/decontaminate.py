@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.llm.batches import Step, map_batches, utf8
+from storyweave.session import cut_lineage
 
 #: One byte in, one byte out: A-Z lower-cased, everything that is no part of a word a space.
 _FOLD = bytes(
@@ -107,29 +109,37 @@ class Windows:
         return text
 
 
-def item_shards(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[str, bytes]]]:
+class Shards:
     """The items in lists of at most about ``max_bytes`` of text each, fetched
-    only after their total has been summed. One list for any usual benchmark."""
-    rows = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")
-    ).where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(total // max_bytes) + 1
-    return [
-        [(r[0], bytes(r[1])) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).toLocalIterator()]
-        for k in range(shards)
-    ]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 64_000_000) -> DataFrame:
+    one at a time and only after their total has been summed. A task's table of
+    windows takes up to a hundred times the text."""
+
+    def __init__(self, benchmark: DataFrame, max_bytes: int):
+        self.rows = benchmark.select(
+            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")
+        ).where(F.col("text").isNotNull())
+        total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.count = int(total // max_bytes) + 1
+
+    def __iter__(self) -> Iterator[list[tuple[str, bytes]]]:
+        for k in range(self.count):
+            # an item's own windows may lie in several shards only if its text is repeated
+            own = self.rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.count)) == k)
+            yield [(r[0], bytes(r[1])) for r in own.toLocalIterator()]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_words, hit word ranges and the items that occur, per document.
 
     A benchmark of up to ``max_bytes`` of text is broadcast and the documents
     are read once without a shuffle. A larger one is cut into shards of that
-    size; each shard is broadcast in its turn, and only the documents with a
-    hit meet, by doc_id, which then has to be a key."""
+    size; each is broadcast in its turn, its hits are written down, and the hits
+    of a row meet by a key of the row, so ids may be missing or repeated."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    shards = Shards(benchmark, max_bytes)
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("row"))
+    if shards.count > 1:
+        source = cut_lineage(source.withColumn("row", F.monotonically_increasing_id()))
 
     def one(items: list[tuple[str, bytes]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
@@ -148,21 +158,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 64
                 return pa.record_batch([
                     batch.column("doc_id"), pa.array(counts, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ], names=["doc_id", "n_words", "spans", "item_ids"])
+                    pa.array(items, pa.list_(pa.string())), batch.column("row"),
+                ], names=["doc_id", "n_words", "spans", "item_ids", "row"])
 
             return step
 
-        return map_batches(source, make, SCAN_SCHEMA)
+        return map_batches(source, make, f"{SCAN_SCHEMA}, row long")
 
-    shards = item_shards(benchmark, max_bytes)
-    first, *rest = [one(items) for items in shards]
-    if not rest:
-        return first
-    some = first.where(F.size("item_ids") > 0)
-    for other in rest:
-        some = some.unionByName(other.where(F.size("item_ids") > 0))
-    hits = some.groupBy("doc_id").agg(
+    if shards.count == 1:
+        return one(next(iter(shards))).drop("row")
+    parts = [cut_lineage(one(items)) for items in shards]
+    some = reduce(DataFrame.unionByName, (p.where(F.size("item_ids") > 0) for p in parts))
+    hits = some.groupBy("row").agg(
         F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i")
     )
     merged = F.aggregate(
@@ -175,17 +182,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 64
         ).otherwise(F.concat(done, F.array(x))),
     )
     return (
-        first.select("doc_id", "n_words").join(hits, "doc_id", "left")
+        parts[0].select("doc_id", "n_words", "row").join(hits, "row", "left")
         .select("doc_id", "n_words", F.coalesce(F.when(F.size("s") > 0, merged), F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
                 F.coalesce("i", F.array().cast("array<string>")).alias("item_ids"))
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "spans", max_bytes: int = 64_000_000) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "spans", max_bytes: int = 4_000_000) -> DataFrame:
     """The documents without benchmark passages, all columns kept. ``spans``
     cuts the hit words out, puts a line break in their place, sets n_chars to
     the new length and drops a document that has no word left; ``documents``
-    drops every document with a hit. Documents without a hit are untouched."""
+    drops every document with a hit. Documents without a hit are untouched. A
+    benchmark of several shards is gone over until none of them cuts."""
     if how not in ("spans", "documents"):
         raise ValueError(f"how is spans or documents, not {how}")
     spark, schema = docs.sparkSession, docs.schema
@@ -221,9 +229,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "spans
 
         return map_batches(df, make, schema)
 
-    for items in item_shards(benchmark, max_bytes):
-        docs = one(docs, items)
-    return docs
+    shards = Shards(benchmark, max_bytes)
+    if shards.count == 1:
+        return one(docs, next(iter(shards)))
+    while True:
+        # each round takes words, so this ends
+        for items in shards:
+            docs = cut_lineage(one(docs, items))
+        if how == "documents" or not scan(docs, benchmark, n, max_bytes).where(F.size("spans") > 0).limit(1).count():
+            return docs
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -76,6 +76,27 @@ def test_odd_rows_and_shards(spark):
     assert len(clean) == len(ODD) and not any(r.contaminated for r in clean)
 
 
+def test_shards_judge_rows_one_by_one(spark):
+    """Rows without an id and rows that share one get the same answers from many shards as from one."""
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven eight nine")], "item_id long, text string")
+    table = docs(spark, [(None, "one two three"), (5, "one two three x"), (5, "y four five six"), (None, "clean"), (7, "one two three seven eight nine")])
+    whole, cut = (
+        sorted(map(str, decontaminate.digest(decontaminate.scan(table, bench, max_bytes=limit)).collect())) for limit in (4_000_000, 12)
+    )
+    assert whole == cut and sum("contaminated=True" in r for r in cut) == 4
+
+
+def test_removal_goes_over_all_shards_again(spark):
+    """Cutting the passage of one shard joins a passage of another."""
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(["aa bb cc", "dd ee ff", "gg hh ii", "jj kk ll"])], "item_id long, text string")
+    inner = ["aa bb cc", "dd ee ff", "gg hh ii", "jj kk ll"]
+    rows = [(10 * a + b, f"keep {inner[a][:2]} {inner[b]} {inner[a][3:]} end") for a in range(4) for b in range(4) if a != b]
+    for how, want in (("spans", {"keep", "end"}), ("documents", None)):
+        for limit in (4_000_000, 10):
+            left = decontaminate.remove(docs(spark, rows), bench, how=how, max_bytes=limit).collect()
+            assert [set(r.text.split()) for r in left] == ([want] * len(rows) if want else [])
+
+
 def test_removal(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     table = docs(spark, [(1, "keep this, One two THREE! and that"), (2, "one two three"), (3, "untouched  text\n"), (4, None)])
