@@ -10,7 +10,6 @@ from hypothesis import given as examples
 from hypothesis import settings
 from hypothesis import strategies as st
 
-import corpus_pipeline
 from storyweave.llm import simhash
 from storyweave.llm.queries import QUERIES
 
@@ -109,8 +108,7 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
-def test_stage_keeps_the_least_of_each_component(spark):
-    table = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = corpus_pipeline.near_dedup(spark, table, DATA)
+def test_least_of_each_component_stays(spark):
+    kept = simhash.keep_one(spark.read.parquet(f"{DATA}/documents.parquet"))
     prints = {i: plain_fingerprint(t) for i, t, *_ in given("documents")}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(reachable(prints).values()))
