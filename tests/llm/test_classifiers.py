@@ -229,7 +229,7 @@ def test_one_url_everywhere_is_one_row_of_the_sample(spark, monkeypatch):
     urlfilter.fit(table, max_rows=100)
     assert seen[0][0] == 100
     urlfilter.fit(table)
-    assert seen[1][0] == 121 and seen[1][1].max() / seen[1][1].min() == 3000
+    assert seen[1][0] == 121 and round(seen[1][1].max() / seen[1][1].min()) == 3000
 
 
 @pytest.mark.parametrize("text, letter", [("½ ² ① 12", False), ("", False), (None, False), ("ⅷ", False), ("é", True), ("日", True), ("1a", True)])
