@@ -2,9 +2,15 @@
 
 Every new item looks for its best partner among items of the same model that
 are close in time, or undated. The work is cut into bounded tiles: a group
-(model, time slab) of any size is spread over as many tiles as it needs, two
-tiles meet in one task, and that task returns at most one row per item. Pairs
-are never materialised as rows.
+(model, time slab) of any size is spread over as many tiles as it needs, by the
+direction of the vectors; two tiles meet in one task, and that task returns at
+most one row per item. Pairs are never materialised as rows.
+
+Two tiles meet only if one of their pairs can count. Angles to pivots bound the
+cosine of all their pairs, and set sizes and times bound the rest of the score.
+Where the cosine is too small for a match without a large overlap, the tiles do
+not meet either: such pairs are found by an exact set-similarity join, in which
+items meet per entity of a prefix of their rarest ones.
 """
 
 from __future__ import annotations
@@ -14,10 +20,11 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyweave.functions import vectors
+from storyweave.operators import pivots
 from storyweave.session import cut_lineage, shuffle_partitions
 
 HOUR_US = 3_600_000_000
@@ -43,6 +50,20 @@ def with_tiles(df: DataFrame, group: list[str], row_id: str, tile_rows: int) ->
     ).withColumnRenamed("_tiles", "tiles")
 
 
+def with_pivot_tiles(df: DataFrame, group: list[str], row_id: str, vector: str, tile_rows: int) -> tuple[DataFrame, pivots.Pivots]:
+    """Tiles as of ``with_tiles``, whose rows point in a like direction where a
+    group has several. Where each group is one tile, there is nothing to choose."""
+    df = cut_lineage(df)
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= tile_rows:
+        key = [F.coalesce(F.col(g).cast("string"), F.lit("-")) for g in group]
+        return df.withColumns({"pivot": F.lit(0), "tile": F.concat_ws("|", *key), "tiles": F.lit(1).cast("long")}), {}
+    chosen = pivots.choose(df, row_id, vector)
+    sizes = with_tiles(df, group, row_id, tile_rows).drop("tile").withColumn("tiles", F.col("tiles").cast("int"))
+    placed = pivots.nearest(sizes, vector, "tiles", chosen).drop("tiles")
+    return cut_lineage(with_tiles(placed, [*group, "pivot"], row_id, tile_rows)), chosen
+
+
 def _meet(items: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """Bring the rows of both tiles of every pair together in one task."""
     pairs = pairs.withColumn("pair", F.concat_ws(">", "left_tile", "right_tile"))
@@ -134,26 +155,11 @@ def _match_kernel(cosine_weight: float, entity_weight: float, window_us: float)
     return kernel
 
 
-def best_matches(
-    items: DataFrame, *, as_of: datetime | None, window_hours: float = 48.0, cosine_weight: float = 0.6,
-    entity_weight: float = 0.4, merge_threshold: float = 0.50, merge_thresholds: dict[str, float] | None = None,
-    band: float = 0.06, tile_rows: int = 1024, adjudicator: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """Best partner of every new item whose score can leave the DIFFERENT
-    zone: (item_id, match_id, score, verdict).
-
-    ``items`` holds item_id, model_id, embedding, published_at, entities,
-    link_keys and is_new; rows that are not new already belong to a story. A
-    dated candidate must lie inside the window before ``as_of``; with
-    ``as_of=None`` that cut is left out, as in a replay of history.
-
-    A score never exceeds its time factor, so only dated pairs closer than
-    window * (1 - lowest threshold) can matter; that is the slab width, and
-    such pairs lie in the same slab or in neighbouring ones.
-
-    ``adjudicator`` (score, threshold) -> verdict replaces the threshold band.
-    """
-    decide = adjudicator or (lambda score, limit: vectors.adjudicate(score, limit, band))
+def _match_plan(
+    items: DataFrame, *, as_of: datetime | None, window_hours: float = 48.0, cosine_weight: float = 0.6, entity_weight: float = 0.4,
+    merge_threshold: float = 0.50, merge_thresholds: dict[str, float] | None = None, band: float = 0.06, tile_rows: int = 1024,
+) -> tuple[DataFrame, DataFrame, int]:
+    """The tiled rows, the pairs of tiles with their ``work``, and the largest time between two dated rows that matter."""
     overrides = merge_thresholds or {}
     floor_of = [v - band / 2 for v in [merge_threshold, *overrides.values()]]
     reach_us = int(window_hours * HOUR_US * (1.0 - min(floor_of))) + 1
@@ -177,18 +183,101 @@ def best_matches(
         .where(F.col("is_new") | F.col("is_candidate"))
         .withColumn("dims", F.size("vec"))
     )
-    # vectors of different length never meet
-    tiled = cut_lineage(with_tiles(slim, ["model_id", "dims", "slab"], "item_id", tile_rows))
-    stats = tiled.groupBy("tile", "model_id", "dims", "slab").agg(
+    window_us = window_hours * HOUR_US
+    tiled, chosen = with_pivot_tiles(slim, ["model_id", "dims", "slab"], "item_id", "vec", tile_rows)
+    planned = cut_lineage(_judged(
+        _time_pairs(pivots.bounded(_match_stats(tiled), tiled, "vec", chosen), reach_us),
+        cosine_weight, entity_weight, window_us,
+    ))
+    return tiled, planned, reach_us
+
+
+#: Tile pairs of a smaller possible cosine than a match with this overlap of entities needs leave their pairs to the set join.
+OVERLAP = 0.5
+
+
+def _match_stats(tiled: DataFrame, *more: str) -> DataFrame:
+    return tiled.groupBy("tile", "model_id", "dims", "slab", *more).agg(
         F.min("ts").alias("t0"), F.max("ts").alias("t1"),
         F.bool_or("is_new").alias("any_new"), F.bool_or("is_candidate").alias("any_candidate"),
+        F.min("floor").alias("floor"), F.max(F.size("links")).alias("links"),
+        F.min(F.size("entities")).alias("fewest"), F.max(F.size("entities")).alias("most"),
     )
-    pairs = _time_pairs(stats, reach_us)
-    found = _meet(
-        tiled.drop("model_id", "dims", "slab"), pairs,
-        _match_kernel(cosine_weight, entity_weight, window_hours * HOUR_US),
-        "item_id long, score double, match_id long",
+
+
+def _judged(met: DataFrame, cosine_weight: float, entity_weight: float, window_us: float) -> DataFrame:
+    """left_tile, right_tile and ``work``: what a pair of tiles needs, from bounds on all its pairs.
+    `matrix`: they meet; `overlap`: only pairs with an overlap of ``OVERLAP`` or more can count; `none`."""
+    gap = F.greatest(F.col("b.t0") - F.col("a.t1"), F.col("a.t0") - F.col("b.t1"), F.lit(0.0))
+    # greatest() passes over nulls, so an undated side has no gap
+    undated = F.col("a.slab").isNull() | F.col("b.slab").isNull()
+    decay = F.when(undated, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - gap / window_us))
+    cosine = cosine_weight * pivots.most_cosine("a", "b")
+    overlap = F.least(F.col("a.most"), F.col("b.most")) / F.greatest(F.lit(1), F.col("a.fewest"), F.col("b.fewest"))
+    link = F.when((F.col("a.links") > 0) & (F.col("b.links") > 0), 0.10).otherwise(0.0)
+    floor = F.least("a.floor", "b.floor") - pivots.SLACK
+
+    def reaches(entities: Column) -> Column:
+        return F.least(F.lit(1.0), cosine + entity_weight * F.least(F.lit(1.0), entities) + link) * decay > floor
+
+    work = F.when(~reaches(overlap), "none").when(reaches(F.least(overlap, F.lit(OVERLAP))), "matrix").otherwise("overlap")
+    return met.select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"), work.alias("work"))
+
+
+def match_work(items: DataFrame, **options) -> DataFrame:
+    """How many pairs of tiles that are close in time ``best_matches`` multiplies, leaves to the set join, or drops: (work, pairs)."""
+    return _match_plan(items, **options)[1].groupBy("work").agg(F.count("*").alias("pairs"))
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Rows once for each ``token`` of a prefix of their entities, rarest first: two sets with an
+    overlap of ``OVERLAP`` or more have one of these in common."""
+    tokens = rows.select("item_id", F.explode("entities").alias("token"))
+    ordered = (
+        tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")), "token")
+        .groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("s"))
     )
+    length = (F.size("s") - F.ceil(OVERLAP * F.size("s")) + 1).cast("int")
+    prefix = ordered.select("item_id", F.explode(F.slice("s", F.lit(1), length)["token"]).alias("token"))
+    return rows.join(prefix, "item_id")
+
+
+def best_matches(
+    items: DataFrame, *, as_of: datetime | None, window_hours: float = 48.0, cosine_weight: float = 0.6,
+    entity_weight: float = 0.4, merge_threshold: float = 0.50, merge_thresholds: dict[str, float] | None = None,
+    band: float = 0.06, tile_rows: int = 1024, adjudicator: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Best partner of every new item whose score can leave the DIFFERENT
+    zone: (item_id, match_id, score, verdict).
+
+    ``items`` holds item_id, model_id, embedding, published_at, entities,
+    link_keys and is_new; rows that are not new already belong to a story. A
+    dated candidate must lie inside the window before ``as_of``; with
+    ``as_of=None`` that cut is left out, as in a replay of history.
+
+    A score never exceeds its time factor, so only dated pairs closer than
+    window * (1 - lowest threshold) can matter; that is the slab width, and
+    such pairs lie in the same slab or in neighbouring ones.
+
+    ``adjudicator`` (score, threshold) -> verdict replaces the threshold band.
+    """
+    decide = adjudicator or (lambda score, limit: vectors.adjudicate(score, limit, band))
+    overrides = merge_thresholds or {}
+    tiled, planned, reach_us = _match_plan(
+        items, as_of=as_of, window_hours=window_hours, cosine_weight=cosine_weight, entity_weight=entity_weight,
+        merge_threshold=merge_threshold, merge_thresholds=merge_thresholds, band=band, tile_rows=tile_rows,
+    )
+    kernel = _match_kernel(cosine_weight, entity_weight, window_hours * HOUR_US)
+    schema = "item_id long, score double, match_id long"
+    found = _meet(tiled.drop("model_id", "dims", "slab", "pivot"), planned.where("work = 'matrix'"), kernel, schema)
+    left_over = planned.where("work = 'overlap'")
+    if left_over.limit(1).count():
+        asked = left_over.select(F.explode(F.array("left_tile", "right_tile")).alias("tile")).distinct()
+        rows = _prefixes(tiled.join(asked, "tile", "left_semi").drop("tile", "tiles", "pivot"))
+        by_token = cut_lineage(with_tiles(rows, ["model_id", "dims", "token", "slab"], "item_id", tile_rows))
+        met = _time_pairs(_match_stats(by_token, "token"), reach_us, "token")
+        pairs = met.select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
+        found = found.unionByName(_meet(by_token.drop("model_id", "dims", "slab", "token"), pairs, kernel, schema))
     best = found.groupBy("item_id").agg(
         F.max_by(F.struct("match_id", "score"), F.struct(F.col("score"), -F.col("match_id"))).alias("b")
     )
@@ -202,12 +291,15 @@ def best_matches(
     )
 
 
-def _time_pairs(stats: DataFrame, reach_us: int) -> DataFrame:
-    """Tile pairs that can hold a match, from one row per tile."""
+def _time_pairs(stats: DataFrame, reach_us: int, *more: str) -> DataFrame:
+    """Pairs of tiles, as a and b, that are close enough in time and agree in ``more``, from one row per tile."""
     useful = (
         (F.col("a.any_new") & F.col("b.any_candidate")) | (F.col("b.any_new") & F.col("a.any_candidate"))
     )
     same_kind = (F.col("a.model_id").eqNullSafe(F.col("b.model_id"))) & (F.col("a.dims") == F.col("b.dims"))
+    for column in more:
+        same_kind = same_kind & (F.col(f"a.{column}") == F.col(f"b.{column}"))
+    columns = [F.struct(*(F.col(f"{side}.{c}") for c in stats.columns)).alias(side) for side in "ab"]
     dated = stats.where(F.col("slab").isNotNull())
     ahead = dated.withColumn("meets", F.explode(F.array(F.col("slab"), F.col("slab") + 1)))
     near = (F.col("b.t0") - F.col("a.t1") <= reach_us) & (F.col("a.t0") - F.col("b.t1") <= reach_us)
@@ -221,8 +313,7 @@ def _time_pairs(stats: DataFrame, reach_us: int) -> DataFrame:
         stats.alias("b"),
         same_kind & useful & (F.col("b.slab").isNotNull() | (F.col("a.tile") <= F.col("b.tile"))),
     )
-    ids = [F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile")]
-    return both_dated.select(*ids).unionByName(with_undated.select(*ids))
+    return both_dated.select(*columns).unionByName(with_undated.select(*columns))
 
 
 def _prior_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -242,12 +333,7 @@ def _prior_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found, ignore_index=True)
 
 
-def prior_peaks(
-    stories: DataFrame, days: int = 90, tile_rows: int = 2048, wanted: DataFrame | None = None
-) -> DataFrame:
-    """(story_id, peak): highest cosine against any story first seen strictly
-    earlier, at most ``days`` before. Stories without a prior are absent. Only
-    the ``wanted`` stories ask when given; tile pairs nobody asks about drop."""
+def _peak_rows(stories: DataFrame, days: int, wanted: DataFrame | None) -> tuple[DataFrame, int]:
     reach = days * 24 * HOUR_US
     ts = F.unix_micros("first_seen")
     slim = stories.where(F.col("centroid").isNotNull() & ts.isNotNull()).select(
@@ -259,19 +345,70 @@ def prior_peaks(
     else:
         marks = wanted.select("story_id").distinct().withColumn("asks", F.lit(True))
         slim = slim.join(marks, "story_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    tiled = cut_lineage(with_tiles(slim, ["dims", "slab"], "story_id", tile_rows))
+    return slim, reach
+
+
+def prior_peaks(
+    stories: DataFrame, days: int = 90, tile_rows: int = 2048, wanted: DataFrame | None = None
+) -> DataFrame:
+    """(story_id, peak): highest cosine against any story first seen strictly
+    earlier, at most ``days`` before. Stories without a prior are absent. Only
+    the ``wanted`` stories ask when given; tile pairs nobody asks about drop."""
+    slim, reach = _peak_rows(stories, days, wanted)
+    tiled, chosen = with_pivot_tiles(slim, ["dims", "slab"], "story_id", "vec", tile_rows)
+    planned = _peak_pairs(tiled, chosen, reach)
+    rows, schema = tiled.drop("dims", "slab", "pivot"), "story_id long, peak double"
+    # tiles that may hold the closest vectors go first, and each tile with itself
+    first = _meet(rows, planned.where("turn <= 2"), _prior_kernel, schema).groupBy("story_id").agg(F.max("peak").alias("peak"))
+    later = planned.where("turn > 2")
+    if not later.limit(1).count():
+        return first
+    first = cut_lineage(first)
+    rest = _open_pairs(tiled, later, first)
+    found = first.unionByName(_meet(rows, rest, _prior_kernel, schema))
+    return found.groupBy("story_id").agg(F.max("peak").alias("peak"))
+
+
+def _peak_pairs(tiled: DataFrame, chosen: pivots.Pivots, reach: int) -> DataFrame:
+    """left_tile, right_tile, most (no cosine of theirs is larger) and turn: 1 for the
+    pair of a tile that may hold its closest vectors, counting its own as the first."""
     stats = tiled.groupBy("tile", "dims", "slab").agg(
         F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.bool_or("asks").alias("asks")
     )
+    stats = pivots.bounded(stats, tiled, "vec", chosen)
     ahead = stats.withColumn("meets", F.explode(F.array(F.col("slab"), F.col("slab") + 1)))
     pairs = ahead.alias("a").join(
         stats.alias("b"),
         (F.col("a.dims") == F.col("b.dims")) & (F.col("a.meets") == F.col("b.slab"))
         & (F.col("b.t0") - F.col("a.t1") <= reach) & (F.col("a.asks") | F.col("b.asks"))
         & ((F.col("a.slab") < F.col("b.slab")) | (F.col("a.tile") <= F.col("b.tile"))),
-    ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"))
-    found = _meet(tiled.drop("dims", "slab"), pairs, _prior_kernel, "story_id long, peak double")
-    return found.groupBy("story_id").agg(F.max("peak").alias("peak"))
+    ).select(F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"), pivots.most_cosine("a", "b").alias("most"))
+    order = Window.partitionBy("left_tile").orderBy(F.desc(F.col("left_tile") == F.col("right_tile")), F.desc("most"), "right_tile")
+    return cut_lineage(pairs.withColumn("turn", F.row_number().over(order)))
+
+
+def _open_pairs(tiled: DataFrame, pairs: DataFrame, peaks: DataFrame) -> DataFrame:
+    """The pairs of tiles in which a story that asks may find a larger peak than it has."""
+    least = (
+        tiled.where("asks").select("tile", "story_id").join(peaks, "story_id", "left")
+        .groupBy("tile").agg(F.min(F.coalesce("peak", F.lit(-2.0))).alias("least"))
+    )
+    sides = [least.select(F.col("tile").alias(f"{s}_tile"), F.col("least").alias(f"{s}_least")) for s in ("left", "right")]
+    bounded = pairs.join(sides[0], "left_tile", "left").join(sides[1], "right_tile", "left")
+    # a tile in which nobody asks has no bound of its own
+    return bounded.where((F.col("most") > F.col("left_least")) | (F.col("most") > F.col("right_least"))).select("left_tile", "right_tile")
+
+
+def peak_work(stories: DataFrame, days: int = 90, tile_rows: int = 2048) -> DataFrame:
+    """How many pairs of tiles ``prior_peaks`` multiplies and drops: (work, pairs)."""
+    slim, reach = _peak_rows(stories, days, None)
+    tiled, chosen = with_pivot_tiles(slim, ["dims", "slab"], "story_id", "vec", tile_rows)
+    planned = _peak_pairs(tiled, chosen, reach)
+    first = _meet(tiled.drop("dims", "slab", "pivot"), planned.where("turn <= 2"), _prior_kernel, "story_id long, peak double")
+    rest = _open_pairs(tiled, planned.where("turn > 2"), first.groupBy("story_id").agg(F.max("peak").alias("peak")))
+    met = planned.where("turn <= 2").select("left_tile", "right_tile").unionByName(rest).withColumn("met", F.lit(True))
+    return planned.join(met, ["left_tile", "right_tile"], "left").groupBy(
+        F.when(F.col("met"), "matrix").otherwise("none").alias("work")).agg(F.count("*").alias("pairs"))
 
 
 def _spanning_forest(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -389,17 +526,77 @@ def _extremes_kernel(signals: dict[str, tuple[float, float]]) -> Callable:
     return kernel
 
 
+def _extreme_pairs(
+    df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int, entities: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """The tiled rows, and for each pair of tiles bounds on all its pairs: ``most`` and ``least`` cosine, the
+    largest ``overlap``, whether labels may be ``same`` or ``different``, and whether it is ``likely`` to hold an end."""
+    tiled, chosen = with_pivot_tiles(_labelled(df, row_id, vector, label, entities), ["dims", "bucket"], "row_id", "vec", tile_rows)
+    stats = tiled.groupBy("tile", "dims", "bucket").agg(
+        F.min(F.size("entities")).alias("fewest"), F.max(F.size("entities")).alias("most"),
+        F.when((F.min("label") == F.max("label")) & (F.count("label") == F.count("*")), F.min("label")).alias("only"),
+    )
+    stats = pivots.bounded(stats, tiled, "vec", chosen)
+    pairs = stats.alias("a").join(
+        stats.alias("b"),
+        (F.col("a.dims") == F.col("b.dims")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.tile") <= F.col("b.tile")),
+    ).select(
+        F.col("a.tile").alias("left_tile"), F.col("b.tile").alias("right_tile"),
+        pivots.most_cosine("a", "b").alias("most"), pivots.least_cosine("a", "b").alias("least"),
+        F.least(F.lit(1.0), F.least("a.most", "b.most") / F.greatest(F.lit(1), F.col("a.fewest"), F.col("b.fewest"))).alias("overlap"),
+        F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(True)).alias("same"),
+        F.coalesce(F.col("a.only") != F.col("b.only"), F.lit(True)).alias("different"),
+    )
+    own = F.col("left_tile") == F.col("right_tile")
+    nearest = Window.partitionBy("left_tile").orderBy(F.desc("different"), F.desc("most"), "right_tile")
+    farthest = Window.partitionBy("left_tile").orderBy(F.desc("same"), "least", "right_tile")
+    likely = own | (F.row_number().over(nearest) == 1) | (F.row_number().over(farthest) == 1)
+    return tiled, cut_lineage(pairs.withColumn("likely", likely))
+
+
+def _more_extreme(signals: dict[str, tuple[float, float]], found: DataFrame) -> Column:
+    """Whether a pair of tiles may hold a lower score inside a label or a higher one between labels than was found."""
+    ends = {r[0]: (r[1], r[2]) for r in found.groupBy("signal").agg(F.min("lowest_same"), F.max("highest_different")).collect()}
+    open_ = F.lit(False)
+    for name, (cosine, overlap) in signals.items():
+        lowest, highest = ends.get(name, (float("inf"), float("-inf")))
+        ends_of = [F.col(c) * cosine for c in ("least", "most")]
+        low, high = F.least(*ends_of) + min(0.0, overlap) * F.col("overlap"), F.greatest(*ends_of) + max(0.0, overlap) * F.col("overlap")
+        open_ = open_ | (F.col("same") & (low < lowest + pivots.SLACK)) | (F.col("different") & (high > highest - pivots.SLACK))
+    return open_
+
+
+def extremes_work(
+    df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int = 1024,
+    entities: str | None = None, signals: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
+    """How many pairs of tiles ``cosine_extremes`` multiplies and drops: (work, pairs)."""
+    signals = signals or {"cosine": SIGNALS["cosine"]}
+    tiled, planned = _extreme_pairs(df, row_id, vector, label, tile_rows, entities)
+    first = _meet(
+        tiled.drop("dims", "bucket", "pivot"), planned.where("likely"), _extremes_kernel(signals),
+        "signal string, lowest_same double, highest_different double",
+    )
+    work = F.when(F.col("likely") | _more_extreme(signals, first), "matrix").otherwise("none")
+    return planned.groupBy(work.alias("work")).agg(F.count("*").alias("pairs"))
+
+
 def cosine_extremes(
     df: DataFrame, row_id: str, vector: str, label: str, tile_rows: int = 1024,
     entities: str | None = None, signals: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """A row per signal: lowest score inside a label and highest between labels.
     Each tile pair answers with two numbers, no pair becomes a row."""
-    tiled = cut_lineage(with_tiles(_labelled(df, row_id, vector, label, entities), ["dims", "bucket"], "row_id", tile_rows))
-    found = _meet(
-        tiled.drop("dims", "bucket"), _all_tile_pairs(tiled), _extremes_kernel(signals or {"cosine": SIGNALS["cosine"]}),
-        "signal string, lowest_same double, highest_different double",
-    )
+    signals = signals or {"cosine": SIGNALS["cosine"]}
+    tiled, planned = _extreme_pairs(df, row_id, vector, label, tile_rows, entities)
+    kernel, schema = _extremes_kernel(signals), "signal string, lowest_same double, highest_different double"
+    rows = tiled.drop("dims", "bucket", "pivot")
+    # pairs of tiles that may hold the ends go first; then only those that may hold more extreme ones
+    found = _meet(rows, planned.where("likely"), kernel, schema)
+    later = planned.where(~F.col("likely"))
+    if later.limit(1).count():
+        found = cut_lineage(found)
+        found = found.unionByName(_meet(rows, later.where(_more_extreme(signals, found)), kernel, schema))
     infinite = F.lit(float("inf"))
     return found.groupBy("signal").agg(F.min("lowest_same").alias("s"), F.max("highest_different").alias("d")).select(
         "signal",
