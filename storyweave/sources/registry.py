@@ -42,17 +42,26 @@ for _name, _reader in {
     register(_name)(_reader)
 
 
-#: Plugins whose payloads are JSON of this form.
+#: Plugins whose payloads are JSON of this form, and those whose payloads are feeds.
 _JSON = {"hackernews": scans.POSTS_SCHEMA}
+_FEEDS = {"rss": "rss", "github_releases": "atom", "arxiv": "atom"}
 
 
 def unreadable(landed: DataFrame) -> DataFrame:
-    """(source_id, error) of landed JSON payloads that do not parse. Of XML the
-    entries that can be recovered are read."""
-    bad = F.lit(False)
+    """(source_id, error) of landed payloads that can't be read at all: JSON
+    that does not parse, and what is no feed where one is expected, such as an
+    error page. Of a feed that is broken in places the rest is read."""
+    error = F.lit(None).cast("string")
     for name, schema in _JSON.items():
-        bad = bad | ((F.col("plugin") == name) & F.from_json("payload", schema).isNull())
-    return landed.where(bad & F.col("payload").isNotNull()).select("source_id", F.lit("payload is not valid JSON").alias("error"))
+        error = F.when((F.col("plugin") == name) & F.from_json("payload", schema).isNull(), "payload is not valid JSON").otherwise(error)
+    error = F.when(F.col("plugin").isin(*_FEEDS) & ~scans.is_feed(F.col("payload")), "payload is not a feed").otherwise(error)
+    return landed.where(F.col("payload").isNotNull()).select("source_id", error.alias("error")).where(F.col("error").isNotNull())
+
+
+def failed_entries(landed: DataFrame) -> DataFrame:
+    """(source_id, entry_no, error) of the entries that can't be read inside feeds that can."""
+    parts = [scans.failed_entries(landed.where(F.col("plugin") == name), form) for name, form in _FEEDS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_landed(landed: DataFrame, plugins: list[str], options: dict[str, dict] | None = None) -> DataFrame:

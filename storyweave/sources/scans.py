@@ -2,6 +2,11 @@
 
 Each reader takes a DataFrame of landed payloads (source_id, payload, ...) and
 returns the common raw-item columns. Fetching happens elsewhere.
+
+A feed that is no valid XML as a whole is cut into its entries, and each is read
+alone: as it stands, then with bare ampersands escaped, then from those of its
+elements that are whole. So one bad entry, or an end that is missing, costs no
+other entry; what can't be read at all is a failed entry with a reason.
 """
 
 from __future__ import annotations
@@ -66,13 +71,64 @@ def _blank_to_null(column: Column) -> Column:
     return text.none_if_blank(column)
 
 
+#: Prefixes that feeds use and often forget to declare.
+_PREFIXES = ("media", "dc", "content", "atom", "itunes")
+#: An ampersand that starts none of the references XML knows.
+_BARE = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)"
+#: An element with its end, wherever it stands.
+_ELEMENT = r"(?s)<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?(?:/>|>.*?</\1\s*>)"
+
+
+def _cut_entries(payload: Column, tag: str, entry: str) -> Column:
+    """The entries of a payload that is no valid document, each read alone; null where one can't be."""
+    pieces = F.regexp_extract_all(payload, F.lit(rf"(?s)<{tag}[\s>].*?(?:</{tag}\s*>|(?=<{tag}[\s>])|\z)"), F.lit(0))
+    declared = F.array_join(F.array_distinct(F.regexp_extract_all(
+        payload, F.lit(r"xmlns:[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))), " ")
+    for prefix in _PREFIXES:
+        declared = F.when(declared.contains(f"xmlns:{prefix}"), declared).otherwise(F.concat(declared, F.lit(f' xmlns:{prefix}="{prefix}"')))
+
+    def alone(piece: Column) -> Column:
+        return F.from_xml(F.concat(F.lit("<x "), declared, F.lit(">"), piece, F.lit("</x>")), f"{tag} {entry}")[tag]
+
+    def whole_elements(piece: Column) -> Column:
+        inside = F.regexp_replace(piece, rf"^<{tag}[^>]*>|</{tag}\s*>$", "")
+        escaped = F.regexp_replace(inside, _BARE, "&amp;")
+        elements = F.filter(
+            F.regexp_extract_all(escaped, F.lit(_ELEMENT), F.lit(0)),
+            lambda e: alone(F.concat(F.lit(f"<{tag}>"), e, F.lit(f"</{tag}>"))).isNotNull(),
+        )
+        return F.when(F.size(elements) > 0, alone(F.concat(F.lit(f"<{tag}>"), F.array_join(elements, ""), F.lit(f"</{tag}>"))))
+
+    return F.transform(pieces, lambda p: F.coalesce(alone(p), alone(F.regexp_replace(p, _BARE, "&amp;")), whole_elements(p)))
+
+
+def _entries(landed: DataFrame, schema: str, entries: str, tag: str, entry: str, *extra: str) -> DataFrame:
+    """source_id, ``extra``, since, entry_no and e, null for an entry that can't be read."""
+    documents = landed.select(
+        "source_id", *extra, "payload", _optional_since(landed).alias("since"), F.from_xml("payload", schema).alias("doc"))
+    # the cut runs only for payloads that are no document
+    found = F.coalesce(F.col(f"doc.{entries}"), _cut_entries(F.col("payload"), tag, entry))
+    return documents.select("source_id", *extra, "since", F.posexplode(found).alias("entry_no", "e"))
+
+
+def is_feed(payload: Column) -> Column:
+    """Whether a payload has an element that feeds start with; an error page has none."""
+    return payload.rlike(r"(?i)<(?:[\w.-]+:)?(?:rss|rdf|channel|feed)[\s>]")
+
+
+def failed_entries(landed: DataFrame, form: str) -> DataFrame:
+    """(source_id, entry_no, error) of entries of `rss` or `atom` payloads that can't be read."""
+    entries = _rss_entries(landed) if form == "rss" else _atom_entries(landed)
+    return entries.where(F.col("e").isNull()).select("source_id", "entry_no", F.lit("entry is not valid XML").alias("error"))
+
+
+def _rss_entries(landed: DataFrame) -> DataFrame:
+    return _entries(landed, RSS_SCHEMA, "channel.item", "item", _ITEM)
+
+
 def scan_rss(landed: DataFrame) -> DataFrame:
     """RSS documents, one per row."""
-    entries = (
-        landed.select("source_id", _optional_since(landed).alias("since"), F.from_xml("payload", RSS_SCHEMA).alias("doc"))
-        .select("source_id", "since", F.posexplode("doc.channel.item").alias("entry_no", "e"))
-    )
-    return rss_items(entries)
+    return rss_items(_rss_entries(landed))
 
 
 def rss_items(entries: DataFrame) -> DataFrame:
@@ -96,11 +152,7 @@ def _entry_link(e: Column) -> Column:
 
 
 def _atom_entries(landed: DataFrame) -> DataFrame:
-    extra = [c for c in ("repo",) if c in landed.columns]
-    return (
-        landed.select("source_id", *extra, _optional_since(landed).alias("since"), F.from_xml("payload", ATOM_SCHEMA).alias("doc"))
-        .select("source_id", *extra, "since", F.posexplode("doc.entry").alias("entry_no", "e"))
-    )
+    return _entries(landed, ATOM_SCHEMA, "entry", "entry", _ENTRY, *(c for c in ("repo",) if c in landed.columns))
 
 
 def scan_release_feed(landed: DataFrame) -> DataFrame:

@@ -40,6 +40,35 @@ def scan_rss(spark: SparkSession, sf: str) -> DataFrame:
                        F.unix_seconds("published_at").alias("published"), "image_url")
 
 
+_IMAGE = "CASE doc_id % 5 WHEN 0 THEN 'https://i.example.org/m.png' WHEN 1 THEN 'https://i.example.org/t.png' WHEN 3 THEN 'https://i.example.org/e.png' END"
+
+
+@query("scan_broken_feeds", f"""
+    WITH d AS (
+        SELECT *, {_PUB} AS pub, doc_id // 100 % 3 AS kind, doc_id = max(doc_id) OVER (PARTITION BY source, doc_id // 100) AS last FROM documents),
+    e AS (
+        SELECT *, kind = 1 AND last AS cut FROM d WHERE kind < 2)
+    SELECT source AS source_id, {SHARED} AS url,
+           CASE WHEN kind = 0 THEN regexp_replace('R&D   ' || split_part(text, chr(10), 1), '\\s+$', '', 'g') ELSE {_TITLE} END AS title,
+           CASE WHEN NOT cut THEN sha256({_TRIM}) END AS summary_hash, CASE WHEN NOT cut THEN pub END AS published,
+           CASE WHEN NOT cut THEN {_IMAGE} END AS image_url
+    FROM e WHERE doc_id % 13 <> 0 AND (pub IS NULL OR cut OR pub > {SINCE})""")
+def scan_broken_feeds(spark, sf):
+    rows = scans.scan_rss(_since(fx.broken_feeds(fx.table(spark, sf, "documents"))))
+    return rows.select("source_id", "url", "title", F.sha2(text.strip(F.col("summary")), 256).alias("summary_hash"),
+                       F.unix_seconds("published_at").alias("published"), "image_url")
+
+
+@query("feed_failures", """
+    WITH p AS (SELECT DISTINCT source AS source_id, doc_id // 100 % 3 AS kind, doc_id // 100 AS block FROM documents)
+    SELECT source_id, CASE kind WHEN 0 THEN 'entry is not valid XML' ELSE 'payload is not a feed' END AS error, count(*) AS failures
+    FROM p WHERE kind <> 1 GROUP BY ALL""")
+def feed_failures(spark, sf):
+    landed = fx.broken_feeds(fx.table(spark, sf, "documents"))
+    rows = registry.unreadable(landed).unionByName(registry.failed_entries(landed).select("source_id", "error"))
+    return rows.groupBy("source_id", "error").agg(F.count("*").alias("failures"))
+
+
 @query("scan_release_feed", f"""
     SELECT source AS source_id, {SHARED} AS url, 'org/' || source || ': A' || chr(10) || '  ' || regexp_replace(split_part(text, chr(10), 1), '\\s+$', '') AS title, pub + 3600 AS published
     FROM (SELECT *, {_PUB} AS pub FROM documents) WHERE doc_id % 13 <> 0 AND (pub IS NULL OR pub + 3600 > {SINCE})""")

@@ -302,3 +302,44 @@ def test_blend_is_safe_over_a_wider_band(spark):
         for t in (20, 35, 50, 75, 90):
             links = [p for p, s in score.items() if s >= t / 100]
             assert got[name, t / 100] == (reach(links, range(24)) == {i: i % 4 for i in range(24)})
+
+
+FEEDS = {
+    "bare": '<rss><channel><item><title>A & B</title><link>http://x.org/1</link></item><item><title>C</title><link>http://x.org/2</link></item></channel></rss>',
+    "cut": '<rss><channel><item><title>A</title><link>http://x.org/1</link></item><item><title>B</title><link>http://x.org/2</link><description>half',
+    "cdata": '<rss><channel><item><title><![CDATA[A & <b>B</b> </item>]]></title><link>http://x.org/1</link></item></channel></rss>',
+    "prefix": '<rss><channel><item><title>A</title><link>http://x.org/1</link><media:thumbnail url="http://i.org/a.png"/></item></channel></rss>',
+    "stray": '<rss><channel><item><title>A</title><link>http://x.org/1</link><description>a <b</description></item><item><title>B</title><link>http://x.org/2</link></item></channel></rss>',
+    "unclosed": '<rss><channel><item><title>A</title><link>http://x.org/1</link><item><title>B</title><link>http://x.org/2</link></item></channel></rss>',
+    "lost": '<rss><channel><item><title>x</item><item><title>B</title><link>http://x.org/2</link></item></channel></rss>',
+    "page": "<html><body>503 & down</body></html>",
+    "empty": '<rss><channel></channel></rss>',
+}
+
+
+def test_broken_feeds_keep_what_can_be_read(spark):
+    landed = spark.createDataFrame([(k, v, "rss") for k, v in FEEDS.items()] + [("none", None, "rss")], "source_id string, payload string, plugin string")
+    got = {}
+    for r in scans.scan_rss(landed).orderBy("entry_no").collect():
+        got.setdefault(r.source_id, []).append((r.entry_no, r.title, r.url[-1], r.image_url))
+    assert got == {
+        "bare": [(0, "A & B", "1", None), (1, "C", "2", None)],
+        "cut": [(0, "A", "1", None), (1, "B", "2", None)],
+        "cdata": [(0, "A & <b>B</b> </item>", "1", None)],
+        "prefix": [(0, "A", "1", "http://i.org/a.png")],
+        "stray": [(0, "A", "1", None), (1, "B", "2", None)],
+        "unclosed": [(0, "A", "1", None), (1, "B", "2", None)],
+        "lost": [(1, "B", "2", None)],
+    }
+    failed = [(r.source_id, r.entry_no, r.error) for r in registry.failed_entries(landed).collect()]
+    assert failed == [("lost", 0, "entry is not valid XML")]
+    assert [tuple(r) for r in registry.unreadable(landed).collect()] == [("page", "payload is not a feed")]
+
+
+def test_broken_atom_feeds(spark):
+    entry = "<entry><id>http://arxiv.org/abs/2401.0000{0}v1</id><title>T{0} {1}</title><link href='http://x.org/{0}'/><summary>s</summary></entry>"
+    whole = f"<feed xmlns='http://www.w3.org/2005/Atom'>{entry.format(1, '&')}{entry.format(2, '')}"
+    landed = spark.createDataFrame([("a", whole, "org/r"), ("b", f"{whole}</feed>", "org/r")], "source_id string, payload string, repo string")
+    papers = sorted((r.source_id, r.title) for r in scans.scan_paper_feed(landed).collect())
+    assert papers == [("a", "T1 &"), ("a", "T2"), ("b", "T1 &"), ("b", "T2")]
+    assert sorted(r.title for r in scans.scan_release_feed(landed).collect()) == ["org/r: T1 &"] * 2 + ["org/r: T2"] * 2
