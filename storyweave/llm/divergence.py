@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyweave.llm.batches import utf8
+from storyweave.llm.batches import few, utf8
 from storyweave.session import cut_lineage
 
 SCALE = 1_000_000_000
@@ -158,11 +158,6 @@ def joint_prices(left: np.ndarray, right: np.ndarray | None, n_left: list[int],
     return there, back
 
 
-def few(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """Small tables are sent to every task, larger ones joined by their keys; the rows are the same."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def divergences(kept: DataFrame, groups: DataFrame, tile: int, block_rows: int, most_columns: int) -> DataFrame:
     """lang, source, item, value: a row for each ordered pair of a language's groups.
 

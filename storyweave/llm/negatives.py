@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyweave.llm.batches import Step, map_batches
+from storyweave.llm.batches import Step, few, map_batches
 from storyweave.session import cut_lineage
 
 SCALE = 256
@@ -191,7 +191,7 @@ def answer(stream: DataFrame, shard: list[str], k: int, other_label: bool) -> Da
 def search(candidates: DataFrame, anchors: DataFrame, by: list[str], k: int, shard_rows: int, other_label: bool) -> DataFrame:
     """The best ``k`` rows of each window of each anchor, among candidates that
     agree in ``by``, with their rank. ``candidates`` has a column ``row`` that tells rows apart."""
-    sizes = candidates.groupBy(*by).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    sizes = few(candidates.groupBy(*by).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
     dealt = candidates.join(sizes, by).select(
         "vec_id", "label", "dim", "v", F.lit(None).cast("long").alias("anchor"),
         F.lit(None).cast("array<struct<place:int,low:long,high:long>>").alias("windows"),
