@@ -14,9 +14,10 @@ Stated queries meet all trees in blocks: a task gets some trees and the query
 blocks one after the other, and answers at most k rows per query and tree. A
 sample of rows gives each query a first bound, so most trees answer less.
 
-Defined cases: vectors that are null, hold a null or a non-finite component, or
-one of 2^17 or more (no exact 64-bit score), take no part, like rows without an
-id; only vectors of one length meet; a query is not its own candidate, nor is
+Defined cases: vectors that are null or hold a null or a non-finite component
+take no part, like rows without an id. Vectors with a squared length of 2^60 or
+more, as whole numbers, stand in trees of their own and are compared in Python's
+integers; a score beyond 64 bits counts as the nearest long, in ties too. Only vectors of one length meet; a query is not its own candidate, nor is
 any row of its id; equal repeated rows of a query are one query, and of a
 candidate are candidates each; ties go to the smaller vec_id. Extra columns are
 ignored.
@@ -25,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 import zlib
 
@@ -38,12 +40,15 @@ from storyweave.llm.batches import Step, map_batches
 from storyweave.session import cut_lineage, shuffle_partitions
 
 SCALE = 1024
-LARGEST = float(1 << 27)
 SLACK = 1e-6
+SMALL = 2.0**60  # squared length under which components take 32 bits and inner products 64
+LEAST_LONG, GREATEST_LONG = -(1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, dim, v (int32 components) and norm2 of the vectors that take part."""
+    """vec_id, dim, v, norm2 and big of the vectors that take part: v holds
+    whole components of 32 bits, or, where that is too little (big), the doubles
+    as they came, and norm2 is 0."""
 
     def make() -> Step:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -53,27 +58,56 @@ def whole_vectors(rows: DataFrame) -> DataFrame:
                 value = vectors[at].values
                 if i is None or value is None or value.null_count:
                     continue
-                x = np.floor(value.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
-                if np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
+                raw = value.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(raw).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    x = np.floor(raw * SCALE)
+                    small = float(x @ x) < SMALL
+                if small:
                     v = x.astype(np.int32)
-                    out.append((i, len(v), v.tobytes(), int(v.astype(np.int64) @ v.astype(np.int64))))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["vec_id", "dim", "v", "norm2"])
+                    out.append((i, len(v), v.tobytes(), int(v.astype(np.int64) @ v.astype(np.int64)), False))
+                else:
+                    out.append((i, len(raw), raw.tobytes(), 0, True))
+            columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
+            names = ["vec_id", "dim", "v", "norm2", "big"]
+            return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         return step
 
-    return map_batches(rows.select(F.col("vec_id").cast("long"), "embedding"), make, "vec_id long, dim int, v binary, norm2 long")
+    return map_batches(
+        rows.select(F.col("vec_id").cast("long"), "embedding"), make, "vec_id long, dim int, v binary, norm2 long, big boolean"
+    )
 
 
-def unpack(values: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.int32).reshape(len(values), dim).astype(np.int64)
+def unpack(values: list[bytes], dim: int, big: bool = False) -> np.ndarray:
+    """Rows of whole components: 64 bits, or Python's integers for big vectors."""
+    if not big:
+        return np.frombuffer(b"".join(values), np.int32).reshape(len(values), dim).astype(np.int64)
+    out = np.empty((len(values), dim), object)
+    for row, raw in zip(out, values, strict=True):
+        # beyond 2^53 every double is whole, and 1024 times it may be no double
+        row[:] = [math.floor(x * SCALE) if abs(x) < 1 << 43 else int(x) * SCALE for x in np.frombuffer(raw, np.float64).tolist()]
+    return out
 
 
 def exact_type(largest: int) -> type:
     """Doubles hold every partial sum of an inner product if no squared length
-    reaches 2^53; otherwise whole numbers do."""
-    return np.float64 if largest < 1 << 53 else np.int64
+    reaches 2^53, whole numbers of 64 bits up to 2^60, Python's integers all."""
+    return np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 60 else object
+
+
+def roots(squares: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Square roots of numbers that are not negative, in units of 2^(shift/2);
+    those of Python's integers are cut to whole ones, and infinite beyond 2^1000."""
+    if squares.dtype != object:
+        return np.sqrt(squares.astype(np.float64))
+    return np.array([float(math.isqrt(x >> shift)) if x >> shift < 1 << 2000 else np.inf for x in squares.tolist()], np.float64)
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    return np.array([max(LEAST_LONG, min(GREATEST_LONG, x)) for x in scores.tolist()], object)
 
 
 class Tree:
@@ -83,7 +117,8 @@ class Tree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, capacity: int = 256):
         self.ids, self.vectors = ids, vectors
         self.norm2 = (vectors * vectors).sum(axis=1)
-        self.extra = np.sqrt(np.maximum(largest - self.norm2, 0).astype(np.float64))
+        self.shift = 2 * max(0, largest.bit_length() // 2 - 500)
+        self.extra = roots(np.maximum(largest - self.norm2, 0), self.shift)
         self.largest = largest
         self.pages: list[tuple[np.ndarray, np.ndarray | None, np.ndarray, list[int] | None]] = []
         everything = np.arange(len(ids))
@@ -99,7 +134,7 @@ class Tree:
         del self.norm2, self.extra
 
     def pack(self) -> bytes:
-        state = dict(vars(self), vectors=self.vectors.astype(np.int32))
+        state = vars(self) if self.vectors.dtype == object else dict(vars(self), vectors=self.vectors.astype(np.int32))
         return pickle.dumps(state, 5)
 
     @classmethod
@@ -111,6 +146,8 @@ class Tree:
 
     def _distances(self, row: int, others: np.ndarray) -> np.ndarray:
         d2 = self.norm2[row] + self.norm2[others] - 2 * (self.vectors[others] @ self.vectors[row])
+        if d2.dtype == object:
+            return np.hypot(roots(np.maximum(d2, 0), self.shift), self.extra[row] - self.extra[others])
         return np.sqrt(np.maximum(d2 + (self.extra[row] - self.extra[others]) ** 2, 0.0))
 
     def _page(self, rows: np.ndarray, routing: int, to_routing: np.ndarray, capacity: int) -> int:
@@ -146,15 +183,25 @@ class Tree:
     def search(self, query_id: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
         """Up to ``k`` (score, vec_id), best first. Rows that score under
         ``least`` are known to be out."""
+        whole = object in (q.dtype, self.vectors.dtype)  # Python's integers
+        vectors = self.vectors.astype(np.int64).astype(object) if whole and self.vectors.dtype != object else self.vectors
         base = int(q @ q) + self.largest
-        q = q.astype(self.vectors.dtype)
+        q = q.astype(vectors.dtype)
+        # roots of whole numbers and sums of large ones are off by more than those of small ones
+        slack = SLACK * float(roots(np.array([base], object), self.shift)[0]) + 4 if whole else SLACK
 
         def reach(score: int | None) -> float:
-            return np.inf if score is None else float(np.sqrt(max(base - 2 * score, 0))) * (1 + SLACK) + SLACK
+            if score is None or whole and (score == LEAST_LONG or (base - 2 * score) >> self.shift >= 1 << 1900):
+                return np.inf
+            left = max(base - 2 * score, 0) >> self.shift
+            return (float(math.isqrt(left)) if whole else float(np.sqrt(left))) * (1 + SLACK) + slack
+
+        def distance(scores: np.ndarray) -> np.ndarray:
+            return roots(np.maximum(base - 2 * scores, 0), self.shift)
 
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id), the worst on top
         bound = reach(least)
-        d_root = float(np.sqrt(max(base - 2 * int(self.vectors[self.top] @ q), 0)))
+        d_root = float(distance(vectors[self.top : self.top + 1] @ q)[0])
         queue = [(0.0, self.root, d_root)]
         while queue:
             low, page, d_page = heapq.heappop(queue)
@@ -169,7 +216,9 @@ class Tree:
             self.computed += count
             if children is None:
                 at = slice(int(rows[0]), int(rows[0]) + len(rows)) if count == len(rows) else rows[near]
-                scores, ids = self.vectors[at] @ q, self.ids[at]
+                scores, ids = vectors[at] @ q, self.ids[at]
+                if whole:
+                    scores = as_longs(scores)
                 worst = best[0][0] if len(best) == k else least
                 if worst is not None:
                     maybe = scores >= worst
@@ -184,7 +233,7 @@ class Tree:
                 if len(best) == k:
                     bound = min(bound, reach(best[0][0]))
                 continue
-            distances = np.sqrt(np.maximum(base - 2 * (self.vectors[rows[near]] @ q), 0).astype(np.float64))
+            distances = distance(vectors[rows[near]] @ q)
             for place, d, r in zip(np.flatnonzero(near).tolist(), distances.tolist(), radii[near].tolist(), strict=True):
                 if max(d - r, 0.0) <= bound:
                     heapq.heappush(queue, (max(d - r, 0.0), children[place], d))
@@ -200,7 +249,7 @@ def top_k(
     vectors = cut_lineage(whole_vectors(rows))
     n, largest = vectors.agg(F.count("*"), F.coalesce(F.max("norm2"), F.lit(0))).first()
     share = min(1.0, seeds / max(n, 1))
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("vec_id", "v")).limit(2 * seeds).collect()
+    sample = vectors.where(~F.col("big") & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).orderBy(F.xxhash64("vec_id", "v")).limit(2 * seeds).collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r["dim"] for r in sample}:
         own = [r for r in sample if r["dim"] == dim]
@@ -211,10 +260,11 @@ def top_k(
     def nearest() -> Step:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             dims, norms, values = batch.column("dim").to_numpy(), batch.column("norm2").to_numpy(), batch.column("v").to_pylist()
-            pivot = np.zeros(len(dims), np.int32)
+            big = batch.column("big").to_numpy(zero_copy_only=False)
+            pivot = np.where(big, -1, 0).astype(np.int32)
             for dim in np.unique(dims).tolist():
                 if dim in sent.value:
-                    at = np.flatnonzero(dims == dim)
+                    at = np.flatnonzero((dims == dim) & ~big)
                     p = sent.value[dim][1][:pivots].astype(np.float64)
                     x = unpack([values[j] for j in at.tolist()], dim).astype(np.float64)
                     p2 = (p * p).sum(axis=1)
@@ -224,7 +274,7 @@ def top_k(
 
         return step
 
-    near = map_batches(vectors, nearest, "vec_id long, dim int, v binary, norm2 long, pivot int")
+    near = map_batches(vectors, nearest, "vec_id long, dim int, v binary, norm2 long, big boolean, pivot int")
     # rows near one pivot, however many, are dealt to trees of bounded size
     sizes = near.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / tree_rows).alias("trees"))
     dealt = near.join(sizes, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v", F.lit("part")), F.col("trees")))
@@ -234,17 +284,20 @@ def top_k(
         dim = group.column("dim")[0].as_py()
         order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
         values = group.column("v").to_pylist()
-        tree = Tree(group.column("vec_id").to_numpy()[order], unpack([values[j] for j in order.tolist()], dim), largest)
+        big = group.column("big")[0].as_py()
+        own = unpack([values[j] for j in order.tolist()], dim, big)
+        longest = int((own * own).sum(axis=1).max()) if big else largest
+        tree = Tree(group.column("vec_id").to_numpy()[order], own, longest)
         lane = hash((dim, group.column("pivot")[0].as_py(), group.column("part")[0].as_py())) % lanes
         return pa.table({"dim": pa.array([dim], pa.int32()), "lane": pa.array([lane], pa.int32()), "tree": pa.array([tree.pack()], pa.binary())})
 
     trees = dealt.groupBy("dim", "pivot", "part").applyInArrow(grow, "dim int, lane int, tree binary")
 
-    queries = vectors.where(is_query).select("vec_id", "dim", "v").distinct()
+    queries = vectors.where(is_query).select("vec_id", "dim", "v", "big").distinct()
     blocks_of = F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / block_rows))
     blocks = (
         queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of))
-        .groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))  # about block_rows each
+        .groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", "big")).alias("queries"))  # about block_rows each
         .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     )
     pairs = trees.join(blocks, ["dim", "lane"]).select("dim", "tree", "queries")
@@ -257,7 +310,7 @@ def top_k(
                 if len(bounds) > 100_000:
                     bounds.clear()
                 ids, seed = sent.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
-                scores = np.sort((seed @ q)[ids != i])
+                scores = np.sort((as_longs(seed.astype(object) @ q) if q.dtype == object else seed @ q)[ids != i])
                 bounds[i, raw] = int(scores[-k]) if len(scores) >= k else None
             return bounds[i, raw]
 
@@ -267,7 +320,7 @@ def top_k(
                 tree = Tree.unpack(packed.as_py())
                 for query in queries.as_py():
                     i, raw = query["vec_id"], query["v"]
-                    q = np.frombuffer(raw, np.int32).astype(np.int64)
+                    q = unpack([raw], dim.as_py(), query["big"])[0]
                     key = zlib.crc32(raw)
                     out += [(i, key, found, score) for score, found in tree.search(i, q, k, least(dim.as_py(), i, raw, q))]
             table = np.array(out, np.int64).reshape(-1, 4).T
