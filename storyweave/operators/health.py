@@ -51,34 +51,38 @@ def struggling_sources(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("enabled") & (F.col("consecutive_failures") >= 1))
 
 
-def provider_daily_status(log: DataFrame, disable_after: int = 3) -> DataFrame:
-    """Per provider and UTC day: counters, trailing run of 429s, and whether
-    the day's quota rule tripped. A 402 leaves the run as it is and trips at
-    once; any other answer ends it.
-
-    A provider may hold most of the log, so runs are first summarised per
-    minute; joining at most 1,440 minute rows gives the day.
-    """
-    log = log.withColumn("day", F.to_date("ts"))
-    counters = log.groupBy("provider", "day").agg(
+def provider_minutes(log: DataFrame) -> DataFrame:
+    """Per provider and minute, of attempts (attempt_id, provider, ts, status):
+    counters, whether a 402 was met, and the runs of 429s in a form in which
+    two stretches of time can be put together: breaks, the longest run, and the
+    runs at the head and at the tail."""
+    chunk = ["provider", "minute"]
+    log = log.withColumn("minute", F.date_trunc("minute", "ts"))
+    at = F.struct("ts", "attempt_id")
+    counters = log.groupBy(*chunk).agg(
         F.count("*").alias("requests"),
         F.count_if(F.col("status") < 400).alias("successes"),
         F.count_if(F.col("status") >= 400).alias("failures"),
-        F.bool_or(F.col("status") == 402).alias("_payment"),
+        F.coalesce(F.bool_or(F.col("status") == 402), F.lit(False)).alias("payment"),
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"),
     )
     limited = F.col("status") == 429
-    chunk = ["provider", "day", "minute"]
-    calls = log.where(F.col("status") != 402).withColumn("minute", F.date_trunc("minute", "ts"))
     order = Window.partitionBy(*chunk).orderBy("ts", "attempt_id")
     runs = (
-        calls.withColumn("_run", F.count_if(~limited).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        log.where(F.col("status") != 402)
+        .withColumn("_run", F.count_if(~limited).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*chunk, "_run").agg(F.count_if(limited).alias("len"))
     )
     minutes = runs.groupBy(*chunk).agg(
         F.max("_run").alias("breaks"), F.max("len").alias("longest"),
-        F.coalesce(F.max(F.when(F.col("_run") == 0, F.col("len"))), F.lit(0)).alias("head"),
-        F.max_by("len", "_run").alias("tail"),
+        F.max(F.when(F.col("_run") == 0, F.col("len"))).alias("head"), F.max_by("len", "_run").alias("tail"),
     )
+    none = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("breaks", "longest", "head", "tail")]
+    return counters.join(minutes, chunk, "left").select(*counters.columns, *none)
+
+
+def provider_days(minutes: DataFrame, disable_after: int = 3) -> DataFrame:
+    """Days of at most 1,440 ``provider_minutes`` each."""
     start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"))
 
     def extend(state: Column, minute: Column) -> Column:
@@ -87,16 +91,25 @@ def provider_daily_status(log: DataFrame, disable_after: int = 3) -> DataFrame:
             F.greatest(state["longest"], minute["longest"], state["run"] + minute["head"]).alias("longest"),
         )
 
-    days = minutes.groupBy("provider", "day").agg(
-        F.array_sort(F.collect_list(F.struct("minute", "breaks", "longest", "head", "tail"))).alias("m")
-    ).select("provider", "day", F.aggregate("m", start, extend).alias("s"))
-    return counters.join(days, ["provider", "day"], "left").select(
-        "provider", "day", "requests", "successes", "failures",
-        F.coalesce("s.run", F.lit(0)).alias("consecutive_429"),
-        (F.col("_payment") | (F.coalesce("s.longest", F.lit(0)) >= disable_after)).alias("disabled"),
+    return minutes.groupBy("provider", F.to_date("minute").alias("day")).agg(
+        *[F.sum(c).alias(c) for c in ("requests", "successes", "failures")], F.bool_or("payment").alias("_payment"),
+        F.array_sort(F.collect_list(F.struct("minute", "breaks", "longest", "head", "tail"))).alias("_minutes"),
+    ).withColumn("_s", F.aggregate("_minutes", start, extend)).select(
+        "provider", "day", "requests", "successes", "failures", F.col("_s.run").alias("consecutive_429"),
+        (F.col("_payment") | (F.col("_s.longest") >= disable_after)).alias("disabled"),
     )
 
 
+def provider_daily_status(log: DataFrame, disable_after: int = 3) -> DataFrame:
+    """Per provider and UTC day: counters, trailing run of 429s, and whether
+    the day's quota rule tripped. A 402 leaves the run as it is and trips at
+    once; any other answer ends it.
+
+    A provider may hold most of the log, so runs are first summarised per minute.
+    """
+    return provider_days(provider_minutes(log), disable_after)
+
+
 def stage_counts(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage").agg(F.count("*").alias("items"))
 

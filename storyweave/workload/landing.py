@@ -253,12 +253,12 @@ def contract_check(spark, sf):
 
 # -- streams ------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, sf: str, name: str, key: str, batches: int = 3) -> DataFrame:
+def _stream(spark: SparkSession, sf: str, name: str, key: str, batches: int = 3, shuffled: bool = False) -> DataFrame:
     """A table as a stream of several micro-batches: landed in turn by ranges of
-    its key, in threes so that copies of a link arrive together."""
+    its key, in threes so that copies of a link arrive together, or in no order."""
     rows, folder = fx.table(spark, sf, name), _scratch(spark, f"landed-{name}")
     last = rows.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    part = F.floor(F.floor(F.col(key) / 3) * batches / (last // 3 + 1))
+    part = F.pmod(F.xxhash64(key), F.lit(batches)) if shuffled else F.floor(F.floor(F.col(key) / 3) * batches / (last // 3 + 1))
     for k in range(batches):
         rows.where(part == k).write.mode("append").parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
@@ -290,9 +290,9 @@ def stage_stream(spark, sf):
     SELECT reader_id, round(list_sum(p) / sqrt(list_dot_product(p, p)), 5) AS positive_total, round(list_sum(n) / sqrt(list_dot_product(n, n)), 5) AS negative_total FROM cents"""))
 def reader_state_stream(spark, sf):
     out = _scratch(spark, "readers")
-    signals = fx.signals_of(_stream(spark, sf, "events", "event_id"), fx.story_count(spark, sf))
+    signals = fx.signals_of(_stream(spark, sf, "events", "event_id", shuffled=True), fx.story_count(spark, sf))
     state.state_stream(
-        signals, state.merge_reader_state(bundle.story_vectors(spark, sf)), state.READER_STATE, out, out + "-log"
+        signals, state.merge_reader_state(bundle.story_vectors(spark, sf)), state.READER_STATE, state.by_key("reader_id"), out, out + "-log"
     ).awaitTermination()
 
     def total(c):
@@ -308,16 +308,16 @@ def reader_state_stream(spark, sf):
 def source_health_stream(spark, sf):
     out = _scratch(spark, "sources")
     state.state_stream(
-        fx.runs_of(_stream(spark, sf, "events", "event_id")), state.merge_source_state, state.SOURCE_STATE, out, out + "-log").awaitTermination()
+        fx.runs_of(_stream(spark, sf, "events", "event_id", shuffled=True)), state.merge_source_state, state.SOURCE_STATE,
+        state.by_key("source_id"), out, out + "-log").awaitTermination()
     return state.latest_state(spark, out, state.SOURCE_STATE).select(
         "source_id", "consecutive_failures", F.unix_micros("last_run_at").alias("last_run_at"))
 
 
-@query("provider_state_stream", with_tables("attempts", body="""
-    SELECT provider, CAST(ts::DATE AS VARCHAR) AS day, count(*) AS requests, count(*) FILTER (status < 400) AS successes, count(*) FILTER (status >= 400) AS failures
-    FROM attempts GROUP BY provider, ts::DATE"""))
+@query("provider_state_stream", relations.PROVIDER_DAYS)
 def provider_state_stream(spark, sf):
     out = _scratch(spark, "providers")
     state.state_stream(
-        fx.attempts_of(_stream(spark, sf, "events", "event_id")), state.merge_provider_state, state.PROVIDER_STATE, out, out + "-log").awaitTermination()
-    return state.latest_state(spark, out, state.PROVIDER_STATE).withColumn("day", F.col("day").cast("string"))
+        fx.attempts_of(_stream(spark, sf, "events", "event_id", shuffled=True)), state.merge_provider_state, state.PROVIDER_STATE,
+        state.by_day("ts"), out, out + "-log").awaitTermination()
+    return state.provider_status(state.latest_state(spark, out, state.PROVIDER_STATE)).withColumn("day", F.col("day").cast("string"))

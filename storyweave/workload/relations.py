@@ -368,7 +368,7 @@ def struggling_sources(spark, sf):
     return health.struggling_sources(fx.sources(spark, sf)).select("source_id", "consecutive_failures")
 
 
-@query("provider_daily_status", with_tables("attempts", extra={
+PROVIDER_DAYS = with_tables("attempts", extra={
     "runs": """SELECT *, sum(CASE WHEN status = 429 THEN 0 ELSE 1 END) OVER (PARTITION BY provider, ts::DATE ORDER BY ts, attempt_id) AS run
         FROM attempts WHERE status <> 402""",
     "lens": "SELECT provider, ts::DATE AS day, run, count(*) FILTER (status = 429) AS len FROM runs GROUP BY ALL",
@@ -376,7 +376,10 @@ def struggling_sources(spark, sf):
     SELECT a.provider, CAST(a.ts::DATE AS VARCHAR) AS day, count(*) AS requests, count(*) FILTER (status < 400) AS successes,
            count(*) FILTER (status >= 400) AS failures, coalesce(any_value(s.tail), 0) AS consecutive_429,
            bool_or(status = 402) OR coalesce(any_value(s.longest), 0) >= 3 AS disabled
-    FROM attempts a LEFT JOIN streaks s ON s.provider = a.provider AND s.day = a.ts::DATE GROUP BY a.provider, a.ts::DATE"""))
+    FROM attempts a LEFT JOIN streaks s ON s.provider = a.provider AND s.day = a.ts::DATE GROUP BY a.provider, a.ts::DATE""")
+
+
+@query("provider_daily_status", PROVIDER_DAYS)
 def provider_daily_status(spark, sf):
     return health.provider_daily_status(fx.attempts(spark, sf)).withColumn("day", F.col("day").cast("string"))
 

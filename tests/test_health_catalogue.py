@@ -1,7 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from storyweave.operators import catalogue, health
+from storyweave.session import cut_lineage
 from storyweave.streaming import state
 
 
@@ -59,14 +62,52 @@ def test_failure_streaks(spark):
     assert {r.source_id: (r.consecutive_failures, r.last_run_at, r.last_error) for r in got} == sequential_health(log)
 
 
-def test_failure_streaks_in_batches(spark):
+def in_batches(spark, rows, schema, merge, kept, part, size):
+    current = spark.createDataFrame([], kept)
+    for start in range(0, len(rows), size):
+        seen = spark.createDataFrame(rows[:start + size], schema).withColumn("log_part", part)
+        own = spark.createDataFrame(rows[start:start + size], schema).withColumn("log_part", part)
+        current = cut_lineage(merge(current, own, seen.join(own, seen.columns[0], "left_anti")))
+    return current
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_failure_streaks_in_batches(spark, shuffled):
     log = make_log(2)
-    current = spark.createDataFrame([], state.SOURCE_STATE)
-    for start in range(0, len(log), 60):
-        current = state.merge_source_state(current, spark.createDataFrame(log[start:start + 60], LOG))
+    landed = random.Random(1).sample(log, len(log)) if shuffled else log
+    current = in_batches(spark, landed, LOG, state.merge_source_state, state.SOURCE_STATE, state.by_key("source_id"), 60)
     assert {r.source_id: (r.consecutive_failures, r.last_run_at, r.last_error) for r in current.collect()} == sequential_health(log)
 
 
+def sequential_providers(attempts):
+    out = {}
+    for _, provider, ts, status in sorted(attempts, key=lambda a: (a[2], a[0])):
+        day = out.setdefault((provider, ts.date()), [0, 0, 0, 0, False])
+        day[0] += 1
+        day[1 if status < 400 else 2] += 1
+        if status != 402:
+            day[3] = day[3] + 1 if status == 429 else 0
+        day[4] = day[4] or status == 402 or day[3] >= 3
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_provider_state_in_batches(spark, shuffled):
+    rng = random.Random(9)
+    attempts = [(i, rng.choice("pq"), datetime(2024, 1, 1, 23, 50) + timedelta(seconds=7 * (i // 2)),
+                 rng.choices([429, 200, 503, 402], [8, 3, 1, 0.2])[0]) for i in range(240)]
+    schema = "attempt_id long, provider string, ts timestamp, status int"
+
+    def days(rows):
+        return {(r.provider, r.day): (r.requests, r.successes, r.failures, r.consecutive_429, r.disabled) for r in rows.collect()}
+
+    want = sequential_providers(attempts)
+    assert days(health.provider_daily_status(spark.createDataFrame(attempts, schema))) == want
+    landed = rng.sample(attempts, len(attempts)) if shuffled else attempts
+    current = in_batches(spark, landed, schema, state.merge_provider_state, state.PROVIDER_STATE, state.by_day("ts"), 70)
+    assert days(state.provider_status(current)) == want
+
+
 def test_coverage_warning(spark):
     entries = spark.createDataFrame(
         [("all", datetime(2024, 1, 5)), ("all", None), ("mixed", datetime(2024, 1, 5)), ("mixed", datetime(2024, 1, 1)), ("undated", None)],

@@ -58,29 +58,40 @@ def test_centroids_reset_on_model_change(spark, story_vectors, seed):
     same(got, sequential_centroids(signals, vectors))
 
 
-def test_state_in_batches_equals_one_pass(spark, story_vectors):
-    vectors, frame = story_vectors
-    signals = make_signals(7)
-    merge = state.merge_reader_state(frame)
-    current = spark.createDataFrame([], state.READER_STATE)
-    for start in range(0, len(signals), 100):
-        current = merge(current, spark.createDataFrame(signals[start:start + 100], SIGNALS))
-    same(state.reader_state_centroids(current).collect(), sequential_centroids(signals, vectors))
-
-
-def test_stream_with_several_files(spark, story_vectors, tmp_path):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stream_of_batches_equals_one_pass(spark, story_vectors, tmp_path, shuffled):
     vectors, frame = story_vectors
     signals = make_signals(8)
+    landed = random.Random(4).sample(signals, len(signals)) if shuffled else signals
     folder = str(tmp_path / "in")
-    for n, start in enumerate(range(0, 300, 150)):
-        spark.createDataFrame(signals[start:start + 150], SIGNALS).coalesce(1).write.mode("append").parquet(folder)
+    for start in range(0, len(landed), 120):
+        spark.createDataFrame(landed[start:start + 120], SIGNALS).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", 1).parquet(folder)
     out = str(tmp_path / "state")
-    state.state_stream(stream, state.merge_reader_state(frame), state.READER_STATE, out, out + "-log").awaitTermination()
+    merge = state.merge_reader_state(frame)
+    state.state_stream(stream, merge, state.READER_STATE, state.by_key("reader_id"), out, out + "-log").awaitTermination()
     got = state.reader_state_centroids(state.latest_state(spark, out, state.READER_STATE)).collect()
     same(got, sequential_centroids(signals, vectors))
 
 
+def test_late_signal_of_an_earlier_model(spark, story_vectors):
+    vectors, frame = story_vectors
+    merge = state.merge_reader_state(frame)
+
+    def signals(*rows):
+        return spark.createDataFrame([(1, seq, story, "save", model) for seq, story, model in rows], SIGNALS).withColumn(
+            "log_part", state.by_key("reader_id"))
+
+    first = signals((20, 3, "m2"), (10, 4, "m2"))
+    held = merge(spark.createDataFrame([], state.READER_STATE), first, first.limit(0))
+    # before all that counts, or between: then the state is split and read again
+    for seq, want in ((5, [3, 4]), (15, [3])):
+        got = merge(held, signals((seq, 5, "m1")), first).first()
+        assert (got.model_id, got.reset_at, got.first_seq, got.last_seq) == ("m2", seq, 10 if seq == 5 else 20, 20)
+        weight = reader.SIGNAL_WEIGHTS["save"]
+        np.testing.assert_allclose(got.positive_sum, sum(weight * vectors[i] for i in want), atol=1e-9)
+
+
 def reranked(spark, rows):
     frame = spark.createDataFrame(rows, "reader_id long, story_id long, score double, fit double, feed_pos long")
     places = {}
