@@ -190,11 +190,30 @@ def sources_report(sources: DataFrame) -> DataFrame:
     )
 
 
+def digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, ``hash``: the same for the same rows in any order, NULL for none."""
+    row = F.xxhash64(*columns)
+    parts = df.agg(
+        F.count("*").alias("n"), F.bit_xor(row).alias("x"),
+        F.sum(F.xxhash64(F.lit("digest"), *columns).cast("decimal(20,0)")).alias("s"),
+    )
+    return parts.select(F.when(F.col("n") > 0, F.sha2(F.concat_ws("|", "n", "x", "s"), 256)).alias("hash"))
+
+
+def pages_digest(files: DataFrame) -> DataFrame:
+    return digest(files, ["page", "path", "hash", "count"])
+
+
+def embeddings_digest(embeddings: DataFrame) -> DataFrame:
+    return digest(embeddings, ["position", "id", "vector"])
+
+
 def manifest(
     stories: DataFrame, members: DataFrame, pages: DataFrame, embeddings: DataFrame, as_of: datetime, retention_days: int
 ) -> DataFrame:
     """The one-row head of the bundle. The page map and the embedding order
-    are tables beside it, so that this row stays small at any size."""
+    are tables beside it, so that this row stays small at any size; it carries
+    a hash of each, the one of the page map over the hashes of all pages."""
     totals = pages.agg(
         F.count("*").alias("page_count"), F.coalesce(F.sum("count"), F.lit(0)).alias("story_count")
     )
@@ -205,7 +224,8 @@ def manifest(
         F.date_format(F.lit(as_of).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss+00:00").alias("generated_at"),
         model.alias("embedding_model_id"), shape.select("dims").scalar().alias("embedding_dimensions"),
         "story_count", "page_count", shape.select("n").scalar().alias("embedding_count"),
-        F.lit("pages").alias("pages_path"), F.lit("embeddings").alias("embeddings_path"),
+        F.lit("pages").alias("pages_path"), pages_digest(pages).scalar().alias("pages_hash"),
+        F.lit("embeddings").alias("embeddings_path"), embeddings_digest(embeddings).scalar().alias("embeddings_hash"),
         F.lit("sources").alias("sources_path"), F.lit(retention_days).alias("retention_days"),
     )
 
@@ -250,6 +270,8 @@ def _missing(contract: T.StructType, at: str = "") -> Column:
                     F.exists(value, lambda e: F.array_contains(F.array(*[e[n].isNull() for n in required]), True)),
                     F.lit(False),
                 )
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.FloatType):
+            out = out | F.coalesce(F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     return out
 
 
@@ -293,10 +315,11 @@ def build_bundle(
     check_contract(cards.drop("feed_pos"), schemas.FEED_ROW, "feed row")
     report = sources_report(sources)
     check_contract(report, schemas.SOURCE_HEALTH, "source health")
-    pages = feed_pages(cards, page_size)
+    pages = materialise(feed_pages(cards, page_size))
+    check_contract(pages, schemas.FEED_PAGE, "feed page")
     files = page_files(pages)
-    embeddings = bundle_embeddings(cards, chosen)
-    return Bundle(
-        details, cards, pages, files, embeddings, report,
-        manifest(chosen, members, files, embeddings, as_of, retention_days),
-    )
+    embeddings = materialise(bundle_embeddings(cards, chosen))
+    check_contract(embeddings, schemas.EMBEDDING, "embedding")
+    head = materialise(manifest(chosen, members, files, embeddings, as_of, retention_days))
+    check_contract(head, schemas.MANIFEST, "manifest")
+    return Bundle(details, cards, pages, files, embeddings, report, head)

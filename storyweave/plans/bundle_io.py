@@ -68,8 +68,8 @@ def prune_runs(spark: SparkSession, out: str, keep: int = 1) -> list[str]:
 
 
 def read_bundle(spark: SparkSession, out: str, run_id: str | None = None) -> dict[str, DataFrame]:
-    """manifest, feed (flattened cards in feed order), story payloads,
-    embeddings and sources of a run, the newest by default."""
+    """manifest, feed (flattened cards in feed order), story payloads and the
+    details in them, pages, embeddings and sources of a run, the newest by default."""
     run = run_id or complete_runs(spark, out)[-1]
     base = f"{out}/run={run}"
     pages = spark.read.parquet(f"{base}/pages")
@@ -82,7 +82,27 @@ def read_bundle(spark: SparkSession, out: str, run_id: str | None = None) -> dic
     return {
         "manifest": spark.read.parquet(f"{base}/manifest"),
         "feed": cards,
-        "stories": spark.read.parquet(f"{base}/story"),
+        "pages": pages,
+        "stories": (stories := spark.read.parquet(f"{base}/story")),
+        "details": stories.select("part", "part_count", F.from_json("payload", schemas.STORY_DETAIL).alias("d")).select("part", "part_count", "d.*"),
         "embeddings": spark.read.parquet(f"{base}/embeddings"),
         "sources": spark.read.parquet(f"{base}/sources"),
     }
+
+
+def feed_vectors(bundle: dict[str, DataFrame]) -> DataFrame:
+    """The feed's cards with the position and vector of those that have one."""
+    return bundle["feed"].join(bundle["embeddings"], "id", "left")
+
+
+def damaged_parts(bundle: dict[str, DataFrame]) -> DataFrame:
+    """part, expected, found: what the manifest's hashes and counts don't fit."""
+    head = bundle["manifest"]
+
+    def compare(part: str, expected: str, found: DataFrame) -> DataFrame:
+        return head.select(F.lit(part).alias("part"), F.col(expected).cast("string").alias("expected"), found.scalar().cast("string").alias("found"))
+
+    out = compare("pages", "pages_hash", publish.pages_digest(bundle["pages"]))
+    out = out.unionByName(compare("embeddings", "embeddings_hash", publish.embeddings_digest(bundle["embeddings"])))
+    out = out.unionByName(compare("feed", "story_count", bundle["feed"].agg(F.count("*"))))
+    return out.where(~F.col("expected").eqNullSafe(F.col("found")))

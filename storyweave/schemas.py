@@ -39,6 +39,14 @@ SOURCE_HEALTH = _struct(
     {"last_run_at": S, "last_error": S, "coverage_warning": S, "territory": S},
 )
 
+EMBEDDING = _struct({"position": L, "id": L, "vector": T.ArrayType(T.FloatType())}, {})
+
+MANIFEST = _struct(
+    {"version": T.IntegerType(), "generated_at": S, "story_count": L, "page_count": L, "embedding_count": L, "pages_path": S,
+     "pages_hash": S, "embeddings_path": S, "sources_path": S, "retention_days": T.IntegerType()},
+    {"embedding_model_id": S, "embedding_dimensions": T.IntegerType(), "embeddings_hash": S},
+)
+
 RAW_ITEM = _struct(
     {"url": S, "title": S},
     {"summary": S, "published_at": T.TimestampType(), "outbound_links": T.ArrayType(S), "image_url": S},

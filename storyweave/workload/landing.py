@@ -226,17 +226,54 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("bundle_read", bundle.sql("""
-    SELECT story_id AS id, (feed_pos - 1) // 5 AS page, (feed_pos - 1) % 5 AS place, score, outlet_count FROM published"""))
-def bundle_read(spark, sf):
+def _read_back(spark, sf, **settings) -> dict[str, DataFrame]:
     m = cut_lineage(bundle.members(spark, sf).drop("text"))
     out = _scratch(spark, "bundle")
     bundle_io.publish_bundle(bundle.stories(spark, sf), m, fx.sources(spark, sf), out, "20240131", fx.AS_OF,
-                             retention_days=bundle.RETENTION, page_size=5)
-    feed = bundle_io.read_bundle(spark, out)["feed"]
+                             retention_days=bundle.RETENTION, page_size=5, **settings)
+    return bundle_io.read_bundle(spark, out)
+
+
+@query("bundle_read", bundle.sql("""
+    SELECT story_id AS id, (feed_pos - 1) // 5 AS page, (feed_pos - 1) % 5 AS place, score, outlet_count FROM published"""))
+def bundle_read(spark, sf):
+    feed = _read_back(spark, sf)["feed"]
     return feed.select("id", "page", F.col("place").cast("long").alias("place"), "score", "outlet_count")
 
 
+@query("bundle_read_vectors", bundle.sql("""
+    SELECT story_id AS id, (feed_pos - 1) // 5 AS page, (feed_pos - 1) % 5 AS place, row_number() OVER (ORDER BY feed_pos) - 1 AS position,
+           round(list_sum(centroid), 5) AS total FROM published"""))
+def bundle_read_vectors(spark, sf):
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
+    return bundle_io.feed_vectors(_read_back(spark, sf)).select(
+        "id", "page", F.col("place").cast("long").alias("place"), "position", total.alias("total"))
+
+
+@query("bundle_read_details", bundle.sql("""
+    SELECT p.story_id AS id, e.part, p.title, p.score, p.item_count, e.ids AS evidence_ids
+    FROM published p JOIN (
+        SELECT story_id, part, string_agg(item_id::VARCHAR || '|' || url, ',' ORDER BY item_id) AS ids
+        FROM (SELECT *, (row_number() OVER (PARTITION BY story_id ORDER BY item_id) - 1) // 3 AS part FROM members) GROUP BY ALL) e ON e.story_id = p.story_id"""))
+def bundle_read_details(spark, sf):
+    found = _read_back(spark, sf, part_rows=3)["details"]
+    ids = F.transform("evidence", lambda e: F.concat(e["id"].cast("string"), F.lit("|"), e["url"]))
+    return found.select("id", "part", "title", "score", "item_count", F.array_join(ids, ",").alias("evidence_ids"))
+
+
+@query("bundle_damage", bundle.sql("""
+    SELECT 'embeddings' AS part, count(*) AS stories FROM published UNION ALL SELECT 'feed', count(*) FROM published
+    UNION ALL SELECT 'pages', count(*) FROM published"""))
+def bundle_damage(spark, sf):
+    """A bundle as written has no damage; without its last page and a vector it has."""
+    whole = _read_back(spark, sf)
+    last = F.col("page") < whole["manifest"].select(F.col("page_count") - 1).scalar()
+    short = {**whole, "pages": whole["pages"].where(last), "feed": whole["feed"].where(last),
+             "embeddings": whole["embeddings"].where("position > 0")}
+    found = bundle_io.damaged_parts(whole).unionByName(bundle_io.damaged_parts(short))
+    return found.select("part", whole["manifest"].select("story_count").scalar().alias("stories"))
+
+
 @query("contract_check", bundle.sql("""
     SELECT 'good' AS payload, '' AS fault, count(*) AS stories FROM published
     UNION ALL SELECT 'with body', 'story detail: unknown field text', count(*) FROM published"""))

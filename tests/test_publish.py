@@ -54,6 +54,14 @@ def test_bundle_round_trip(spark, tmp_path):
     assert [r.id for r in got["sources"].orderBy("id").collect()] == ["a", "b"]
     assert len(got["sources"].where("id = 'a'").first().last_error) == 303
 
+    assert [(r.id, r.part, [e.id for e in r.evidence]) for r in got["details"].where("id = 1").orderBy("part").collect()] == [(1, 0, [10, 1000]), (1, 1, [1001, 1002])]
+    joined = {r.id: (r.position, r.vector) for r in bundle_io.feed_vectors(got).collect()}
+    assert {i: p for i, (p, _) in joined.items()} == {1: 0, 2: None, 3: 1, 6: 2, 7: 3}
+    assert {r.id: r.vector for r in vectors} == {i: v for i, (p, v) in joined.items() if p is not None}
+    assert bundle_io.damaged_parts(got).count() == 0
+    moved = {**got, "embeddings": got["embeddings"].withColumn("position", 3 - F.col("position"))}
+    assert [r.part for r in bundle_io.damaged_parts(moved).collect()] == ["embeddings"]
+
     again = bundle_io.publish_bundle(stories, members, sources, out, "r2", NOW, page_size=2, part_rows=2)
     assert {r.hash for r in again.details.collect()} == {r.hash for r in got["stories"].collect()}
     assert publish.stale_paths(got["stories"], again.details).count() == 0
@@ -77,6 +85,9 @@ def test_contract_refuses_before_writing(spark, tmp_path):
         bundle_io.publish_bundle(stories.withColumn("title", F.when(F.col("story_id") != 3, F.col("title"))), members, sources, out, "r", NOW)
     with pytest.raises(publish.ContractError):
         bundle_io.publish_bundle(stories, members.withColumn("url", F.when(F.col("story_id") != 3, F.col("url"))), sources, out, "r", NOW)
+    with pytest.raises(publish.ContractError, match="embedding: 1 rows"):
+        bad = F.when(F.col("story_id") == 3, F.array(F.lit(float("nan")), F.lit(1.0))).otherwise(F.col("centroid"))
+        bundle_io.publish_bundle(stories.withColumn("centroid", bad), members, sources, out, "r", NOW)
     assert bundle_io.complete_runs(spark, out) == []
     chosen = publish.publishable(stories, members, NOW)
     documents = publish.story_details(chosen, members, sources).drop("part", "part_count")
