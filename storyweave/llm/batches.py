@@ -53,6 +53,14 @@ def first_of(rows: Iterable, default):
     return next(iter(rows), default)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with low lines before it until no column is called so in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def few(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """Small tables are sent to every task, larger ones joined by their keys; the rows are the same."""
     return F.broadcast(rows) if rows.count() <= most else rows

@@ -7,13 +7,16 @@ documents. Hosts and paths then get posteriors of their share of good
 documents: a path is shrunk toward its host and a host toward the corpus, the
 more so the fewer documents it has and the less hosts (or paths of a host)
 differ beyond what chance gives. The strengths are estimated from sums over all
-documents, so only grouped sums are ever exchanged.
+documents, so only grouped sums are ever exchanged. What a site says of a
+document rests on the site's other documents: its own evidence is taken out of
+the sums before they are shrunk, as the classifier has counted it already.
 
 Defined cases: a null or empty text has the features of no text; a null host or
 path is a group of its own; documents without a label are scored alike; without
 labels of both kinds every document gets the prior of one half and is kept;
-repeated rows count as often as they occur. Extra columns are ignored by
-``score`` and carried by ``keep``.
+repeated rows count as often as they occur, each among the others of its copy;
+a site's only document has the odds of its host, or of the corpus. Extra columns
+are ignored by ``score`` and carried by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from storyweave.llm.batches import Step, map_batches, sampled, utf8
+from storyweave.llm.batches import Step, free_name, map_batches, sampled, utf8
 from storyweave.session import cut_lineage
 
 #: Kinds of bytes: 0 other ASCII, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 outside ASCII.
@@ -162,12 +165,12 @@ def evidence(texts: pa.Array, classifier: Classifier | None) -> np.ndarray:
     return classifier.probability(np.array([features(t) for t in utf8(texts)]))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, Strengths]:
-    """host, path and site_odds: the log odds that a path's posterior adds to
-    those of the corpus. The variances are those of one-way layouts with
-    unequal groups: hosts in the corpus, and paths within their hosts."""
-    paths = scored.groupBy("host", "path").agg(
-        F.count("*").cast("double").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"))
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Strengths]:
+    """host and path with number and sum of the evidence of the path (n, s) and
+    of its host (hn, hs), and the strengths. The variances are those of one-way
+    layouts with unequal groups: hosts in the corpus, and paths within their hosts."""
+    paths = cut_lineage(scored.groupBy("host", "path").agg(
+        F.count("*").cast("double").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q")))
     hosts = paths.groupBy("host").agg(
         F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"),
         F.sum("q").alias("hq"), F.count("*").cast("double").alias("k"))
@@ -187,39 +190,39 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, Strengths]:
 
     host_between = between(h, 1.0, hss, hnn / n if n else 0.0, s * s / n if n else 0.0)
     path_between = between(k, h, pss, pnn, hss)
-    strengths = Strengths(mean, _strength(host_between, mean), _strength(path_between, mean))
-    host_mean = (F.lit(strengths.host * mean) + F.col("hs")) / (F.lit(strengths.host) + F.col("hn"))
-    path_mean = (F.lit(strengths.path) * F.col("host_mean") + F.col("s")) / (F.lit(strengths.path) + F.col("n"))
-    odds = F.log(F.col("p") / (1 - F.col("p"))) - F.lit(float(np.log(mean / (1 - mean))))
-    of_host = hosts.select("host", host_mean.alias("host_mean"))
-    out = (
-        paths.join(of_host, paths["host"].eqNullSafe(of_host["host"])).drop(of_host["host"])
-        .withColumn("p", F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), path_mean))).select("host", "path", odds.alias("site_odds"))
-    )
-    return out, strengths
-
-
-def _with_sites(rows: DataFrame, sites: DataFrame, host: Column, path: Column, most: int = 100_000) -> DataFrame:
-    """Rows joined with their site's odds, as _odds. Sites are counted first: up
-    to ``most`` of them are broadcast, more meet the rows by a shuffle, whose
-    hot sites adaptive execution splits."""
-    sites = cut_lineage(sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("site_odds").alias("_odds")))
+    of_host = hosts.select(F.col("host").alias("_host"), "hn", "hs")
+    sums = paths.join(of_host, F.col("host").eqNullSafe(F.col("_host"))).select("host", "path", "n", "s", "hn", "hs")
+    return sums, Strengths(mean, _strength(host_between, mean), _strength(path_between, mean))
+
+
+def others_odds(evidence_: Column, sums: Column, strengths: Strengths) -> Column:
+    """The log odds that the other documents of a document's site add to those
+    of the corpus: its path's posterior, shrunk toward its host's, which is
+    shrunk toward the corpus mean, all without the document's own evidence."""
+    host = (F.lit(strengths.host * strengths.mean) + sums["hs"] - evidence_) / (F.lit(strengths.host - 1) + sums["hn"])
+    path = (F.lit(strengths.path) * host + sums["s"] - evidence_) / (F.lit(strengths.path - 1) + sums["n"])
+    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), path))
+    return F.log(p / (1 - p)) - F.lit(float(np.log(strengths.mean / (1 - strengths.mean))))
+
+
+def with_posterior(rows: DataFrame, sites: DataFrame, strengths: Strengths, evidence_: str, host: Column, path: Column, most: int = 100_000) -> DataFrame:
+    """Rows as one struct ``row``, and ``posterior``: evidence and site odds put
+    together. Sites are counted first: up to ``most`` of them are broadcast,
+    more meet the rows by a shuffle, whose hot sites adaptive execution splits."""
+    sites = cut_lineage(sites.select(F.struct(*sites.columns).alias("site")))
     small = F.broadcast(sites) if sites.count() <= most else sites
-    return rows.join(small, host.eqNullSafe(F.col("_h")) & path.eqNullSafe(F.col("_p")))
-
-
-def _posterior(evidence_: Column, odds: Column) -> Column:
-    return 1 / (1 + F.exp(-(F.log(evidence_ / (1 - evidence_)) + odds)))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), host.alias("at_host"), path.alias("at_path"))
+    joined = packed.join(small, F.col("at_host").eqNullSafe(F.col("site.host")) & F.col("at_path").eqNullSafe(F.col("site.path")))
+    own = F.col("row")[evidence_]
+    odds = F.log(own / (1 - own)) + others_odds(own, F.col("site"), strengths)
+    return joined.select("row", (1 / (1 + F.exp(-odds))).alias("posterior"))
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = 20_000, least: float = 0.5) -> DataFrame:
     """doc_id, host, path, evidence, score and accepted."""
     scored = with_evidence(docs, fit(docs, labels, max_rows), host, path)
-    sites, _ = site_posteriors(scored)
-    joined = _with_sites(scored, sites, F.col("host"), F.col("path"))
-    return joined.select(
-        "doc_id", "host", "path", "evidence", _posterior(F.col("evidence"), F.col("_odds")).alias("score")
-    ).withColumn("accepted", F.col("score") >= least)
+    joined = with_posterior(scored, *site_sums(scored), "evidence", F.col("host"), F.col("path"))
+    return joined.select("row.*", F.col("posterior").alias("score")).withColumn("accepted", F.col("score") >= least)
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = 20_000, least: float = 0.5) -> DataFrame:
@@ -227,15 +230,16 @@ def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_row
     passes read the texts: one for the sites' sums, one to judge each document,
     so that no text is ever shuffled for a decision."""
     classifier = fit(docs, labels, max_rows)
-    sites, _ = site_posteriors(with_evidence(docs, classifier, host, path))
-    schema = StructType([*docs.schema.fields, StructField("_evidence", DoubleType())])
+    sums = site_sums(with_evidence(docs, classifier, host, path))
+    added = free_name("evidence", docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(added, DoubleType())])
 
     def make() -> Step:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([*batch.columns, pa.array(evidence(batch.column("text"), classifier))], names=[*batch.schema.names, "_evidence"])
+            return pa.record_batch([*batch.columns, pa.array(evidence(batch.column("text"), classifier))], names=[*batch.schema.names, added])
 
         return step
 
     judged = map_batches(docs, make, schema)
-    joined = _with_sites(judged, sites, host.cast("string"), path.cast("string"))
-    return joined.where(_posterior(F.col("_evidence"), F.col("_odds")) >= least).select(*docs.columns)
+    joined = with_posterior(judged, *sums, added, host.cast("string"), path.cast("string"))
+    return joined.where(F.col("posterior") >= least).select(*[F.col("row")[c].alias(c) for c in docs.columns])
