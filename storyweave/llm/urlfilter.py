@@ -6,7 +6,9 @@ subdomains if the URL's path starts with the rule's; the longest rule wins. The
 features are lengths, depth, digit ratio, entropies, counts of parameters,
 labels and signs, and suffix statistics: how often URLs with the same last one,
 two or three labels of the host, alone or with the head of the path, were blocked
-among all decided URLs, by hashed suffix, so that the table has a fixed size.
+among all decided URLs, by hashed suffix, so that the table has a fixed size. The
+trees learn from statistics of other folds than a URL's own, so that no label
+is inside the features it is predicted from; later URLs get those of all folds.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is judged by its features; without decided URLs of both
@@ -40,6 +42,7 @@ _PARTS = re.compile(r"://([^/?#]*)([^?#]*)")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 BUCKETS = 1 << 16
 SUFFIXES = (1, 2, 3)
+FOLDS = 4
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -74,6 +77,16 @@ def suffix_buckets(host: str, path: str) -> list[int]:
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys]
 
 
+def fold_of(url: str) -> int:
+    return zlib.crc32(url.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def suffix_odds(n: np.ndarray, blocked: np.ndarray, share: float, strength: float = 20.0) -> np.ndarray:
+    """Log odds that a suffix adds to those of all URLs, shrunk by ``strength`` rows."""
+    p = (blocked + strength * share) / (n + strength)
+    return np.log(p / (1 - p)) - np.log(share / (1 - share))
+
+
 def entropy(text: str) -> float:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
@@ -164,8 +177,9 @@ class Model:
     only: str
     suffixes: np.ndarray  # log odds of block by hashed suffix
 
-    def features(self, url: str | None, host: str, path: str) -> list[float]:
-        return lexical(url, host, path) + [float(self.suffixes[b]) for b in suffix_buckets(host, path)]
+    def features(self, url: str | None, host: str, path: str, suffixes: np.ndarray | None = None) -> list[float]:
+        odds = self.suffixes if suffixes is None else suffixes
+        return lexical(url, host, path) + [float(odds[b]) for b in suffix_buckets(host, path)]
 
     def verdicts(self, rows: list[tuple[str | None, str, str]]) -> list[str]:
         if self.forest is None or not rows:
@@ -201,28 +215,30 @@ def fit(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_rows: in
 
     def counts() -> Step:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+            n, b = np.zeros((2, FOLDS, BUCKETS + 1), np.int64)  # the last bucket is of all URLs
             for url, blocked in zip(batch.column("url").to_pylist(), batch.column("blocked").to_pylist(), strict=True):
-                for bucket in suffix_buckets(*parts(url)):
-                    n[bucket] += 1
-                    b[bucket] += blocked
-            seen = np.flatnonzero(n)
-            all_n, all_b = batch.num_rows, int(np.sum(batch.column("blocked").to_numpy()))
-            return pa.record_batch(
-                [pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], all_n)), pa.array(np.append(b[seen], all_b))], names=["bucket", "n", "b"])
+                fold = fold_of(url)
+                for bucket in [*suffix_buckets(*parts(url)), BUCKETS]:
+                    n[fold, bucket] += 1
+                    b[fold, bucket] += blocked
+            seen = np.flatnonzero(n.sum(axis=0))
+            return pa.record_batch([pa.array(seen), *map(pa.array, n[:, seen]), *map(pa.array, b[:, seen])], names=["bucket", *names])
 
         return step
 
-    sums = map_batches(decided, counts, "bucket long, n long, b long").groupBy("bucket").agg(F.sum("n"), F.sum("b")).collect()
-    table = {r[0]: (r[1], r[2]) for r in sums}  # at most BUCKETS + 1 rows
-    n, b = table.pop(-1, (0, 0))
-    if n == 0 or b in (0, n):
-        return Model(None, "block" if n and b == n else "allow", np.zeros(BUCKETS))
-    share, strength = b / n, 20.0
-    suffixes = np.zeros(BUCKETS)
-    for bucket, (m, c) in table.items():
-        p = (c + strength * share) / (m + strength)
-        suffixes[bucket] = np.log(p / (1 - p)) - np.log(share / (1 - share))
+    names = [f"{c}{fold}" for c in "nb" for fold in range(FOLDS)]
+    summed = map_batches(decided, counts, ", ".join(f"{c} long" for c in ["bucket", *names])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    table = summed.toArrow()  # at most BUCKETS + 1 rows
+    n, b = np.zeros((2, FOLDS, BUCKETS + 1))
+    at = table.column("bucket").to_numpy()
+    for k in range(FOLDS):
+        n[k, at], b[k, at] = table.column(f"n{k}").to_numpy(), table.column(f"b{k}").to_numpy()
+    total, blocked = n[:, BUCKETS].sum(), b[:, BUCKETS].sum()
+    if total == 0 or blocked in (0, total):
+        return Model(None, "block" if total and blocked == total else "allow", np.zeros(BUCKETS))
+    share = blocked / total
+    suffixes = suffix_odds(n.sum(axis=0), b.sum(axis=0), share)
+    others = [suffix_odds(n.sum(axis=0) - n[k], b.sum(axis=0) - b[k], share) for k in range(FOLDS)]
     distinct = decided.groupBy("url", "blocked").agg(F.count("*").alias("n"))
     # the first by hash, so no more than ``max_rows`` come to the driver
     rows = sorted((r[0], r[1], r[2]) for r in distinct.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect())
@@ -231,7 +247,7 @@ def fit(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_rows: in
     if not 0 < labels.sum() < len(labels):
         return Model(None, "block" if share >= 0.5 else "allow", suffixes)
     model = Model(None, "allow", suffixes)
-    x = np.array([model.features(url, *parts(url)) for url, *_ in rows])
+    x = np.array([model.features(url, *parts(url), others[fold_of(url)]) for url, *_ in rows])
     return Model(grow(x, labels, weights * len(weights) / weights.sum()), "allow", suffixes)
 
 
