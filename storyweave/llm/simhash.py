@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyweave.llm.batches import Step, map_batches, utf8
+from storyweave.llm.batches import Step, free_name, map_batches, utf8
 from storyweave.operators.stories import connected_components
 from storyweave.session import cut_lineage
 
@@ -215,16 +215,15 @@ def keep_rows(docs: DataFrame, parts: DataFrame) -> DataFrame:
     those with that id the one with the least hash of its text; rows of one
     doc_id in several components stand for each of them. Rows without a doc_id
     can't be told apart and stay."""
+    columns = docs.columns
+    at_id, at_hash, own, place = (free_name(n, columns) for n in ("kept_id", "kept_hash", "text_hash", "place"))
     kept = (
         parts.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-        .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
+        .select(F.col("k.doc_id").alias(at_id), F.col("k.text_hash").alias(at_hash))
     )
-    columns = docs.columns
-    found = docs.withColumn("_kept_text", F.xxhash64("text")).join(
-        kept, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_kept_text") == F.col("_kept_hash")))
-    order = W.partitionBy("_kept_id", "_kept_hash").orderBy(F.length("text"))
-    chosen = found.withColumn("_kept_row", F.row_number().over(order))
-    return chosen.where(F.col("_kept_row") == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = docs.withColumn(own, F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col(at_id)) & (F.col(own) == F.col(at_hash)))
+    chosen = found.withColumn(place, F.row_number().over(W.partitionBy(at_id, at_hash).orderBy(F.length("text"))))
+    return chosen.where(F.col(place) == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, segments: int = 5, tile_rows: int = 2048) -> DataFrame:
@@ -232,11 +231,12 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, segments: int =
     columns kept. Rows that share a doc_id count as one document, of which the
     row with the least hash of its text stays; rows without a doc_id can't be
     told apart and stay."""
+    columns = docs.columns
+    at_id, place = (free_name(n, columns) for n in ("kept_id", "place"))
     kept = (
         components(docs, words, max_bits, segments, tile_rows)
-        .where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
+        .where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(at_id)).distinct()
     )
     order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
-    columns = docs.columns
-    chosen = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).withColumn("_kept_row", F.row_number().over(order))
-    return chosen.where(F.col("_kept_row") == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    chosen = docs.join(kept, F.col("doc_id") == F.col(at_id)).withColumn(place, F.row_number().over(order))
+    return chosen.where(F.col(place) == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))

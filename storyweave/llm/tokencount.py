@@ -61,6 +61,8 @@ def write_files(docs: DataFrame, folder: str, ranks: str = RANKS, end: int = END
         with target.open_output_stream(own) as out:
             for batch in batches:
                 for ids in encoder.encode(batch.column("text")):
+                    if len(ids) and ids.max() > 0xFFFF:
+                        raise ValueError(f"token id {ids.max()} of {ranks} has no place in a file of 16-bit ids")
                     out.write(np.concatenate((ids.astype("<u2"), separator)).tobytes())
                 n = batch.num_rows
                 yield pa.record_batch(

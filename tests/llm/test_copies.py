@@ -9,8 +9,9 @@ from helpers import DATA, ODD, docs, given
 from hypothesis import given as examples
 from hypothesis import settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from storyweave.llm import simhash
+from storyweave.llm import nearcopies, simhash
 from storyweave.llm.queries import QUERIES
 
 
@@ -112,3 +113,13 @@ def test_least_of_each_component_stays(spark):
     kept = simhash.keep_one(spark.read.parquet(f"{DATA}/documents.parquet"))
     prints = {i: plain_fingerprint(t) for i, t, *_ in given("documents")}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(reachable(prints).values()))
+
+
+def test_stages_carry_clashing_columns(spark):
+    table = docs(spark, ODD + [(k, "the same few words in a row that is long enough", "en", "s") for k in (40, 41)])
+    for name in ("Kept_Id", "kept_hash", "text_hash", "place", "_kept_id"):
+        table = table.withColumn(name, F.lit(name))
+    for kept in (simhash.keep_one(table), nearcopies.keep_one(table)):
+        rows = kept.collect()
+        assert kept.columns == table.columns and all(r.Kept_Id == "Kept_Id" and r._kept_id == "_kept_id" for r in rows)
+        assert 40 in {r.doc_id for r in rows} and 41 not in {r.doc_id for r in rows}

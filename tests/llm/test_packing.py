@@ -1,5 +1,6 @@
 """Token ids, packing and token counts: exact round trips."""
 
+import base64
 import zlib
 from collections import Counter
 
@@ -127,3 +128,12 @@ def test_unterminated_and_empty_files(spark, tmp_path):
     got = sorted(tuple(r) for r in tokencount.documents_in(spark, f"file://{tmp_path}", block_bytes=4).collect())
     assert got == [(0, 0, 0, 2, True), (0, 1, 3, 3, False), (2, 0, 0, 1, False)]
     assert tokencount.count(docs(spark, [])).count() == 0
+
+
+def test_ids_beyond_sixteen_bits_are_refused(spark, tmp_path):
+    ranks = tmp_path / "wide.tiktoken"
+    ranks.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % (70_000 if b == 97 else b) for b in range(256)))
+    found = tokencount.write_files(docs(spark, [(1, "bcd")]), tokencount.shared_folder(spark), str(ranks))
+    assert found.count() == 1
+    with pytest.raises(Exception, match="no place in a file of 16-bit ids"):
+        tokencount.write_files(docs(spark, [(1, "abc")]), tokencount.shared_folder(spark), str(ranks)).count()
