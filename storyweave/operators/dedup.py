@@ -9,9 +9,20 @@ from storyweave.functions import text, urls
 from storyweave.session import cut_lineage
 
 
+def first_keys_by_url(rows: DataFrame, arrival: str, key: str, url: str = "url") -> DataFrame:
+    """(url_hash, ``key``, ``arrival``, duplicates) of the first arrival per
+    canonical URL. ``key`` tells rows apart. Nothing else of the rows is read, so
+    that their texts need not move before it is known which of them stay."""
+    first = F.struct(F.col(arrival).alias("a"), F.col(key).alias("k"))
+    return rows.select(urls.url_hash(F.col(url)).alias("url_hash"), first.alias("f")).groupBy("url_hash").agg(
+        F.min("f").alias("f"), (F.count("*") - 1).alias("duplicates")
+    ).select("url_hash", F.col("f.k").alias(key), F.col("f.a").alias(arrival), "duplicates")
+
+
 def first_by_url(rows: DataFrame, arrival: str, url: str = "url") -> DataFrame:
     """First arrival per canonical URL, with the number of later spellings.
-    An aggregate rather than a window: copies collapse before the shuffle."""
+    An aggregate rather than a window: copies collapse before the shuffle. Rows
+    with texts and a key of their own go by ``first_keys_by_url`` instead."""
     keyed = rows.withColumn("url_hash", urls.url_hash(F.col(url)))
     payload = [c for c in keyed.columns if c != "url_hash"]
     return (

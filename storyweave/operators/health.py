@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyweave.functions import labels, text
+from storyweave.operators.ordering import ordinal_within
 
 
 def failure_streaks(log: DataFrame) -> DataFrame:
@@ -118,11 +119,30 @@ def rejected_by_source(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("source_id").agg(F.count("*").alias("rejected")).orderBy(F.desc("rejected"), "source_id")
 
 
+def claim_rounds(backlog: DataFrame, batch: dict[str, int], order: str = "item_id") -> DataFrame:
+    """``backlog`` (stage, ``order``, ...) with the round in which each row is
+    claimed when a stage takes ``batch[stage]`` rows at a time in that order. A
+    row that fails leaves the backlog as one that advances does, so no row is
+    claimed twice. Stages are numbered across range partitions, since one of
+    them may hold most rows."""
+    size = F.lit(None).cast("long")
+    for stage, rows in batch.items():
+        size = F.when(F.col("stage") == stage, F.lit(rows).cast("long")).otherwise(size)
+    placed = ordinal_within(backlog, "stage", F.col(order).asc(), out="_place")
+    return placed.withColumn("round", F.ceil(F.col("_place") / size)).drop("_place")
+
+
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """Processed, failed and rejected per stage from (stage, outcome) rows."""
-    return outcomes.groupBy("stage").agg(*[
-        F.count_if(F.col("outcome") == name).alias(name) for name in ("processed", "failed", "rejected")
-    ])
+    """Processed, failed, rejected and rounds per stage from (stage, outcome,
+    round?) rows. A rejected row counts as processed too. The last round finds
+    nothing left and ends the stage; without rounds a stage ran once."""
+    rounds = F.coalesce(F.max("round"), F.lit(0)) + 1 if "round" in outcomes.columns else F.lit(1)
+    return outcomes.groupBy("stage").agg(
+        F.count_if(F.col("outcome").isin("processed", "rejected")).alias("processed"),
+        F.count_if(F.col("outcome") == "failed").alias("failed"),
+        F.count_if(F.col("outcome") == "rejected").alias("rejected"),
+        rounds.cast("long").alias("rounds"),
+    )
 
 
 # The warning texts.

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyweave.functions import text
 from storyweave.operators.pairs import prior_peaks
 
 DEFAULT_WEIGHTS = {"authority": 0.25, "velocity": 0.40, "novelty": 0.20, "entity": 0.0}
@@ -50,6 +51,16 @@ def novelty(stories: DataFrame, days: int = 90, wanted: DataFrame | None = None)
     )
 
 
+def story_entity_tables(members: DataFrame, body: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(bridge, entities) of the members of stories: (story_id, entity_id), and
+    (entity_id, name, stories), in how many stories each entity is met. Members of a
+    story that name the same entity are one row before anything is counted."""
+    named = members.select("story_id", F.explode(text.extract_entities(F.col(body))).alias("name")).distinct()
+    bridge = named.withColumn("entity_id", F.xxhash64("name"))
+    entities = bridge.groupBy("entity_id", "name").agg(F.count("*").alias("stories"))
+    return bridge.select("story_id", "entity_id"), entities
+
+
 def story_entity_weight(stories: DataFrame, story_entities: DataFrame, entities: DataFrame) -> DataFrame:
     peaks = story_entities.join(entities, "entity_id").groupBy("story_id").agg(F.max("weight").alias("w"))
     return stories.select("story_id").join(peaks, "story_id", "left").select(

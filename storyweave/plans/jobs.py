@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyweave.functions import labels, text, urls, vectors
 from storyweave.operators import gate, health, pairs, scoring, stories as story_ops
-from storyweave.operators.dedup import first_by_content, first_by_url, new_items
+from storyweave.operators.dedup import first_by_content, first_keys_by_url, new_items
 from storyweave.operators.ordering import ordinal
 from storyweave.operators.rank import top_stories
 from storyweave.session import cut_lineage
@@ -71,18 +72,15 @@ def collect(
         unreadable(polled.where(F.col("error").isNull())))
     broken = cut_lineage(failed_rows.groupBy("source_id").agg(F.max("error").alias("_error")))
     usable = polled.join(broken, "source_id", "left_anti")
-    whole = cut_lineage(read_landed(usable.drop("since"), plugins, options))
+    whole = cut_lineage(read_landed(usable.drop("since"), plugins, options).withColumn("_row", F.monotonically_increasing_id()))
     raw = whole.join(due.select("source_id", "since"), "source_id").where(
         labels.since_filter(F.col("published_at"), F.col("since"))).drop("since")
-    firsts = first_by_url(raw.withColumn("_arrival", F.struct("source_id", "entry_no", "url")), "_arrival")
-    fresh = new_items(firsts, known)
+    # which entries are new is told by their keys alone; texts move once, to the ids of those that are
+    firsts = first_keys_by_url(raw.withColumn("_arrival", F.struct("source_id", "entry_no", "url", "_row")), "_arrival", "_row")
+    fresh = new_items(firsts, known).drop("duplicates")
     start = F.coalesce(known.agg(F.max("item_id").alias("m")).select("m").scalar(), F.lit(0))
-    items = (
-        ordinal(fresh, F.col("_arrival").asc(), out="_n")
-        .withColumn("item_id", F.col("_n") + start)
-        .withColumn("fetched_at", _now(as_of))
-        .drop("_n", "_arrival", "entry_no", "duplicates")
-    )
+    numbered = cut_lineage(ordinal(fresh, F.col("_arrival").asc(), out="_n").select("_row", "url_hash", (F.col("_n") + start).alias("item_id")))
+    items = raw.drop("entry_no").join(numbered, "_row").drop("_row").withColumn("fetched_at", _now(as_of))
     items = cut_lineage(items)
     seen = raw.groupBy("source_id").agg(F.count("*").alias("rows"))
     kept = items.groupBy("source_id").agg(F.count("*").alias("new_items"))
@@ -96,7 +94,7 @@ def collect(
         )
     )
     warnings = health.coverage_warning(
-        whole.join(sources.where(F.col("plugin") == "rss").select("source_id"), "source_id", "left_semi"), due
+        whole.drop("_row").join(sources.where(F.col("plugin") == "rss").select("source_id"), "source_id", "left_semi"), due
     )
     polled_ids = usable.select("source_id").distinct().withColumn("_ok", F.lit(True))
     after = (
@@ -127,11 +125,14 @@ class Split:
 def normalize(items: DataFrame, pages: DataFrame, known: DataFrame | None = None) -> Split:
     """items with text, content_hash and a usable image; ``pages`` (url,
     html) are the fetched articles, ``known`` the content already stored."""
-    articles = pages.groupBy(urls.url_hash(F.col("url")).alias("url_hash")).agg(
-        F.min_by("html", "url").alias("_html")
-    )
     keyed = items if "url_hash" in items.columns else items.withColumn("url_hash", urls.url_hash(F.col("url")))
     usable = text.usable_summary(F.col("summary"))
+    # pages that no item reads are left before any of them moves
+    readers = keyed.where(~usable & ~urls.is_paper_abstract(F.col("url"))).select("url_hash").distinct()
+    articles = (
+        pages.select("url", "html", urls.url_hash(F.col("url")).alias("url_hash")).join(readers, "url_hash", "left_semi")
+        .groupBy("url_hash").agg(F.min_by("html", "url").alias("_html"))
+    )
     joined = (
         keyed.join(articles, "url_hash", "left")
         .withColumn("_own", F.when(usable, F.col("summary")))
@@ -274,10 +275,23 @@ def relevance(items: DataFrame, topic_vectors: DataFrame | None, **settings) ->
     return gate.relevance_gate(items, centroid, **settings)
 
 
-def stats(stages: DataFrame, rejected: DataFrame, stories: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "stage_counts": health.stage_counts(stages),
-        "rejected_by_source": health.rejected_by_source(rejected),
-        "story_count": stories.agg(F.count("*").alias("stories")),
-        "top_stories": top_stories(stories),
-    }
+def stats(stages: DataFrame, rejected: DataFrame, stories: DataFrame) -> DataFrame:
+    """One report of a run (part, place, name, value): items by stage, rejected
+    items in all and by source with the most first, the number of stories, and
+    the top stories with their score. ``stages`` holds a row per item (stage),
+    ``rejected`` one per rejected item (source_id), ``stories`` story_id, title and score."""
+    def part(rows: DataFrame, title: str, name: Column, value: Column, story: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(title).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value"), (F.lit(None) if story is None else story).cast("long").alias("_id"))
+
+    none = F.lit("")
+    report = [
+        part(health.stage_counts(stages), "stage", F.col("stage"), F.col("items")),
+        part(rejected.agg(F.count("*").alias("n")), "rejected", none, F.col("n")),
+        part(health.rejected_by_source(rejected), "rejected_by_source", F.col("source_id"), F.col("rejected")),
+        part(stories.agg(F.count("*").alias("n")), "stories", none, F.col("n")),
+        part(top_stories(stories), "top_stories", F.col("title"), F.col("score"), F.col("story_id")),
+    ]
+    # a row per stage, source and top story; of equal scores the story with the least id comes first
+    rows = reduce(DataFrame.unionByName, report)
+    order = Window.partitionBy("part").orderBy(F.desc("value"), "_id", "name")
+    return rows.withColumn("place", F.row_number().over(order)).select("part", "place", "name", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,13 +19,15 @@ Encode = Callable[[list[str]], np.ndarray]
 _TOKEN = re.compile(r"\w+")
 
 
-def hashing_encoder(dims: int = 256) -> Callable[[], Encode]:
-    """Deterministic signed token hashing over the whole text, unit length."""
+def hashing_encoder(dims: int = 256, digest: Callable[[str], int] = xxhash.xxh64_intdigest) -> Callable[[], Encode]:
+    """Deterministic signed token hashing over the whole text, unit length.
+    ``digest`` gives 64 bits of a token: the first is its sign, all modulo
+    ``dims`` its place."""
     def load() -> Encode:
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims), dtype=np.float32)
             for row, body in enumerate(texts):
-                keys = [xxhash.xxh64_intdigest(t) for t in _TOKEN.findall(body.lower())]
+                keys = [digest(t) for t in _TOKEN.findall(body.lower())]
                 if keys:
                     h = np.array(keys, dtype=np.uint64)
                     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
@@ -37,6 +40,11 @@ def hashing_encoder(dims: int = 256) -> Callable[[], Encode]:
     return load
 
 
+def md5_digest(token: str) -> int:
+    """The first 64 bits of the MD5 of a token, which SQL engines know too."""
+    return int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "big")
+
+
 def embed_items(
     items: DataFrame, load: Callable[[], Encode], model_id: str, batch_size: int = 256
 ) -> tuple[DataFrame, DataFrame]:

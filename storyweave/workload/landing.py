@@ -178,7 +178,7 @@ def collect_source_state(spark, sf):
 # -- normalize, embed, images -----------------------------------------------------
 
 @query("normalize", f"""
-    SELECT doc_id AS item_id, CASE WHEN length(chosen) < 20 THEN 'no text extracted for ' || CASE WHEN doc_id % 23 = 0 THEN 'https://arxiv.org/abs/' ELSE 'https://site.example.org/' END || doc_id WHEN doc_id <> f THEN 'duplicate content of item ' || f ELSE 'kept' END AS outcome
+    SELECT doc_id AS item_id, CASE WHEN length(chosen) >= 20 AND doc_id = f THEN sha256(chosen) END AS text_hash, CASE WHEN length(chosen) < 20 THEN 'no text extracted for ' || CASE WHEN doc_id % 23 = 0 THEN 'https://arxiv.org/abs/' ELSE 'https://site.example.org/' END || doc_id WHEN doc_id <> f THEN 'duplicate content of item ' || f ELSE 'kept' END AS outcome
     FROM (SELECT doc_id, chosen, min(doc_id) OVER (PARTITION BY sha256(lower(chosen))) AS f FROM (
         SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN '' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS chosen FROM documents))""")
 def normalize(spark, sf):
@@ -192,17 +192,35 @@ def normalize(spark, sf):
         F.format_string("http://www.site.example.org/%d/?utm_campaign=z", doc).alias("url"),
         F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><p>"), "text", F.lit("</p><script>x()</script></body></html>")).alias("html"))
     done = jobs.normalize(items, pages)
-    return done.kept.select("item_id", F.lit("kept").alias("outcome")).unionByName(
-        done.failed.select("item_id", F.col("error").alias("outcome")))
-
-
-@query("embed", """
-    SELECT doc_id AS item_id, 256 AS dims, 1.0::DOUBLE AS norm FROM documents""")
+    return done.kept.select("item_id", F.sha2("text", 256).alias("text_hash"), F.lit("kept").alias("outcome")).unionByName(
+        done.failed.select("item_id", F.lit(None).cast("string").alias("text_hash"), F.col("error").alias("outcome")))
+
+
+@query("embed", with_tables("items", extra={
+    "tokens": r"""SELECT item_id, unnest(regexp_extract_all(lower(title || '. ' || text), '[\p{L}\p{N}_]+')) AS t FROM items""",
+    "cells": """SELECT item_id, pos, sum(s) AS c FROM (
+        SELECT item_id, ('0x' || substr(md5(t), 15, 2))::INT AS pos, CASE WHEN substr(md5(t), 1, 1) >= '8' THEN 1 ELSE -1 END AS s FROM tokens) GROUP BY ALL"""
+}, body="""
+    SELECT i.item_id, 256 AS dims, CASE WHEN c.norm > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, coalesce(above, 0) AS above, coalesce(above_at, 0) AS above_at,
+           coalesce(below, 0) AS below, coalesce(below_at, 0) AS below_at, coalesce(round(top / norm, 2), 0) AS top
+    FROM items i LEFT JOIN (SELECT item_id, sqrt(sum(c * c)) AS norm, count(*) FILTER (c > 0) AS above, sum(pos) FILTER (c > 0) AS above_at,
+        count(*) FILTER (c < 0) AS below, sum(pos) FILTER (c < 0) AS below_at, max(abs(c)) AS top FROM cells GROUP BY item_id) c ON c.item_id = i.item_id"""))
 def embed(spark, sf):
     items = fx.items(spark, sf).select("item_id", "title", "text")
-    done, _ = embedding.embed_items(items, embedding.hashing_encoder(256), "hash-256")
+    done, _ = embedding.embed_items(items, embedding.hashing_encoder(256, embedding.md5_digest), "hash-256")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return done.select("item_id", F.size("embedding").alias("dims"), F.round(F.sqrt(norm), 3).alias("norm"))
+    cells = F.transform("embedding", lambda x, i: F.struct(i.cast("long").alias("at"), x.cast("double").alias("x")))
+
+    def places(test):
+        return F.filter(cells, lambda c: test(c["x"]))
+
+    def total(found):
+        return F.aggregate(found, F.lit(0).cast("long"), lambda a, c: a + c["at"])
+
+    above, below = places(lambda x: x > 0), places(lambda x: x < 0)
+    return done.select(
+        "item_id", F.size("embedding").alias("dims"), F.round(F.sqrt(norm), 3).alias("norm"), F.size(above).alias("above"), total(above).alias("above_at"),
+        F.size(below).alias("below"), total(below).alias("below_at"), F.round(F.array_max(F.transform("embedding", F.abs)).cast("double"), 2).alias("top"))
 
 
 @query("image_backfill", with_tables("fetch_log", body="""

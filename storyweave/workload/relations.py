@@ -180,22 +180,21 @@ def novelty(spark, sf):
     return scoring.novelty(_stories(spark, sf)).select("story_id", F.round("novelty", 5).alias("novelty"))
 
 
-def story_entity_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Entities of all texts, weighted by how much of the story they span."""
-    named = fx.members(spark, sf).select("story_id", F.explode(text.extract_entities(F.col("text"))).alias("name"))
-    bridge = named.select("story_id", F.xxhash64("name").alias("entity_id"), "name").distinct()
-    entities = bridge.select("entity_id", (F.char_length("name") / F.lit(100.0)).alias("weight")).distinct()
-    return bridge.select("story_id", "entity_id"), entities
-
-
 @query("story_entity_weight", with_tables("members", body=f"""
     SELECT s.story_id, coalesce(w, 0.5) AS weight FROM (SELECT DISTINCT story_id FROM members) s LEFT JOIN (
         SELECT story_id, max(length(e)) / 100.0::DOUBLE AS w FROM (SELECT story_id, unnest({sql_entities('text')}) AS e FROM members) GROUP BY story_id) x
     ON x.story_id = s.story_id"""))
 def story_entity_weight(spark, sf):
-    bridge, entities = story_entity_tables(spark, sf)
+    bridge, entities = scoring.story_entity_tables(fx.members(spark, sf))
     stories = fx.members(spark, sf).select("story_id").distinct()
-    return scoring.story_entity_weight(stories, bridge, entities).select("story_id", F.col("entity").alias("weight"))
+    weighted = entities.withColumn("weight", F.char_length("name") / F.lit(100.0))
+    return scoring.story_entity_weight(stories, bridge, weighted).select("story_id", F.col("entity").alias("weight"))
+
+
+@query("story_entities", with_tables("members", body=f"""
+    SELECT e AS name, count(DISTINCT story_id) AS stories FROM (SELECT story_id, unnest({sql_entities('text')}) AS e FROM members) GROUP BY e"""))
+def story_entities(spark, sf):
+    return scoring.story_entity_tables(fx.members(spark, sf))[1].select("name", "stories")
 
 
 def scored(spark, sf, digits: int = 6) -> DataFrame:
@@ -419,21 +418,38 @@ def stage_counts(spark, sf):
 
 
 @query("run_summary", with_tables("items", "topic", extra=_JUDGED, body=f"""
-    SELECT 'normalize' AS stage, count(*) FILTER (item_id = f) AS processed, count(*) FILTER (item_id <> f) AS failed, 0 AS rejected
+    SELECT 'normalize' AS stage, count(*) FILTER (item_id = f) AS processed, count(*) FILTER (item_id <> f) AS failed, 0 AS rejected, (count(*) + 99) // 100 + 1 AS rounds
     FROM (SELECT item_id, min(item_id) OVER (PARTITION BY {_HASH}) AS f FROM items)
-    UNION ALL SELECT 'relevance', count(*) FILTER (cos >= threshold OR hits >= 1), 0, count(*) FILTER (NOT (cos >= threshold OR hits >= 1)) FROM judged"""))
+    UNION ALL SELECT 'relevance', count(*), 0, count(*) FILTER (NOT (cos >= threshold OR hits >= 1)), (count(*) + 199) // 200 + 1 FROM judged"""))
 def run_summary(spark, sf):
     items = fx.items(spark, sf)
     kept, failed = first_by_content(items.select("item_id", "text"))
     verdicts = jobs.relevance_verdicts(items, fx.table(spark, sf, "embeddings"), **_GATE).select(
-        F.lit("relevance").alias("stage"), F.when(F.col("reject_reason").isNull(), F.lit("processed")).otherwise(F.lit("rejected")).alias("outcome"))
+        "item_id", F.lit("relevance").alias("stage"), F.when(F.col("reject_reason").isNull(), F.lit("processed")).otherwise(F.lit("rejected")).alias("outcome"))
 
     def tag(df, stage, outcome):
-        return df.select(F.lit(stage).alias("stage"), F.lit(outcome).alias("outcome"))
+        return df.select("item_id", F.lit(stage).alias("stage"), F.lit(outcome).alias("outcome"))
 
-    return health.run_summary(
+    return health.run_summary(health.claim_rounds(
         tag(kept, "normalize", "processed").unionByName(tag(failed, "normalize", "failed"))
-        .unionByName(verdicts))
+        .unionByName(verdicts), {"normalize": 100, "relevance": 200}))
+
+
+@query("stats", with_tables("scored", "members", "items", "topic", extra={
+    **_JUDGED,
+    "titles": "SELECT story_id, arg_min(title, item_id) AS title FROM members GROUP BY story_id",
+    "parts": f"""
+        SELECT 'stage' AS part, CASE WHEN cos >= threshold OR hits >= 1 THEN 'relevant' ELSE 'rejected' END AS name, count(*)::DOUBLE AS value, NULL AS id FROM judged GROUP BY 2
+        UNION ALL SELECT 'rejected', '', count(*), NULL FROM judged WHERE NOT (cos >= threshold OR hits >= 1)
+        UNION ALL SELECT 'rejected_by_source', source_id, count(*), NULL FROM judged WHERE NOT (cos >= threshold OR hits >= 1) GROUP BY 2
+        UNION ALL SELECT 'stories', '', count(*), NULL FROM scored
+        UNION ALL (SELECT 'top_stories', t.title, score, s.story_id FROM scored s JOIN titles t ON t.story_id = s.story_id ORDER BY score DESC, s.story_id LIMIT 10)""",
+}, body="""
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY value DESC, id, name) AS place, name, value FROM parts"""))
+def stats(spark, sf):
+    kept, off = jobs.relevance(fx.items(spark, sf), fx.table(spark, sf, "embeddings"), **_GATE)
+    stages = kept.select(F.lit("relevant").alias("stage")).unionByName(off.select(F.lit("rejected").alias("stage")))
+    return jobs.stats(stages, off, cut_lineage(scored(spark, sf)))
 
 
 @query("rejected_by_source", with_tables("items", "topic", extra=_JUDGED, body="""

@@ -4,10 +4,46 @@ from datetime import datetime, timedelta
 import pytest
 
 from storyweave.operators import catalogue, health
+from storyweave.plans import jobs
 from storyweave.session import cut_lineage
 from storyweave.streaming import state
 
 
+def test_rounds_equal_claiming_in_batches(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["clean", "clean", "clean", "group"]), rng.choice(["processed", "failed", "rejected"])) for i in rng.sample(range(1000), 137)]
+    batch = {"clean": 10, "group": 7, "never": 5}
+    table = spark.createDataFrame(rows, "item_id long, stage string, outcome string")
+    claimed = health.claim_rounds(table, batch)
+    want, summary = {}, {}
+    for stage in ("clean", "group"):
+        left, rounds = sorted(r[0] for r in rows if r[1] == stage), 0
+        while True:
+            rounds += 1
+            taken, left = left[: batch[stage]], left[batch[stage]:]
+            want |= {i: rounds for i in taken}
+            if not taken:
+                break
+        out = [r[2] for r in rows if r[1] == stage]
+        summary[stage] = (len(out) - out.count("failed"), out.count("failed"), out.count("rejected"), rounds)
+    assert {r.item_id: r["round"] for r in claimed.collect()} == want
+    assert {r.stage: tuple(r)[1:] for r in health.run_summary(claimed).collect()} == summary
+    assert {r.rounds for r in health.run_summary(table).collect()} == {1}
+    assert health.claim_rounds(table.limit(0), batch).count() == 0
+
+
+def test_stats(spark):
+    stages = spark.createDataFrame([("kept",)] * 3 + [("rejected",)] * 4, "stage string")
+    off = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "source_id string")
+    stories = spark.createDataFrame([(k, f"t{k}", s) for k, s in enumerate([0.5, None, 0.9, 0.5] + [0.1] * 9)], "story_id long, title string, score double")
+    got = {}
+    for r in jobs.stats(stages, off, stories).orderBy("part", "place").collect():
+        got.setdefault(r.part, []).append((r.name, r.value))
+    assert got["stage"] == [("rejected", 4.0), ("kept", 3.0)] and got["rejected"] == [("", 4.0)] and got["stories"] == [("", 13.0)]
+    assert got["rejected_by_source"] == [("c", 2.0), ("a", 1.0), ("b", 1.0)]
+    assert got["top_stories"] == [("t2", 0.9), ("t0", 0.5), ("t3", 0.5)] + [(f"t{k}", 0.1) for k in range(4, 11)]
+
+
 def test_provider_day_equals_loop(spark):
     rng = random.Random(5)
     start = datetime(2024, 1, 1)

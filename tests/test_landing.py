@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyweave.functions import vectors
 from storyweave.operators import calibrate, gate, pairs
-from storyweave.operators.dedup import first_by_content
+from storyweave.operators.dedup import first_by_content, first_by_url, first_keys_by_url
 from storyweave.plans import jobs
 from storyweave.sources import embedding, registry, scans
 from storyweave.sources.embedding import hashing_encoder
@@ -131,6 +131,40 @@ def test_collect_judges_coverage_before_the_cut(spark):
     assert {r.source_id: r.new_items for r in done.counters.collect()} == {"mixed": 1, "new": 1, "undated": 2, "broken": 0}
 
 
+def test_collect_takes_a_payload_that_landed_twice_once(spark):
+    sources = spark.createDataFrame([("feed", "rss", True, 30, 5, None, 0, None, None)], SOURCES)
+    land = spark.createDataFrame([("rss", "feed", RSS)] * 3, "plugin string, source_id string, payload string")
+    known = spark.createDataFrame([], "item_id long, url_hash string")
+    once = jobs.collect(land.limit(1), sources, known, datetime(2024, 1, 3), ["rss"])
+    done = jobs.collect(land, sources, known, datetime(2024, 1, 3), ["rss"])
+    assert done.items.columns == once.items.columns
+    assert sorted(map(str, done.items.collect())) == sorted(map(str, once.items.collect()))
+    count = once.counters.first()
+    assert done.counters.first().skipped_duplicates == 3 * (count.new_items + count.skipped_duplicates) - count.new_items
+    none = jobs.collect(land.limit(0), sources, known, datetime(2024, 1, 3), ["rss"])
+    assert none.items.count() == 0 and none.items.columns == once.items.columns
+
+
+def test_first_keys_are_those_of_first_by_url(spark):
+    rows = spark.createDataFrame(
+        [(k, k * 7 % 10, f"https://a.com/{k % 4}" + ("?utm_source=x" if k % 2 else ""), "text") for k in range(12)] + [(12, 0, None, "t")],
+        "id long, at long, url string, text string")
+    slim = first_keys_by_url(rows, "at", "id").join(rows.select("id", "text"), "id")
+    whole = first_by_url(rows.withColumn("order", F.struct("at", "id")), "order")
+    columns = ["url_hash", "id", "duplicates", "text"]
+    assert sorted(map(str, slim.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+
+
+def test_pages_nobody_reads_do_not_count(spark):
+    items = spark.createDataFrame([(1, "https://a.com/1", None, None), (2, "https://a.com/2", "<p>a summary long enough to be used</p>" * 20, None)],
+                                  "item_id long, url string, summary string, image_url string")
+    pages = spark.createDataFrame(
+        [("https://www.a.com/1", "<p>the page of the first item, as it was fetched</p>"), ("https://a.com/1", "<p>another copy of this page of the first</p>"),
+         ("https://a.com/2", "<p>the page of the second, which nobody reads</p>"), ("https://b.com/9", None), (None, "x")], "url string, html string")
+    kept = {r.item_id: r.text for r in jobs.normalize(items, pages).kept.collect()}
+    assert kept[1] == "another copy of this page of the first" and kept[2].startswith("a summary long") and len(kept) == 2
+
+
 def test_stage_stream_knows_earlier_batches(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in ([(1, "same text"), (2, "other")], [(3, "same text"), (4, "Same  text"), (5, "third")]):
