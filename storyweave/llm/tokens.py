@@ -27,7 +27,7 @@ _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNEVEN = f" {_SPACE}|{_SPACE} "
 
 #: Bytes of text that are put together at a time.
-GROUP = 12_000_000
+GROUP = 4_000_000
 
 
 class Encoder:
@@ -36,7 +36,7 @@ class Encoder:
     is one. ``cached`` distinct pieces are remembered at most; when there are
     more, the memory starts anew."""
 
-    def __init__(self, ranks: str = "byte_bpe_50k.tiktoken", cached: int = 1_500_000):
+    def __init__(self, ranks: str = "byte_bpe_50k.tiktoken", cached: int = 600_000):
         path = ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks)
         with open(path, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
