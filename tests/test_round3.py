@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from storyweave import fixtures as fx
 from storyweave.functions import text
+from storyweave.operators import reader
 from storyweave.sources import scans
 from storyweave.workload import ORACLES, QUERIES
 
@@ -54,3 +55,28 @@ def test_paper_ids_have_five_digits(spark):
     docs = spark.createDataFrame([(9, "a", "en", "src1", 1), (1234567, "b", "en", "src1", 1)], DOCUMENT)
     urls = sorted(r.url for r in scans.scan_paper_feed(fx.atom_payloads(docs)).collect())
     assert urls == ["https://arxiv.org/abs/2401.00008", "https://arxiv.org/abs/2401.12345"]
+
+
+def test_literal_orders_by_blocks_of_cards(spark):
+    """Seven cards in blocks of two, against a plain loop."""
+    made = [(k, float(k % 3), k * 5 % 4, k % 2, [f"s{k % 3}", "s9"] if k % 4 else ["s5"], k + 1) for k in range(7)]
+    cards = spark.createDataFrame([("b", *c) for c in made], "bundle_id string, story_id long, score double, updated_at long, outlet_count long, source_ids array<string>, feed_pos long")
+    asks = [(1, "b", []), (2, "b", ["s0", "s1"]), (3, "b", None), (4, "none", [])]
+    requests = spark.createDataFrame(asks, "reader_id long, bundle_id string, selected array<string>")
+    seen, gone = {(1, 0), (1, 4), (2, 1), (3, 99)}, {(1, 6), (2, 3), (3, 4), (4, 0)}
+    read, dismissed = (spark.createDataFrame(sorted(x), "reader_id long, story_id long") for x in (seen, gone))
+    orders = {"importance": lambda r, c: c[5], "recency": lambda r, c: (-c[2], c[5]), "outlets": lambda r, c: (-c[3], -c[2], c[5]),
+              "unread": lambda r, c: ((r, c[0]) in seen, -c[2], c[5])}
+    every = set()
+    for mode, order in orders.items():
+        want = set()
+        for r, bundle, selected in asks:
+            mine = [c for c in made if bundle == "b" and (not selected or set(selected) & set(c[4])) and (r, c[0]) not in gone
+                    and (mode == "unread" or (r, c[0]) not in seen)]
+            want |= {(r, c[0], place) for place, c in enumerate(sorted(mine, key=lambda c: order(r, c)), 1)}
+        got = reader.ordered_feed(requests, cards, read, dismissed, mode, block_rows=2)
+        assert {(x.reader_id, x.story_id, x.position) for x in got.collect()} == want
+        if mode == "importance":
+            every = {(r, c) for r, c, _ in want}
+    rows = reader.visible_rows(requests, cards, read, dismissed, block_rows=2).collect()
+    assert len(rows) == len(every) and {(x.reader_id, x.story_id) for x in rows} == every
