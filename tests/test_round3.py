@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from storyweave import fixtures as fx
 from storyweave.functions import text
-from storyweave.operators import reader
+from storyweave.operators import pairs, reader
 from storyweave.sources import scans
 from storyweave.workload import ORACLES, QUERIES
 
@@ -95,3 +97,28 @@ def test_fit_of_readers_without_a_side(spark, tmp_path):
         (rows.where(kept) if table == "events" else rows).write.parquet(f"{folder}/{table}.parquet")
     against_sql(spark, folder, "reader_fit")
     against_sql(spark, folder, "reader_feed")
+
+
+def test_ends_of_tiles_by_bounds(monkeypatch):
+    """Equal to all pairs, and few pairs are computed in full once ends are known."""
+    rng = np.random.default_rng(1)
+
+    def tile(n, first):
+        return pd.DataFrame({
+            "row_id": np.arange(n) + first, "label": rng.integers(0, 90, n), "vec": list(rng.normal(size=(n, 16))),
+            "entities": [np.unique(rng.integers(0, 40, rng.integers(0, 5))) for _ in range(n)], "tile": str(first)})
+
+    signals = pairs.SIGNALS | {"negative": (-0.5, -0.7)}
+    for left, right in ((tile(300, 0), tile(200, 100)), (tile(50, 0), tile(60, 500))):
+        same = left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :]
+        pair = left.row_id.to_numpy()[:, None] != right.row_id.to_numpy()[None, :]
+        want = {name: (np.min(x, where=same & pair, initial=np.inf), np.max(x, where=~same, initial=-np.inf))
+                for name, x in pairs._signal_scores(left, right, signals).items()}
+        got = pairs._extremes_kernel(signals, step=128)(left, right)
+        assert {r.signal: (r.lowest_same, r.highest_different) for r in got.itertuples()} == want
+        full, scores = [], pairs._exact_scores
+        monkeypatch.setattr(pairs, "_exact_scores", lambda a, b, rows, *more: (full.append(len(rows)), scores(a, b, rows, *more))[1])
+        known = {name: (low - 0.01, high + 0.01) for name, (low, high) in want.items()}
+        later = pairs._extremes_kernel(signals, known)(left, right)
+        assert np.isinf(later[["lowest_same", "highest_different"]].to_numpy()).all() and sum(full) < 0.02 * len(signals) * same.size
+        monkeypatch.undo()
