@@ -1,9 +1,10 @@
 """Large tiles, computed block by block, and how often a row travels."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_pivots import START, items_of, plain_matches
+from test_pivots import START, cosine, crowd, items_of, plain_matches
 
 from storyweave.operators import kernels, pairs
 
@@ -48,3 +49,26 @@ def test_a_row_travels_a_bounded_number_of_times(spark):
         sizes = {r.tile: r["count"] for r in tiled.groupBy("tile").count().collect()}
         copies.append(sum(sizes[r.left_tile] + sizes[r.right_tile] for r in planned.collect()) / n)
     assert copies[1] < 1.5 * copies[0]
+
+
+@pytest.mark.parametrize("split", [0, 2])
+def test_peaks_of_blocks_equal_all_pairs(monkeypatch, split):
+    for name, value in {"BLOCK": 7, "CHUNK": 9, "PAIRS": 5}.items():
+        monkeypatch.setattr(kernels, name, value)
+    _, _, vectors = crowd(4, 120, 0.3)
+    vectors[7], vectors[9] = 0.0, vectors[8]
+    days = np.random.default_rng(1).integers(0, 40, 120)  # many of the same time
+
+    def tile(ids, name):
+        return pa.table({"story_id": ids, "ts": [int(days[i]) for i in ids], "reach": [15] * len(ids), "asks": [i % 5 > 0 for i in ids],
+                         "vec": pa.array([list(vectors[i]) for i in ids], pa.list_(pa.float64())), "tile": [name] * len(ids)})
+
+    sides = [tile(s, str(k)) for k, s in enumerate([list(range(120))] if not split else [list(range(0, 120, 2)), list(range(1, 120, 2))])]
+    got = {}
+    for k, a in enumerate(sides):
+        for b in sides[k:]:
+            for r in kernels.prior_peak(a, b).to_pylist():
+                got[r["story_id"]] = max(got.get(r["story_id"], -2.0), r["peak"])
+    want = {i: max(seen) for i in range(120) if i % 5 and (
+        seen := [cosine(vectors[i], vectors[j]) for j in range(120) if days[j] < days[i] <= days[j] + 15])}
+    assert {i: round(p, 9) for i, p in got.items()} == {i: round(p, 9) for i, p in want.items()}
