@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.functions import labels, text, urls
+from storyweave.functions.binding import let
 
 # Fixed value: the id of a paper in a feed, without its version.
 PAPER_ID = r"arxiv\.org/abs/([\d.]+?)(?:v\d+)?$"
@@ -82,11 +83,16 @@ _ELEMENT = r"(?s)<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?(?:/>|>.*?</\1\s*>)"
 def _cut_entries(payload: Column, tag: str, entry: str) -> Column:
     """The entries of a payload that is no valid document, each read alone; null where one can't be."""
     pieces = F.regexp_extract_all(payload, F.lit(rf"(?s)<{tag}[\s>].*?(?:</{tag}\s*>|(?=<{tag}[\s>])|\z)"), F.lit(0))
-    declared = F.array_join(F.array_distinct(F.regexp_extract_all(
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(
         payload, F.lit(r"xmlns:[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))), " ")
-    for prefix in _PREFIXES:
-        declared = F.when(declared.contains(f"xmlns:{prefix}"), declared).otherwise(F.concat(declared, F.lit(f' xmlns:{prefix}="{prefix}"')))
+    missing = [(F.lit(f"xmlns:{prefix}"), F.lit(f' xmlns:{prefix}="{prefix}"')) for prefix in _PREFIXES]
+    # a payload is searched for its prefixes once, not for each of its entries
+    declared = let(found, lambda d: F.concat(d, *(F.when(d.contains(name), "").otherwise(text_) for name, text_ in missing)))
+    return let(declared, lambda d: F.transform(pieces, lambda p: _read_entry(p, d, tag, entry)))
 
+
+def _read_entry(entry_text: Column, declared: Column, tag: str, entry: str) -> Column:
+    """An entry as it stands, then with bare ampersands escaped, then from its whole elements; else null."""
     def alone(piece: Column) -> Column:
         return F.from_xml(F.concat(F.lit("<x "), declared, F.lit(">"), piece, F.lit("</x>")), f"{tag} {entry}")[tag]
 
@@ -99,7 +105,7 @@ def _cut_entries(payload: Column, tag: str, entry: str) -> Column:
         )
         return F.when(F.size(elements) > 0, alone(F.concat(F.lit(f"<{tag}>"), F.array_join(elements, ""), F.lit(f"</{tag}>"))))
 
-    return F.transform(pieces, lambda p: F.coalesce(alone(p), alone(F.regexp_replace(p, _BARE, "&amp;")), whole_elements(p)))
+    return F.coalesce(alone(entry_text), alone(F.regexp_replace(entry_text, _BARE, "&amp;")), whole_elements(entry_text))
 
 
 def _entries(landed: DataFrame, schema: str, entries: str, tag: str, entry: str, *extra: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_pivots import START, cosine, crowd, items_of, plain_matches
 
 from storyweave.operators import kernels, pairs
+from storyweave.sources import scans
 
 
 @pytest.mark.parametrize("seed, spread", [(5, 0.2), (6, 3.0)])
@@ -72,3 +73,12 @@ def test_peaks_of_blocks_equal_all_pairs(monkeypatch, split):
     want = {i: max(seen) for i in range(120) if i % 5 and (
         seen := [cosine(vectors[i], vectors[j]) for j in range(120) if days[j] < days[i] <= days[j] + 15])}
     assert {i: round(p, 9) for i, p in got.items()} == {i: round(p, 9) for i, p in want.items()}
+
+
+def test_prefixes_of_a_broken_feed_are_searched_once(spark):
+    frame = spark.createDataFrame([("<rss><item><title>R&D</title></item><item><title>x</item>",)], "payload string")
+    found = frame.select(scans._cut_entries(F.col("payload"), "item", scans._ITEM).alias("e"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("xmlns:[") == 1
+    first, second = found.first().e
+    assert first.title == "R&D" and second is None
