@@ -82,3 +82,38 @@ def test_prefixes_of_a_broken_feed_are_searched_once(spark):
     assert plan.count("xmlns:[") == 1
     first, second = found.first().e
     assert first.title == "R&D" and second is None
+
+
+@pytest.mark.parametrize("tile_rows", [16, 1000])
+def test_links_connect_like_all_pairs(spark, tile_rows):
+    """A large component, small ones and rows alone, over many tiles and in one."""
+    draw, _, vectors = crowd(3, 160, 0.25, clusters=20)
+    vectors[:70] = vectors[0] + 0.05 * draw.normal(size=(70, 12))
+    vectors[150], vectors[151, 0] = 0.0, np.nan
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)]
+    links = pairs.similarity_links(spark.createDataFrame(rows, "row_id long, vec array<double>"), "row_id", "vec", 0.9, tile_rows).collect()
+    assert len(links) < 160 * 12
+
+    def groups(edges):
+        parent = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return {x: find(x) for x in list(parent)}
+
+    want = groups((i, j) for i in range(160) for j in range(i) if {i, j}.isdisjoint({150, 151}) and cosine(vectors[i], vectors[j]) >= 0.9)
+    assert groups((r.i, r.j) for r in links) == want
+    assert 1 < len(set(want.values())) and len(want) < 160
+
+
+def test_connected_rows_ask_no_more(spark):
+    """Where nearly all rows hang together, the links stay few."""
+    table = spark.range(3000).select(F.col("id").alias("row_id"), F.array(F.lit(1.0), F.rand(1) / 10).alias("vec"))
+    assert pairs.similarity_links(table, "row_id", "vec", 0.9, 100).count() < 3 * 3000
