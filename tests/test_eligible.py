@@ -22,3 +22,10 @@ def test_eligible_rows_are_those_of_the_feed(spark):
     for sizes in ((7, 3), (1024, 512)):
         assert sorted(tuple(r) for r in reader.eligible_rows(requests, cards, *sizes).collect()) == want
     assert reader.eligible_rows(requests, cards.where(F.lit(False))).count() == 0
+
+
+def test_rows_are_made_in_many_tasks(spark):
+    requests = spark.range(400).select(F.col("id").alias("reader_id"), F.lit("b").alias("bundle_id"), F.array().cast("array<string>").alias("selected")).coalesce(1)
+    cards = spark.range(100).select(F.lit("b").alias("bundle_id"), F.col("id").alias("story_id"), F.array(F.lit("s")).alias("source_ids")).coalesce(1)
+    made = reader.eligible_rows(requests, cards, 10, 20).groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(r["count"] for r in made) == 40_000
