@@ -4,9 +4,14 @@ A document's set holds the XXH64, seed 42, of each run of ``words`` words
 (fewer: the whole sequence). Two sets link if they share at least ``similarity``
 of their union; a component is what links lead to.
 
-Candidates. Equal sets collapse to one first. ``BANDS`` keys of ``ROWS`` minima
-each are made of a set; two sets of similarity s share no key with probability
-(1 - s^ROWS)^BANDS, 4e-9 at 0.8. Sets that share a key are compared by sketches,
+Candidates. Equal sets collapse to one first. The SimHash fingerprints of the
+sets' distinct words go through the pigeonring of ``simhash``: sets whose
+fingerprints are linked within ``MAX_BITS`` bits form a group. A wider ring has
+keys of few bits, on which most sets meet, so sets that the ring leaves apart
+have a second way: ``BANDS`` keys of ``ROWS`` minima each are made of a set; two
+sets of similarity s share no key with probability (1 - s^ROWS)^BANDS, 4e-9 at
+0.8. A key whose sets all lie in one group of the ring is passed over.
+Sets of one group, or that share a key, are compared by sketches,
 one byte of ``SKETCH`` minima each: those of similarity 0.8 agree in fewer than
 ``AGREE`` of them with a probability of 3e-9. So a clump of texts that have
 only boilerplate in common falls apart here, before whole texts are moved. Keys
@@ -32,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyweave.llm.batches import Step, map_batches, utf8
-from storyweave.llm.simhash import SEED, keep_rows
+from storyweave.llm.simhash import SEED, keep_rows, links, word_fingerprint
 from storyweave.operators.stories import connected_components
 from storyweave.session import cut_lineage
 
+MAX_BITS, SEGMENTS = 5, 11
 BANDS, ROWS = 64, 6
 SKETCH, AGREE = 96, 52
 _DRAW = np.random.default_rng(SEED)
@@ -69,23 +75,24 @@ def bands(own: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, text_hash, size in bytes, node (a hash of the set, 0 if it is empty), keys and sketch of every row."""
+    """doc_id, text_hash, size in bytes, node (a hash of the set, 0 if it is empty), fp of its words, keys and sketch of every row."""
 
     def make() -> Step:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = utf8(batch.column("text"))
             found = [shingles(t, words) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in found], np.uint64).view(np.int64)
+            prints = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
             made = [bands(x) if len(x) else ([], b"") for x in found]
             return pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(nodes),
-                 pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([m for _, m in made], pa.binary())],
-                names=["doc_id", "text_hash", "size", "node", "keys", "sketch"])
+                 pa.array(prints), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([m for _, m in made], pa.binary())],
+                names=["doc_id", "text_hash", "size", "node", "fp", "keys", "sketch"])
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return map_batches(rows, make, "doc_id long, text_hash long, size long, node long, keys array<long>, sketch binary")
+    return map_batches(rows, make, "doc_id long, text_hash long, size long, node long, fp long, keys array<long>, sketch binary")
 
 
 def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -152,8 +159,19 @@ def linked(rows: DataFrame, group: list[str], column: str, find: Callable[[pa.Ar
     return rows.select("node", *group, column).groupBy(*group).applyInArrow(compare, "i long, j long").distinct()
 
 
+def ring_groups(named: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """node and ring, equal for sets that links of fingerprints within ``max_bits`` lead to."""
+    prints = named.select("node", "fp")
+    edges = cut_lineage(links(prints.select("fp").distinct(), max_bits, segments))
+    roots = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("ring"))
+
+
 def clusters_of(named: DataFrame, key_rows: int = 4096) -> DataFrame:
     """node and cluster of the sets that a sketch links to another one."""
+    rings = cut_lineage(ring_groups(named))
+    grouped = rings.select("node", F.col("ring").alias("key"))
+    crowds = grouped.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # one exchange of (key, node) serves the count of a key's sets and their meeting
     keyed = named.select("node", F.explode("keys").alias("key")).where("key IS NOT NULL AND node IS NOT NULL").repartition("key")
     shared = keyed.groupBy("key").agg(
@@ -161,8 +179,14 @@ def clusters_of(named: DataFrame, key_rows: int = 4096) -> DataFrame:
     ).where("n > 1")
     # keys with the same members tell the same
     once = shared.groupBy("n", "first", "last", "all").agg(F.min("key").alias("key"))
-    sizes = once.select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("tiles"))
-    rows = tiled(keyed, "key", sizes).join(named.select("node", "sketch"), "node")
+    # the sets of one group of the ring meet there
+    members = cut_lineage(keyed.join(once.select("key"), "key").join(rings, "node"))
+    apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("ring").alias("low"), F.max("ring").alias("high")).where("low < high")
+
+    def meeting(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        return tiled(rows.select("node", "key"), "key", counts.select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("tiles")))
+
+    rows = meeting(grouped, crowds).unionByName(meeting(members, apart)).join(named.select("node", "sketch"), "node")
     width = SKETCH
 
     def find(sketches: pa.Array) -> list[tuple[int, int]]:
@@ -177,7 +201,7 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile_ro
     prints = cut_lineage(sketches(docs, words))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
     named = cut_lineage(prints.where(F.size("keys") > 0).groupBy("node").agg(
-        one, F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.max("size").alias("size")))
+        one, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.max("size").alias("size")))
     clusters = clusters_of(named).join(named.select("node", "size", "one.doc_id", "one.text_hash"), "node")
     sizes = clusters.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("size") / tile_bytes)).cast("int").alias("tiles"))
@@ -191,8 +215,8 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile_ro
     def find(column: pa.Array) -> list[tuple[int, int]]:
         return set_links([shingles(t, words) for t in utf8(column)], similarity)
 
-    links = cut_lineage(linked(texts.join(meeting, "node"), ["cluster", "a", "b"], "text", find))
-    roots = connected_components(links).select("node", F.col("component").alias("root"))
+    confirmed = cut_lineage(linked(texts.join(meeting, "node"), ["cluster", "a", "b"], "text", find))
+    roots = connected_components(confirmed).select("node", F.col("component").alias("root"))
     return prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

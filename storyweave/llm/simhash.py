@@ -27,7 +27,7 @@ rows share fingerprint and component. Extra columns are ignored by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -56,13 +56,31 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     done = 0
     while done < count:
         size = min(count - done, 65536)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED, size)), np.uint64, size)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(size, 8), axis=1)
-        totals += bits.sum(axis=0, dtype=np.int32)
+        totals += ones(shingles, size)
         done += size
+    return majority(totals, count)
+
+
+def ones(items: Iterable[bytes], size: int) -> np.ndarray:
+    """How many of the next ``size`` items' hashes have each bit set, highest bit first."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED, size)), np.uint64, size)
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(size, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(totals: np.ndarray, count: int) -> int:
     return int.from_bytes(np.packbits(totals * 2 > count).tobytes(), "big")
 
 
+def word_fingerprint(text: bytes | None) -> int:
+    """As ``fingerprint`` by single words, each distinct word once. A changed
+    word breaks as many shingles as they have words, but one word only."""
+    words = set((text or b"").lower().split())
+    items, totals = iter(words), np.zeros(64, np.int64)
+    for done in range(0, len(words), 65536):
+        totals += ones(items, min(len(words) - done, 65536))
+    return majority(totals, len(words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
 

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import DATA, ODD, docs, given
+from test_copies import reachable
 
 import corpus_pipeline
-from storyweave.llm import nearcopies
+from storyweave.llm import nearcopies, simhash
 
 
 def plain(text, k=5):
@@ -81,3 +83,53 @@ def test_sketches_of_near_copies_agree():
         other = np.concatenate([own[:800], draw.integers(0, 2**63, 100).astype(np.uint64)])  # 800 of 1,000
         a, b = (np.frombuffer(nearcopies.bands(x)[1], np.uint8) for x in (own, other))
         assert (a == b).sum() >= nearcopies.AGREE
+
+
+def word_print(text):
+    words = set((text or "").encode().lower().split())
+    votes = [sum(xxhash.xxh64_intdigest(w, 42) >> b & 1 for w in words) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(words))
+
+
+def altered(copies=40, words=200):
+    """Texts by id: pairs of a text and a copy with two of its words changed."""
+    draw = np.random.default_rng(11)
+    texts = {}
+    for base in range(copies):
+        own = [f"w{x}" for x in draw.integers(0, 50_000, words)]
+        texts[2 * base] = " ".join(own)
+        for at in draw.integers(0, words, 2):
+            own[at] = f"x{draw.integers(0, 50_000)}"
+        texts[2 * base + 1] = " ".join(own)
+    return texts
+
+
+def test_the_ring_groups_like_all_pairs(spark):
+    texts = altered() | {k: "the same few words here" + " x" * (k % 3) for k in range(1000, 1006)}
+    prints = {i: word_print(t) for i, t in texts.items()}
+    named = nearcopies.sketches(docs(spark, list(texts.items()))).select(nearcopies.F.col("doc_id").alias("node"), "fp")
+    assert {r.node: r.fp % 2**64 for r in named.collect()} == prints
+    groups = {}
+    for r in nearcopies.ring_groups(named).collect():
+        groups.setdefault(r.ring, []).append(r.node)
+    least = {i: min(g) for g in groups.values() for i in g}
+    assert least == reachable(prints, nearcopies.MAX_BITS)
+    assert sum(len(g) == 2 for g in groups.values()) > 30
+
+
+def test_near_copies_within_the_ring_need_no_shared_key(spark):
+    """What fingerprints tell is found by the ring, whatever the bands of minima say."""
+    texts = altered()
+    named = nearcopies.sketches(docs(spark, list(texts.items()))).withColumn("keys", nearcopies.F.array("node"))
+    found = {r.node: r.cluster for r in nearcopies.clusters_of(named).collect()}
+    node = {r.doc_id: r.node for r in named.collect()}
+    prints = {i: word_print(t) for i, t in texts.items()}
+    near = [i for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= nearcopies.MAX_BITS]
+    assert len(near) > 30
+    assert all(found[node[i]] == found[node[i + 1]] for i in near)
+
+
+def test_a_text_of_many_words_has_the_plain_fingerprint():
+    text = " ".join(f"w{k}" for k in range(70_000)) + " W1 w1"
+    assert simhash.word_fingerprint(text.encode()) == word_print(text)
+    assert simhash.word_fingerprint(None) == simhash.word_fingerprint(b" \n") == 0
