@@ -14,3 +14,9 @@ def odd_texts(spark, folder):
 
 def test_page_without_text_is_no_article(spark, tmp_path):
     against_sql(spark, odd_texts(spark, tmp_path), "normalize")
+
+
+def test_scans_of_documents_without_a_first_line(spark, tmp_path):
+    folder = odd_texts(spark, tmp_path)
+    for name in ("scan_release_feed", "scan_rss", "scan_paper_feed"):
+        against_sql(spark, folder, name)
