@@ -300,7 +300,8 @@ def top_k(
         .groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", "big")).alias("queries"))  # about block_rows each
         .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     )
-    pairs = trees.join(blocks, ["dim", "lane"]).select("dim", "tree", "queries")
+    # a lane's copies of the blocks are made after their size is measured: unasked, all of them would be sent through the driver
+    pairs = trees.join(blocks.hint("merge"), ["dim", "lane"]).select("dim", "tree", "queries")
 
     def search() -> Step:
         bounds: dict[tuple[int, bytes], int | None] = {}
